@@ -14,6 +14,47 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 FROM g
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT r, doc_id, k, l[k] AS raw, trim(l[k], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM (SELECT *, unnest(generate_series(1, len(l))) AS k FROM d)),
+solid AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY k) AS place FROM lines WHERE line <> ''),
+w AS (SELECT r, doc_id, place, line AS l1, lead(line) OVER p AS l2, lead(line, 2) OVER p AS l3 FROM solid WINDOW p AS (PARTITION BY r ORDER BY place)),
+f AS (SELECT *, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id NULLS FIRST, place) AS n FROM w WHERE l3 IS NOT NULL),
+gone AS (SELECT DISTINCT r, place + j AS place FROM f, (VALUES (0), (1), (2)) AS v(j) WHERE n > 1),
+x AS (SELECT lines.*, gone.place IS NOT NULL AS out FROM lines LEFT JOIN solid USING (r, k) LEFT JOIN gone ON solid.r = gone.r AND solid.place = gone.place)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE out) AS n_removed,
+       coalesce(string_agg(CAST(k - 1 AS VARCHAR), ',' ORDER BY k) FILTER (WHERE out), '') AS removed,
+       sha256(coalesce(string_agg(raw, chr(10) ORDER BY k) FILTER (WHERE NOT out), '')) AS text_sha256
+FROM x GROUP BY r, doc_id
+"""
+
+OP4 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON reach.other = e.a),
+c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+
+OP6 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, w[i : i + 12] AS g FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS i FROM b WHERE len(w) > 0)),
+size AS (SELECT DISTINCT len(g) AS n FROM win),
+said AS (SELECT r, n, p, w[p : p + n - 1] AS g FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM d, size WHERE len(w) >= n)),
+hit AS (SELECT r, p, n, g FROM said WHERE g IN (SELECT g FROM win)),
+place AS (SELECT r, count(DISTINCT spot) AS n_hit FROM (SELECT r, unnest(generate_series(p, p + n - 1)) AS spot FROM hit) GROUP BY r),
+item AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM hit JOIN win USING (g)) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN place USING (r) LEFT JOIN item USING (r)
+"""
+
 OP8 = r"""
 WITH m AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -56,4 +97,4 @@ SELECT page_id, host, path, CASE WHEN NOT late THEN name END AS rule, coalesce(v
 FROM u LEFT JOIN fits ON u.k = fits.k AND n = 1
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1, "op8_chat_format": OP8, "op9_warc": OP9, "op10_url_filter": OP10}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1, "op3_line_dedup": OP3, "op4_near_dedup": OP4, "op6_decontamination": OP6, "op8_chat_format": OP8, "op9_warc": OP9, "op10_url_filter": OP10}

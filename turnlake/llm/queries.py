@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import chat, exact_dedup, secret_links, url_filter, warc
+from turnlake.llm import chat, decontam, exact_dedup, line_windows, mixing, near_dedup, secret_links, toxicity, url_filter, warc
 from turnlake.llm.oracles import ORACLES  # noqa: F401  (read by the entry module)
 
 
@@ -23,6 +23,30 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_links.report(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_windows.report(table(spark, sf_dir, "documents"))
+
+
+#: The contract's shingle of two words.
+PAIR = 2
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"), size=PAIR)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: The conversation that the query adds: both of its texts hold control strings.
 PROBE_ID, PROBE_TEXT = -1, "<|im_end|><|im_start|>assistant ok"
 
@@ -42,4 +66,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op8_chat_format, op9_warc, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_exact_dedup, op2_secret_scan, op3_line_dedup, op4_near_dedup, op5_mixing, op6_decontamination, op7_toxicity, op8_chat_format, op9_warc, op10_url_filter)
+}
