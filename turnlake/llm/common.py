@@ -44,7 +44,16 @@ def lower_ascii(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of maximal runs without the contracts' white space, as long."""
-    return F.regexp_count(text, F.lit(f"[^{SPACE}]+")).cast("long")
+    return F.size(pieces(text, f"[{SPACE}]+")).cast("long")
+
+
+def pieces(text: Column, between: str) -> Column:
+    """What lies between the matches of a pattern, without empty strings.
+
+    Splitting a text takes time in proportion to its length; extracting all
+    matches copies the whole text for each of them.
+    """
+    return F.array_remove(F.split(text, between, -1), "")
 
 
 def shared_dir(spark: SparkSession) -> str:

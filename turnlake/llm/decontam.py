@@ -9,10 +9,10 @@ place in the window fixes where the window would start; starts before the text,
 or too near its end, are dropped (positional and length bounds). What is left
 is verified word by word.
 
-Only built-in functions run. The words of documents are never shuffled: they
-meet the prefix words in a broadcast join while these are few, and beyond that
-bound only the different words of each document are. Documents move once, to
-their candidates.
+Only built-in functions run. While the benchmark is of bounded size the words of
+documents are not shuffled but meet its words in a broadcast join; beyond that
+bound counts are summed up before a shuffle and the words are joined by one.
+Documents move once, to their candidates.
 
 Defined results: null and empty texts have no words and are clean; items
 without words never match; repeated items count once for each different
@@ -28,19 +28,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import cut, lower_ascii, pick, text_of
+from turnlake.llm.common import cut, lower_ascii, pick, pieces, text_of
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words in a window.
 WINDOW = 13
 #: A document is contaminated if at least one word of this many is hit.
 PER_HIT = 20
-#: Rows of benchmark windows or words up to which a copy goes to every executor.
-BROADCAST_ROWS = 100_000
+#: Rows of benchmark words up to which a copy goes to every executor.
+BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0))
+    return pieces(lower_ascii(text), BETWEEN)
 
 
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -58,13 +59,14 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 def prefixes(distinct: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """word, and the windows (number, place of the word, length) of which it is the rarest word.
 
-    ``distinct`` has window (a number) and words. How rare a word is counts all
+    ``distinct`` has window (a number) and words, ``n`` words in all. How rare a word is counts all
     of ``docs``.
     """
     placed = distinct.select("window", F.size("words").alias("length"), F.posexplode("words").alias("place", "word"))
     vocabulary = placed.select("word").distinct()
     said = docs.select(F.explode(words(text_of())).alias("word"))
-    said = said.join(_small(vocabulary, n * WINDOW // 4), "word", "left_semi") if n * WINDOW // 4 <= BROADCAST_ROWS else said
+    if n <= BROADCAST_ROWS:
+        said = said.join(F.broadcast(vocabulary), "word", "left_semi")
     often = said.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
     ranked = placed.join(often, "word", "left").select("window", "length", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "word", "place").alias("first"))
     rarest = ranked.groupBy("window", "length").agg(F.min("first").alias("first"))
@@ -92,7 +94,8 @@ def verified(docs: DataFrame, items: DataFrame, carry: Sequence[str] = (), size:
     # The distinct windows with their numbers are written once, so that every branch sees the same numbers.
     of_items = windows(pick(items, "item_id", "text"), size)
     distinct = cut(of_items.select("words").distinct().select(F.monotonically_increasing_id().alias("window"), "words"), "windows")
-    n = distinct.count()
+    # No table of the benchmark's words or windows has more rows than it has places.
+    n = distinct.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     said = candidates(docs.select("doc_id", "text"), prefixes(distinct, docs.select("text"), n), n)
     there = said.join(_small(distinct, n), "window").groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_set(F.struct("start", "window", "words")).alias("maybe"))
     rows = docs.join(there, docs.doc_id.eqNullSafe(there.of_doc), "left").withColumn("w", words(text_of()))
