@@ -2,11 +2,11 @@
 
 Many voters look at a text: fixed lists of insults, and patterns (words, and
 families of words that begin alike) that the labelled rows of the training
-folds suggest. A generative label model, which sees votes only, estimates by
-expectation maximisation how often each voter fires for either class and how
-far voters repeat each other, and gives each training text a posterior. A linear
-classifier over thousands of word and family features is then fitted to the
-posteriors, and scores every whole text.
+folds suggest. A generative label model, in which the labels are one more
+voter, estimates by expectation maximisation how often each voter fires for
+either class and how far voters repeat each other, and gives each training text
+a posterior. A linear classifier over thousands of word and family features is
+then fitted to the posteriors, and scores every whole text.
 
 Only the fit uses a sample: at most SAMPLE labelled rows, chosen by a hash of
 their doc_id, never rows of the held-out fold (crc32 of the doc_id as text, mod
@@ -37,21 +37,29 @@ from turnlake.llm.common import cut, pick, text_of
 
 #: Labelled rows that a fit reads, at most; features and voters that it keeps, at most.
 SAMPLE, FEATURES, VOTERS = 20_000, 4096, 60
+#: Standard errors by which a feature's share of toxic texts has to differ from the whole sample's.
+LIFT = 3.5
 #: Score from which a text is rejected.
 TOXIC = 0.7
 #: Lengths of the word beginnings that make a family.
 STEMS = (3, 4, 5, 6)
 #: Training texts that a pattern must be in, and the share of toxic ones among them (less two standard errors), to become a voter.
-SUPPORT, PRECISION = 5, 0.5
+SUPPORT, PRECISION = 5, 0.7
 #: Entries that a task gathers before it hands them on.
 HELD = 200_000
 
-# The lists of the lexicon voters.
+# The lists of the lexicon voters. A word of a list also has the list as a feature.
 LEXICONS = {
     "contempt": "idiot idiots moron morons stupid dumb loser losers imbecile fool fools clown clowns",
     "disgust": "scum trash garbage filth vermin disgusting pathetic worthless repulsive vile",
-    "hostile": "hate despise shut kill die destroy threat",
+    "hostile": "hate despise kill destroy threat",
 }
+#: Lists that are insults without any context, and what each adds to a score without a fit.
+INSULTS, INSULT, CALM = ("contempt", "disgust"), 5.0, -4.0
+_LISTS: dict[str, list[str]] = {}
+for _name, _words in LEXICONS.items():
+    for _word in _words.split():
+        _LISTS.setdefault(_word, []).extend([f"#{_name}", *["#insult"] * (_name in INSULTS)])
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -61,7 +69,7 @@ def fold(doc_id: Column) -> Column:
 
 
 def features_of(word: str) -> list[str]:
-    return [word, *[f"{word[:k]}*" for k in STEMS if len(word) >= k]]
+    return [word, *[f"{word[:k]}*" for k in STEMS if len(word) >= k], *_LISTS.get(word, ())]
 
 
 def words_of(text: str) -> set[str]:
@@ -135,22 +143,22 @@ def _families(found: Sequence[tuple[str, int, int]]) -> list[str]:
     return kept[:VOTERS]
 
 
-def label_model(votes: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Posterior of the positive class for each row of ``votes`` (0 or 1 of each voter), and what was estimated.
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Posterior of the toxic class for each row of ``votes`` (0 or 1 of each voter), and what was estimated.
 
     A latent class model: voters fire with a rate for each class. Voters that
     fire together within a class more than independence allows share their
-    weight: each counts as one over the sum of its positive correlations.
+    weight: each counts as one over the sum of its positive correlations. The
+    labels, which may be wrong, are one more voter, the last; votes that agree
+    well enough outweigh it.
     """
+    votes = np.column_stack([votes, labels.astype(float)])
     n, k = votes.shape
-    fired = votes.sum(1)
-    # Voters look for toxic texts; texts where several fire, or for want of them one does, start as such.
-    q = np.clip((fired >= (2 if (fired >= 2).sum() >= 5 else 1)).astype(float), 0.05, 0.95)
-    weight = np.ones(k)
-    rate = np.zeros((2, k))
+    q = np.clip(labels.astype(float), 0.05, 0.95)
+    rate, weight, correlation = np.zeros((2, k)), np.ones(k), np.eye(k)
     for _ in range(rounds):
         for y, p in enumerate((1 - q, q)):
-            rate[y] = (p @ votes + 0.5 * (0.02, 0.2)[y]) / (p.sum() + 0.5)
+            rate[y] = (p @ votes + (0.02, 0.2)[y]) / (p.sum() + 1)
         rate = np.clip(rate, 1e-4, 1 - 1e-4)
         prior = np.clip(q.mean(), 1e-3, 0.5)
         centred = votes - (1 - q)[:, None] * rate[0] - q[:, None] * rate[1]
@@ -158,6 +166,7 @@ def label_model(votes: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, dict[s
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         correlation = np.clip(cov / sd[:, None] / sd[None, :], 0, 1)
         weight = 1 / np.maximum((correlation * (correlation > 0.1)).sum(1), 1)
+        weight[-1] = 1
         odds = np.log(prior / (1 - prior)) + (votes * np.log(rate[1] / rate[0]) + (1 - votes) * np.log((1 - rate[1]) / (1 - rate[0]))) @ weight
         before, q = q, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if np.abs(q - before).max() < 1e-4:
@@ -165,7 +174,7 @@ def label_model(votes: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, dict[s
     return q, {"rate": rate, "weight": weight, "correlation": correlation}
 
 
-def linear(rows: np.ndarray, cols: np.ndarray, n: int, k: int, target: np.ndarray, penalty: float = 1e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
+def linear(rows: np.ndarray, cols: np.ndarray, n: int, k: int, target: np.ndarray, penalty: float = 2e-5, rounds: int = 600) -> tuple[np.ndarray, float]:
     """Logistic regression on texts given as (row, feature) pairs, by full gradient steps."""
     w, b = np.zeros(k), float(np.log(max(target.mean(), 1e-3) / max(1 - target.mean(), 1e-3)))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
@@ -181,7 +190,7 @@ def linear(rows: np.ndarray, cols: np.ndarray, n: int, k: int, target: np.ndarra
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from labelled documents outside the held-out fold."""
-    lexicon = {w for line in LEXICONS.values() for w in line.split()}
+    lists = [f"#{name}" for name in LEXICONS]
     known = pick(labels, "doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~fold(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     # The bound on the sample is also the bound on what is broadcast: two numbers for each of its rows.
@@ -191,27 +200,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counted = rows.mapInArrow(_counts, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where("n >= 3")
     n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n or not toxic or toxic == n:
-        return Model(dict.fromkeys(sorted(lexicon - set(LEXICONS["hostile"].split())), 3.0), -4.0)
+        return Model(dict.fromkeys([f"#{name}" for name in INSULTS], INSULT), CALM)
     a, c = F.col("toxic"), F.col("n")
     # How far a feature's texts differ from all in their share of toxic ones, in standard errors.
     lift = F.abs(a - c * toxic / n) / F.sqrt(c * toxic / n * (1 - toxic / n) + 1)
-    best = [tuple(r) for r in counted.orderBy(lift.desc(), "feature").limit(FEATURES).collect()]
+    best = [tuple(r) for r in counted.where(lift >= LIFT).orderBy(lift.desc(), "feature").limit(FEATURES).collect()]
     names = [f for f, *_ in best]
-    names += sorted(lexicon - set(names))
+    names += [f for f in [*lists, "#insult"] if f not in names]
     found = rows.mapInArrow(_present(names), "toxic int, features array<int>").collect()
     number = {f: k for k, f in enumerate(names)}
     cols = np.array([k for r in found for k in r["features"]], np.int64)
     at = np.repeat(np.arange(len(found)), [len(r["features"]) for r in found])
 
-    voters: list[set[int]] = [{number[f]} for f in _families(best)]
-    voters += [{number[w] for w in line.split()} for line in LEXICONS.values()]
+    voters: list[set[int]] = [{number[f]} for f in _families([x for x in best if x[0][0] != "#"])]
+    voters += [{number[f]} for f in lists]
     fires = np.zeros((len(voters), len(names)), bool)
     for k, own in enumerate(voters):
         fires[k, list(own)] = True
     votes = np.zeros((len(found), len(voters)))
     for k in range(len(voters)):
         votes[at[fires[k, cols]], k] = 1
-    posterior, _ = label_model(votes)
+    posterior, _ = label_model(votes, np.array([r["toxic"] for r in found]))
     w, b = linear(at, cols, len(found), len(names), posterior)
     return Model({f: float(x) for f, x in zip(names, w) if abs(x) > 1e-4}, b)
 
