@@ -10,7 +10,8 @@ symbols is one; of pairs with similarity 0.8 about one in a million isn't.
 
 Candidates are linked only after their full sets of shingles are compared. The
 pairs of a bucket are never listed. First each class of a bucket is compared
-with the bucket's first class only, and what is linked becomes one component.
+with one class only, the one that meets most others, and what is linked becomes
+one component.
 Then only classes of different components that share a bucket are joined,
 those outside the bucket's largest component with all others, and only if
 their sizes allow the similarity and so do their parity sketches: bit strings
@@ -35,7 +36,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.llm.common import cut, pick, text_of
@@ -49,7 +50,7 @@ SKETCH = 16
 #: Shingles that are hashed at a time, and words whose hashes are remembered.
 BLOCK, REMEMBERED = 8192, 200_000
 
-_SCHEMA = "n int, set_hash binary, signature binary, sketch array<bigint>"
+_SCHEMA = "version long, n int, set_hash binary, signature binary, sketch array<bigint>"
 
 
 class _Hashes(dict):
@@ -92,7 +93,7 @@ def shingle_hashes(words: Sequence[bytes], size: int, known: dict) -> np.ndarray
 
 
 def _summaries(size: int):
-    """A function for mapInArrow: (doc_id, text) to doc_id and _SCHEMA."""
+    """A function for mapInArrow: (doc_id, version, text) to doc_id and _SCHEMA."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (a, b) = _Hashes(), _factors()
@@ -109,17 +110,17 @@ def _summaries(size: int):
                 out["signature"].append((signature >> np.uint64(32)).astype(np.uint32).tobytes())
                 out["sketch"].append(np.packbits((bits & 1).astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(out["n"], pa.int32()), pa.array(out["set_hash"], pa.binary()), pa.array(out["signature"], pa.binary()), pa.array(out["sketch"], pa.list_(pa.int64()))],
-                ["doc_id", "n", "set_hash", "signature", "sketch"],
+                [batch.column("doc_id"), batch.column("version"), pa.array(out["n"], pa.int32()), pa.array(out["set_hash"], pa.binary()), pa.array(out["signature"], pa.binary()), pa.array(out["sketch"], pa.list_(pa.int64()))],
+                ["doc_id", "version", "n", "set_hash", "signature", "sketch"],
             )
 
     return run
 
 
 def summaries(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, number of shingles, hash of the set, signature and parity sketch of each text."""
+    """doc_id, hash of the text, number of shingles, hash of the set, signature and parity sketch of each text."""
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", text_of().cast("binary").alias("text")).mapInArrow(_summaries(size), f"doc_id {kind}, {_SCHEMA}")
+    return docs.select("doc_id", F.xxhash64(text_of()).alias("version"), text_of().cast("binary").alias("text")).mapInArrow(_summaries(size), f"doc_id {kind}, {_SCHEMA}")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +196,15 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def _differ() -> Column:
-    """Bits in which the parity sketches of both sides differ."""
-    return F.aggregate(F.zip_with("sketch", "other_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def hubs(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class and the class of its bucket that meets most others in all its buckets.
+
+    That one is the nearest thing to a group's common original; a class at the
+    edge of a group would be linked with few of the others.
+    """
+    met = buckets.groupBy("node").agg(F.sum("size").alias("met"))
+    hub = buckets.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node"))["node"].alias("hub"))
+    return buckets.join(hub, "key").where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
 
 
 def crossing(buckets: DataFrame, classes: DataFrame, roots: DataFrame, least: int) -> DataFrame:
@@ -221,14 +228,17 @@ def groups(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFram
     """doc_id, n_shingles, component_id and kept, for each row of ``docs``."""
     docs = pick(docs, "doc_id", "text")
     found = cut(summaries(docs, size), "summaries")
-    one = found.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "signature", "sketch")])
-    classes = cut(one.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # A class is told by its smallest doc_id, nulls last, and the text that goes with it.
+    of_class = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("of")
+    one = found.where("n > 0").groupBy("set_hash").agg(of_class, *[F.first(c).alias(c) for c in ("n", "signature", "sketch")])
+    classes = cut(one.select("set_hash", "of.doc_id", "of.version", "n", "signature", "sketch", F.monotonically_increasing_id().alias("node")), "classes")
 
     entered = keys(classes)
-    shared = entered.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").drop("last")
+    shared = entered.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = cut(entered.join(shared, "key"), "buckets")
-    stars = buckets.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    texts = docs.select("doc_id", text_of().cast("binary").alias("text")).join(classes.select("node", F.col("doc_id").alias("of_doc")), F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("node", "text")
+    stars = cut(hubs(buckets), "stars")
+    of = classes.select("node", F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version"))
+    texts = docs.join(of, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.xxhash64(text_of()) == F.col("of_version"))).select("node", text_of().cast("binary").alias("text"))
     first = cut(linked(stars, texts, size, least), "links")
     roots = components(first)
     more = linked(crossing(buckets.select("key", "node"), classes, roots, least).join(stars, ["a", "b"], "left_anti"), texts, size, least)
