@@ -18,12 +18,13 @@ def derived(rows: DataFrame) -> DataFrame:
     """
     optional = lambda name, other: F.col(name) if name in rows.columns else other
     nested = (F.coalesce(F.col("transcript"), F.lit("main")) != "main") | (F.coalesce(optional("is_sidechain", F.lit(0)), F.lit(0)) == 1)
-    out = rows.withColumn("__clean", text.clean_prompt(F.col("raw_text")))
+    # One element exploded is worked out once; plain columns would be worked out anew by each of the many patterns over them.
+    out = rows.select("*", F.explode(F.array(text.clean_prompt(F.col("raw_text")))).alias("__clean"))
     clean = F.col("__clean.text")
     human = (clean != "") & ~nested & text.is_human(F.col("source"), F.col("origin_kind"), clean, F.coalesce(F.col("is_meta"), F.lit(0)) == 1, optional("entrypoint", F.lit("cli")))
     stored = F.when(clean != "", clean).otherwise(F.col("raw_text"))
     by_default = F.when(clean == "", "harness").when(nested, "subagent")
-    out = out.withColumn("is_human", human.cast("int")).withColumns(
+    out = out.select("*", F.explode(F.array(human.cast("int"))).alias("is_human")).withColumns(
         {
             "text": F.when(clean != "", F.left(clean, F.lit(TEXT_CHARS))), "slash_name": F.col("__clean.slash"), "is_slash": F.col("__clean.slash").isNotNull().cast("int"),
             "source": F.coalesce(F.nullif(F.col("source"), F.lit("")), by_default), "chars": F.length(stored), "words": text.word_count(stored), "preview": F.left(stored, F.lit(PREVIEW_CHARS)),
