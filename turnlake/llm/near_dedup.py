@@ -46,7 +46,7 @@ SHINGLE, LEAST = 5, 80
 #: Chunks of a signature, symbols in a chunk, and errors allowed in one of them.
 CHUNKS, SYMBOLS, ERRORS = 10, 5, 1
 #: Words of 64 bits in a parity sketch.
-SKETCH = 16
+SKETCH = 32
 #: Shingles that are hashed at a time, and words whose hashes are remembered.
 BLOCK, REMEMBERED = 8192, 200_000
 
@@ -255,4 +255,4 @@ def groups(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFram
 def dedup(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """The rows of ``docs`` whose doc_id stays, with their columns."""
     stay = groups(docs, size, least).where("kept").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("stays")), "left_semi")
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi")
