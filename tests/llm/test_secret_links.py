@@ -19,9 +19,9 @@ def base(text):
 
 def linked(text):
     text, strong = text or "", base(text)
-    weak = [(m.start(), 3, m.end()) for m in re.finditer(r"(?i)\b(?:user(?:name)?|login|client_?id|account)\b[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{3,}", text, re.A)]
+    weak = [(m.start(), 3, m.end()) for m in re.finditer(r"(?i)(?<![A-Za-z0-9_])(?:user(?:name)?|login|client_?id|account)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{3,}", text, re.A)]
     weak += [(m.start(), 4, m.end()) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text) if all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
-    weak += [(m.start(), 5, m.end()) for m in re.finditer(r"(?i)\b(?:https?|wss?|postgres|mysql|mongodb|redis|s3)://[^\x00-\x20\"'<>]+", text, re.A)]
+    weak += [(m.start(), 5, m.end()) for m in re.finditer(r"(?i)(?<![A-Za-z0-9_])(?:https?|wss?|postgres|mysql|mongodb|redis|s3)://[^\x00-\x20\"'<>]+", text, re.A)]
     weak = [w for w in weak if not any(b[0] < w[2] and w[0] < b[2] for b in strong)]
     role = {0: "secret", 1: "account", 2: "secret", 3: "account", 4: "secret", 5: "endpoint"}
     needs = {3: {"secret"}, 4: {"account"}, 5: {"account", "secret"}}

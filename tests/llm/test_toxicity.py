@@ -69,7 +69,7 @@ def test_the_stage_keeps_columns_and_clean_rows(spark, docs):
     rows, labels = corpus(600)
     odd = docs(*rows).withColumn("score", F.lit(9)).withColumn("c0", F.array(F.lit("x")))
     left = toxicity.clean(odd, spark.createDataFrame(labels, LABELS))
-    assert left.columns == odd.columns and left.schema["c0"].dataType == odd.schema["c0"].dataType
+    assert left.columns == odd.columns and left.dtypes == odd.dtypes
     stay = {r["doc_id"] for r in left.collect()}
     assert len([i for i, _, t in labels if not t and i not in stay]) <= 2
     assert len([i for i, _, t in labels if t and i in stay]) <= 2

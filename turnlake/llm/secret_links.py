@@ -32,9 +32,9 @@ HEX = r"[0-9a-f]{24,}"
 #: Least length of an assigned value.
 ASSIGNED = 6
 #: Parts that count only beside their complements.
-ACCOUNT = r"(?i)\b(?:user(?:name)?|login|client_?id|account)\b[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{3,}"
+ACCOUNT = r"(?i)(?<![A-Za-z0-9_])(?:user(?:name)?|login|client_?id|account)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{3,}"
 RUN = r"[A-Za-z0-9+/_-]{20,}"
-ENDPOINT = r"(?i)\b(?:https?|wss?|postgres|mysql|mongodb|redis|s3)://[^\x00-\x20\"'<>]+"
+ENDPOINT = r"(?i)(?<![A-Za-z0-9_])(?:https?|wss?|postgres|mysql|mongodb|redis|s3)://[^\x00-\x20\"'<>]+"
 #: All kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "linked_account", "linked_secret", "linked_endpoint")
 #: Role of each kind in a credential.
