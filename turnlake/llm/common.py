@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,19 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"__{at[name]}").alias(name) for name in names])
 
 
+def carried(df: DataFrame, carry: Sequence[str], *names: str) -> DataFrame:
+    """The named columns, and those of ``carry`` that aren't among them under names that clash with nothing."""
+    at = {name: k for k, name in reversed(list(enumerate(df.columns)))}
+    plain = df.toDF(*[f"__{k}" for k in range(len(df.columns))])
+    rest = [F.col(f"__{at[c]}").alias(f"__c{j}") for j, c in enumerate(carry) if c not in names]
+    return plain.select(*[F.col(f"__{at[name]}").alias(name) for name in names], *rest)
+
+
+def restored(carry: Sequence[str], *names: str) -> list[Column]:
+    """The columns of ``carry`` under their own names again."""
+    return [F.col(c) if c in names else F.col(f"__c{j}").alias(c) for j, c in enumerate(carry)]
+
+
 def text_of(name: str = "text") -> Column:
     """A text column in which null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

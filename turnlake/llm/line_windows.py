@@ -23,10 +23,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import SPACE, pick, text_of
+from turnlake.llm.common import carried, restored, text_of
 
 #: Lines in a window.
 WIDTH = 3
+#: White space around lines, which doesn't count.
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def lines(text: Column) -> Column:
@@ -34,44 +36,51 @@ def lines(text: Column) -> Column:
 
 
 def solid(text: Column) -> Column:
-    """(number from 0, stripped line) of the lines that aren't blank."""
-    stripped = F.transform(lines(text), lambda line, k: F.struct(k.alias("k"), F.regexp_replace(line, f"^[{SPACE}]+|[{SPACE}]+$", "").alias("line")))
+    """(k, line): numbers from 0 and stripped texts of the lines that aren't blank."""
+    stripped = F.transform(lines(text), lambda line, k: F.struct(k.alias("k"), F.trim(line, F.lit(BLANKS)).alias("line")))
     return F.filter(stripped, lambda x: x["line"] != "")
 
 
 def windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, text's hash, place (number among the lines that aren't blank) and hash of every window."""
-    rows = docs.select("doc_id", F.xxhash64(text_of()).alias("version"), solid(text_of())["line"].alias("l")).where(F.size("l") >= width)
-    places = F.sequence(F.lit(0), F.size("l") - width)
-    one = lambda k: F.struct(k.alias("place"), F.xxhash64(*[F.get("l", k + j) for j in range(width)]).alias("h1"), F.xxhash64(F.lit(1), *[F.get("l", k + j) for j in reversed(range(width))]).alias("h2"))
-    return rows.select("doc_id", "version", F.explode(F.transform(places, one)).alias("x")).select("doc_id", "version", "x.place", "x.h1", "x.h2")
+    """doc_id, text's hash, place (of the first line among those that aren't blank), line numbers and hash of every window."""
+    rows = docs.select("doc_id", F.xxhash64(text_of()).alias("version"), solid(text_of()).alias("l"))
+    # A condition in a filter would split every text once more.
+    places = F.when(F.size("l") >= width, F.sequence(F.lit(0), F.size("l") - width))
+
+    def one(k: Column) -> Column:
+        its = [F.get("l", k + j) for j in range(width)]
+        texts = [x["line"] for x in its]
+        return F.struct(k.alias("place"), F.array(*[x["k"] for x in its]).alias("at"), F.xxhash64(*texts).alias("h1"), F.xxhash64(F.lit(1), *reversed(texts)).alias("h2"))
+
+    return rows.select("doc_id", "version", F.explode(F.transform(places, one)).alias("x")).select("doc_id", "version", "x.place", "x.at", "x.h1", "x.h2")
 
 
 def covered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, version, and the numbers (among the lines that aren't blank) of the lines to remove."""
+    """doc_id, version, and the numbers of the lines to remove, in order."""
     found = windows(docs, width)
-    at = F.struct("doc_id", "version", "place")
-    repeated = found.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = found.join(repeated, ["h1", "h2"]).where(~at.eqNullSafe(F.col("first")))
-    spans = later.groupBy("doc_id", "version").agg(F.collect_set("place").alias("places"))
-    merged = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + width - 1))))
-    return spans.select(F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version"), merged.alias("gone"))
+    here = F.struct("doc_id", "version", "place")
+    repeated = found.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = found.join(repeated, ["h1", "h2"]).where(~here.eqNullSafe(F.col("first")))
+    spans = later.groupBy("doc_id", "version").agg(F.collect_set("at").alias("spans"))
+    return spans.select(F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version"), F.sort_array(F.array_distinct(F.flatten("spans"))).alias("gone"))
 
 
 def dedup(docs: DataFrame, carry: Sequence[str] = (), width: int = WIDTH) -> DataFrame:
-    """doc_id, the columns ``carry``, the text without covered lines, n_lines, and removed (their numbers from 0)."""
-    own = list(dict.fromkeys(["doc_id", "text", *carry]))
-    docs = pick(docs, *own)
+    """doc_id and text without covered lines, what :func:`carried` makes of ``carry``, n_lines, and removed (line numbers from 0)."""
+    docs = carried(docs, carry, "doc_id", "text")
     gone = covered(docs.select("doc_id", "text"), width)
     rows = docs.join(gone, docs.doc_id.eqNullSafe(gone.of_doc) & (F.xxhash64(text_of()) == gone.of_version), "left")
-    # The k-th line that isn't blank has number[k] among all lines.
-    number, every = solid(text_of())["k"], F.sequence(F.lit(0), F.size(lines(text_of())) - 1)
-    rows = rows.withColumn("number", F.when(F.col("gone").isNotNull(), number))
-    removed = F.sort_array(F.transform("gone", lambda k: F.get("number", k)))
-    stay = F.array_except(every, F.col("removed"))
-    rows = rows.withColumn("removed", F.coalesce(removed, F.array().cast("array<int>"))).withColumn("all_lines", lines(text_of()))
+    rows = rows.withColumn("removed", F.coalesce("gone", F.array().cast("array<int>"))).withColumn("all_lines", lines(text_of()))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("all_lines") - 1), F.col("removed"))
     text = F.when(F.size("removed") > 0, F.array_join(F.transform(stay, lambda k: F.get("all_lines", k)), "\n")).otherwise(F.col("text"))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in own], F.size("all_lines").cast("long").alias("n_lines"), "removed")
+    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.size("all_lines").cast("long").alias("n_lines"), "removed")
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """``docs`` with their columns, covered lines cut out of text; n_chars, where there is one, follows."""
+    rows, kinds = dedup(docs, docs.columns), dict(docs.dtypes)
+    cut_out = F.size("removed") > 0
+    return rows.select(*[F.when(cut_out, F.length("text").cast(kinds[c])).otherwise(x).alias(c) if c == "n_chars" else x for c, x in zip(docs.columns, restored(docs.columns, "doc_id", "text"))])
 
 
 def report(docs: DataFrame) -> DataFrame:
