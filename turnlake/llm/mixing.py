@@ -32,7 +32,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import cut, pick, text_of, word_count
+from turnlake.llm.common import carried, cut, restored, text_of, word_count
 
 WEIGHTS = (1, 2, 3)
 #: A source's target, and what is taken of a document, in sizes at most.
@@ -100,9 +100,8 @@ def _last_seats(rows: DataFrame, within: Sequence[str], party: str, votes: str,
 
 
 def mix(docs: DataFrame, carry: Sequence[str] = (), block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
-    """For each row of ``docs``: doc_id, the columns ``carry``, size, source_size, target and taken."""
-    own = list(dict.fromkeys(["doc_id", *carry]))
-    read = pick(docs, *dict.fromkeys([*own, "text", "source"]))
+    """For each row of ``docs``: the columns ``carry`` (or doc_id), size, source_size, target and taken."""
+    read = carried(docs, carry, "doc_id", "text", "source")
     version = F.xxhash64(text_of()).alias("version")
     # The texts are read here, and again only if they are to be carried.
     light = cut(read.select("doc_id", F.col("source").alias("name"), word_count(text_of()).alias("size"), version), "sizes")
@@ -146,9 +145,10 @@ def mix(docs: DataFrame, carry: Sequence[str] = (), block_words: int = BLOCK_WOR
     got = asked.join(chosen, ["rank", "shard", "block"]).withColumn("got", F.col("times") * F.greatest(overlap, F.lit(0)))
     share = got.groupBy(F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version"), F.col("rank").alias("of_rank")).agg(F.floor(F.sum("got") / F.max("copies")).alias("share"))
 
-    rows = read.select(*own, F.col("source").alias("name"), word_count(text_of()).alias("size"), version) if carry else light
+    rows = read.select("*", F.col("source").alias("name"), word_count(text_of()).alias("size"), version) if carry else light
     sized = rows.join(of_name, F.col("name").eqNullSafe(F.col("of")), "left")
     joined = sized.join(share, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("version") == F.col("of_version")) & (F.col("rank") == F.col("of_rank")), "left")
+    own = restored(carry, "doc_id", "text", "source") if carry else ["doc_id"]
     return joined.select(*own, "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), "target", F.coalesce("share", F.lit(0)).cast("long").alias("taken"))
 
 
