@@ -38,12 +38,13 @@ WEIGHTS = (1, 2, 3)
 #: A source's target, and what is taken of a document, in sizes at most.
 MOST = 3
 #: Words in a block, and in a shard, about.
-BLOCK_WORDS, SHARD_WORDS = 128, 4_000_000
+BLOCK_WORDS, SHARD_WORDS = 128, 1_000_000
 SEED = 17
 
 
-def _seeded(seed: int, *cols) -> Column:
-    return F.xxhash64(F.lit(seed), *cols)
+def _seeded(seed: int, *cols: str) -> Column:
+    """A text that orders rows as if by chance, the same on every run."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]).cast("binary"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -113,11 +114,11 @@ def mix(docs: DataFrame, carry: Sequence[str] = (), block_words: int = BLOCK_WOR
     placed = (
         light.where("size > 0").groupBy("doc_id", "name", "size", "version").agg(F.count(F.lit(1)).alias("copies"))
         .join(of_name, F.col("name").eqNullSafe(F.col("of")))
-        .withColumn("shard", F.pmod(_seeded(seed, "doc_id", "version"), F.col("n_shards")))
+        .withColumn("shard", F.pmod(F.conv(F.left(_seeded(seed, "doc_id"), F.lit(8)), 16, 10).cast("long"), F.col("n_shards")))
         .select("doc_id", "version", "size", "copies", "rank", "shard")
     )
     # Equal rows lie side by side as one run.
-    line = Window.partitionBy("rank", "shard").orderBy(_seeded(seed + 1, "doc_id", "version"), "doc_id", "version").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("rank", "shard").orderBy(_seeded(seed + 1, "doc_id"), "doc_id", "version").rowsBetween(Window.unboundedPreceding, 0)
     placed = cut(placed.withColumn("end", F.sum(F.col("size") * F.col("copies")).over(line)), "shards")
 
     blocks = F.greatest(F.round(F.col("shard_size") / block_words), F.lit(1)).cast("long")

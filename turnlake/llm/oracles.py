@@ -16,6 +16,34 @@ FROM g
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _places(kind: int, pattern: str, head: str = "0", keep: str = "true") -> str:
+    """Spans of a pattern: what lies between matches and the matches alternate; ``head`` is the length of what stands before the span itself."""
+    return f"""SELECT r, {kind} AS kind, CAST(list_sum(list_transform(gaps[1 : k], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1 : k - 1], lambda x: length(x))), 0) + {head} AS BIGINT) AS a,
+    CAST(list_sum(list_transform(gaps[1 : k], lambda x: length(x))) + list_sum(list_transform(found[1 : k], lambda x: length(x))) AS BIGINT) AS e
+  FROM (SELECT r, found, gaps, unnest(generate_series(1, len(found))) AS k FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS found, string_split_regex(t, '{pattern}') AS gaps FROM d WHERE regexp_matches(t, '{pattern}'))) WHERE {keep}"""
+
+
+_ASSIGN = """(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_ACCOUNT = """(^|[^A-Za-z0-9_])(?i:user(?:name)?|login|client_?id|account)["'']?\\x20*[:=]\\x20*["'']?[A-Za-z0-9._@-]{3,}"""
+_ENDPOINT = """(^|[^A-Za-z0-9_])(?i:https?|wss?|postgres|mysql|mongodb|redis|s3)://[^\\x00-\\x20"''<>]+"""
+_BEFORE = "length(regexp_extract(found[k], '^[^A-Za-z0-9_]'))"
+_NAMES = "['assign', 'access', 'hex', 'linked_account', 'linked_secret', 'linked_endpoint']"
+
+OP2 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({_places(0, _ASSIGN, keep="length(regexp_extract(found[k], '" + _ASSIGN + "', 1)) >= 6")} UNION ALL {_places(1, "AKIA[A-Z0-9]+", keep="length(found[k]) >= 20")} UNION ALL {_places(2, "[0-9a-f]+", keep="length(found[k]) >= 24")}),
+weak AS (SELECT * FROM ({_places(3, _ACCOUNT, _BEFORE)} UNION ALL {_places(4, "[A-Za-z0-9+/_-]{20,}", keep="regexp_matches(found[k], '[0-9]') AND regexp_matches(found[k], '[a-z]') AND regexp_matches(found[k], '[A-Z]')")} UNION ALL {_places(5, _ENDPOINT, _BEFORE)}) w
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = w.r AND b.a < w.e AND w.a < b.e)),
+part AS (SELECT r, a, CASE WHEN kind IN (0, 2, 4) THEN 'secret' WHEN kind = 5 THEN 'endpoint' ELSE 'account' END AS role FROM (SELECT * FROM base UNION ALL SELECT * FROM weak)),
+met AS (SELECT w.r, w.kind, w.a, w.e, bool_or(p.role = 'secret') AS has_secret, bool_or(p.role = 'account') AS has_account FROM weak w JOIN part p ON p.r = w.r AND abs(p.a - w.a) <= 200 GROUP BY ALL),
+linked AS (SELECT r, kind, a, e FROM met WHERE CASE kind WHEN 3 THEN has_secret WHEN 4 THEN has_account ELSE has_secret AND has_account END),
+written AS (SELECT r, string_agg({_NAMES}[kind + 1] || ':' || a || ':' || e, ',' ORDER BY a, kind, e) AS s FROM (SELECT * FROM base UNION SELECT * FROM linked) GROUP BY r),
+counted AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n0, count(*) FILTER (WHERE kind = 1) AS n1, count(*) FILTER (WHERE kind = 2) AS n2, string_agg({_NAMES}[kind + 1] || ':' || a || ':' || e, ',' ORDER BY a, kind) AS s FROM base GROUP BY r),
+more AS (SELECT r, count(DISTINCT (kind, a, e)) AS n FROM linked GROUP BY r)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(counted.s, '')) AS base_sha256, coalesce(written.s, '') AS spans, coalesce(more.n, 0) AS n_linked
+FROM d LEFT JOIN counted USING (r) LEFT JOIN written USING (r) LEFT JOIN more USING (r)
+"""
+
 OP3 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 lines AS (SELECT r, doc_id, k, l[k] AS raw, trim(l[k], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM (SELECT *, unnest(generate_series(1, len(l))) AS k FROM d)),
@@ -41,6 +69,30 @@ c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """
 
+def _seats(parties: str, within: str, party: str, votes: str, seats: str) -> str:
+    """Seats by the highest quotients, all of them listed: party and quota."""
+    return f"""SELECT {within}, {party}, count(*) FILTER (WHERE place <= {seats}) AS quota FROM (
+    SELECT *, row_number() OVER (PARTITION BY {within} ORDER BY {votes} / (2 * k + 1) DESC, {party}, k) AS place FROM (SELECT *, unnest(generate_series(0, most - 1)) AS k FROM {parties})) GROUP BY {within}, {party}"""
+
+
+OP5 = rf"""
+WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '{SPACE}+'), lambda x: x <> '')) AS size FROM documents),
+s AS (SELECT *, CAST([1, 2, 3][(rank - 1) % 3 + 1] AS DOUBLE) AS weight, CAST(3 * source_size AS DOUBLE) AS cap FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source)),
+lv AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM s WINDOW b AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, CASE WHEN level * weight > cap THEN cap ELSE weight * (SELECT arg_min(level, (cap / weight, rank)) FROM lv WHERE level * weight <= cap) END AS target, CAST(greatest(ceil(source_size / 1000000), 1) AS BIGINT) AS n_shards FROM lv),
+placed AS (SELECT doc_id, size, rank, shard, CAST(sum(size) OVER (PARTITION BY rank, shard ORDER BY md5('18|' || doc_id), doc_id) AS BIGINT) AS till
+  FROM (SELECT d.*, rank, CAST('0x' || md5('17|' || doc_id)[1:8] AS BIGINT) % n_shards AS shard FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WHERE size > 0)),
+sh AS (SELECT rank, shard, max(till) AS shard_size, CAST(greatest(round(max(till) / 128), 1) AS BIGINT) AS n_blocks, 3 * CAST(greatest(round(max(till) / 128), 1) AS BIGINT) AS most FROM placed GROUP BY 1, 2),
+v AS (SELECT 1 AS one, t.rank, target, CAST(sum(sh.most) AS BIGINT) AS most, (SELECT CAST(round(sum(target) / 128) AS BIGINT) FROM t) AS seats FROM t JOIN sh USING (rank) GROUP BY t.rank, target),
+q AS ({_seats("v", "one", "rank", "target", "seats")}),
+w AS (SELECT sh.*, quota AS seats FROM sh JOIN q USING (rank)),
+sq AS ({_seats("w", "rank", "shard", "shard_size", "seats")}),
+b AS (SELECT *, quota // n_blocks + CASE WHEN row_number() OVER (PARTITION BY rank, shard ORDER BY md5('19|' || rank || '|' || shard || '|' || block), block) <= quota % n_blocks THEN 1 ELSE 0 END AS times,
+    CAST(floor(block * shard_size / n_blocks) AS BIGINT) AS lo, CAST(floor((block + 1) * shard_size / n_blocks) AS BIGINT) AS hi FROM (SELECT *, unnest(generate_series(0, n_blocks - 1)) AS block FROM sh JOIN sq USING (rank, shard))),
+x AS (SELECT doc_id, CAST(sum(times * (least(till, hi) - greatest(till - size, lo))) AS BIGINT) AS taken FROM placed p JOIN b ON p.rank = b.rank AND p.shard = b.shard AND hi > till - size AND lo < till GROUP BY doc_id)
+SELECT d.doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN x ON d.doc_id = x.doc_id
+"""
+
 OP6 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -97,4 +149,4 @@ SELECT page_id, host, path, CASE WHEN NOT late THEN name END AS rule, coalesce(v
 FROM u LEFT JOIN fits ON u.k = fits.k AND n = 1
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1, "op3_line_dedup": OP3, "op4_near_dedup": OP4, "op6_decontamination": OP6, "op8_chat_format": OP8, "op9_warc": OP9, "op10_url_filter": OP10}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1, "op2_secret_scan": OP2, "op3_line_dedup": OP3, "op4_near_dedup": OP4, "op5_mixing": OP5, "op6_decontamination": OP6, "op8_chat_format": OP8, "op9_warc": OP9, "op10_url_filter": OP10}
