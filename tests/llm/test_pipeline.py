@@ -19,7 +19,7 @@ def test_stages_match_brute_force(spark, tmp_path):
     rows, labels = corpus(500)
     item = " ".join(f"bench{k}" for k in range(25))
     passage = "\n".join(f"shared line number {k} of it" for k in range(4))
-    rows += [(1000, item), (1001, "clean " + item.upper() + " tail"), (1002, f"first {rng.random()}\n{passage}\nthen"), (1003, f"second {rng.random()}\n{passage}\nlast words")]
+    rows += [(1000, item), (1001, " ".join(f"filler{k}" for k in range(60)) + " " + item.upper() + " tail"), (1002, f"first {rng.random()}\n{passage}\nthen"), (1003, f"second {rng.random()}\n{passage}\nlast words")]
     near = [f"n{k}" for k in range(300)]
     rows += [(1010 + k, " ".join(["x" + str(k) if j == 40 * k else w for j, w in enumerate(near)])) for k in range(5)] + [(1020, None), (1021, "")]
     make(spark, tmp_path, rows, labels, [(1, item), (2, None)])

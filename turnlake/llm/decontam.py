@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import cut, lower_ascii, pick, pieces, text_of
+from turnlake.llm.common import carried, cut, lower_ascii, pick, pieces, restored, text_of
 
 #: What separates words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -86,11 +86,11 @@ def candidates(docs: DataFrame, prefix: DataFrame, n: int) -> DataFrame:
 def verified(docs: DataFrame, items: DataFrame, carry: Sequence[str] = (), size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Documents with what is hit in them, and the items of each window.
 
-    The first has doc_id, the columns ``carry``, n_words, n_hit and found (the
-    numbers of the windows that occur); the second window and item_id.
+    The first has doc_id, text, what :func:`carried` makes of ``carry``, and
+    hits: n_words, n_hit and found (the numbers of the windows that occur); the
+    second window and item_id.
     """
-    own = list(dict.fromkeys(["doc_id", "text", *carry]))
-    docs = pick(docs, *own)
+    docs = carried(docs, carry, "doc_id", "text")
     # The distinct windows with their numbers are written once, so that every branch sees the same numbers.
     of_items = windows(pick(items, "item_id", "text"), size)
     distinct = cut(of_items.select("words").distinct().select(F.monotonically_increasing_id().alias("window"), "words"), "windows")
@@ -102,29 +102,31 @@ def verified(docs: DataFrame, items: DataFrame, carry: Sequence[str] = (), size:
     exact = F.filter("maybe", lambda c: F.slice("w", c["start"] + 1, F.size(c["words"])) == c["words"])
     rows = rows.withColumn("exact", F.coalesce(exact, F.array().cast(dict(there.dtypes)["maybe"])))
     places = F.array_distinct(F.flatten(F.transform("exact", lambda c: F.sequence(c["start"], c["start"] + F.size(c["words"]) - 1))))
-    hits = rows.select(*own, F.size("w").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_hit"), F.array_distinct(F.transform("exact", lambda c: c["window"])).alias("found"))
-    return hits, of_items.join(distinct, "words").select("window", "item_id")
+    hits = F.struct(F.size("w").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_hit"), F.array_distinct(F.transform("exact", lambda c: c["window"])).alias("found"))
+    # Exploding one element keeps a later condition on hits from being worked out once more below.
+    rows = rows.select(*docs.columns, F.explode(F.array(hits)).alias("hits"))
+    return rows, of_items.join(distinct, "words").select("window", "item_id")
 
 
 def contaminated() -> Column:
-    return (F.col("n_hit") > 0) & (PER_HIT * F.col("n_hit") >= F.col("n_words"))
+    return (F.col("hits.n_hit") > 0) & (PER_HIT * F.col("hits.n_hit") >= F.col("hits.n_words"))
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     """For each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     hits, of_items = verified(docs, items)
-    rows = cut(hits.drop("text").withColumn("row", F.monotonically_increasing_id()), "hits")
+    rows = cut(hits.select("doc_id", "hits", F.monotonically_increasing_id().alias("row")), "hits")
     named = (
-        rows.where("size(found) > 0").select("row", F.explode("found").alias("window"))
+        rows.where("size(hits.found) > 0").select("row", F.explode("hits.found").alias("window"))
         .join(of_items, "window").where("item_id is not null")
         .groupBy("row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     )
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     return rows.join(named, "row", "left").select(
-        "doc_id", "n_words", "n_hit", F.size(items_).cast("long").alias("n_items"), F.sha2(F.array_join(items_, ",").cast("binary"), 256).alias("items_sha256"), contaminated().alias("contaminated")
+        "doc_id", "hits.n_words", "hits.n_hit", F.size(items_).cast("long").alias("n_items"), F.sha2(F.array_join(items_, ",").cast("binary"), 256).alias("items_sha256"), contaminated().alias("contaminated")
     )
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
-    return verified(docs, items, docs.columns)[0].where(~contaminated()).select(*docs.columns)
+    return verified(docs, items, docs.columns)[0].where(~contaminated()).select(*restored(docs.columns, "doc_id", "text"))
