@@ -13,10 +13,10 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turnlake.operators import responses
 from turnlake.functions import paths, text
-from pyspark.sql import functions as F
+from turnlake.operators import chats, git, prompts, responses
 
 
 @dataclass(frozen=True)
@@ -147,6 +147,13 @@ FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 1""",
     }
 
 
+#: Tables that are their projection as it is.
+PLAIN = {
+    "turns": "turn", "events": "event", "subagents": "subagent", "history": "history", "folders": "folder", "legacy_days": "legacy_day", "legacy_models": "legacy_model",
+    "runs": "run", "chat_sessions": "chat_session", "ai_lines": "ai_line", "chat_titles": "chat_title", "shell": "shell",
+}
+
+
 class Model:
     """Model tables of one set of sample tables, derived when they are first asked for."""
 
@@ -160,7 +167,7 @@ class Model:
 
     @cached_property
     def messages(self) -> DataFrame:
-        return responses.priced(responses.billed_once(self.raw("raw_message"))).withColumn("error_kind", text.error_kind(F.col("reply"), F.col("tool_uses") * 0)).drop("reply")
+        return responses.priced(responses.billed_once(self.raw("raw_message"))).withColumn("error_kind", text.error_kind(F.col("reply"), F.lit(0))).drop("reply")
 
     @cached_property
     def sessions(self) -> DataFrame:
@@ -172,32 +179,23 @@ class Model:
 
     @cached_property
     def prompts(self) -> DataFrame:
-        from turnlake.operators import prompts
-
         return prompts.derived(self.raw("raw_prompt"))
 
     @cached_property
     def git(self) -> DataFrame:
-        from turnlake.operators import git
-
         return git.outcomes(self.raw("shell"), ["ts", "id"])
 
     @cached_property
     def tickets(self) -> DataFrame:
-        from turnlake.operators import git
-
         return git.ticket_evidence(self)
 
     def __getattr__(self, name: str) -> DataFrame:
-        singular = {"turns": "turn", "events": "event", "subagents": "subagent", "history": "history", "folders": "folder", "legacy_days": "legacy_day", "legacy_models": "legacy_model", "runs": "run", "chat_sessions": "chat_session", "ai_lines": "ai_line", "chat_titles": "chat_title", "shell": "shell"}
-        if name not in singular:
+        if name not in PLAIN:
             raise AttributeError(name)
-        return self.raw(singular[name])
+        return self.raw(PLAIN[name])
 
     @cached_property
     def chat_messages(self) -> DataFrame:
-        from turnlake.operators import chats
-
         return chats.backfilled(self.raw("raw_chat_message"), self.raw("chat_session"))
 
     @cached_property
