@@ -204,7 +204,7 @@ def hubs(buckets: DataFrame) -> DataFrame:
     """
     met = buckets.groupBy("node").agg(F.sum("size").alias("met"))
     hub = buckets.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node"))["node"].alias("hub"))
-    return buckets.join(hub, "key").where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+    return buckets.join(cut(hub, "hubs"), "key").where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
 
 
 def crossing(buckets: DataFrame, classes: DataFrame, roots: DataFrame, least: int) -> DataFrame:
@@ -234,11 +234,14 @@ def groups(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFram
     classes = cut(one.select("set_hash", "of.doc_id", "of.version", "n", "signature", "sketch", F.monotonically_increasing_id().alias("node")), "classes")
 
     entered = keys(classes)
-    shared = entered.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Summaries are written before they are joined, here and below: both sides of a join are then dealt out anew, and Spark can split a large bucket among tasks.
+    shared = cut(entered.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
     buckets = cut(entered.join(shared, "key"), "buckets")
     stars = cut(hubs(buckets), "stars")
-    of = classes.select("node", F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version"))
-    texts = docs.join(of, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.xxhash64(text_of()) == F.col("of_version"))).select("node", text_of().cast("binary").alias("text"))
+    # Texts move once, and of those only what shares a bucket is kept for the comparisons.
+    met = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version"))
+    own = docs.join(met, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.xxhash64(text_of()) == F.col("of_version")))
+    texts = cut(own.select("node", text_of().cast("binary").alias("text")), "texts")
     first = cut(linked(stars, texts, size, least), "links")
     roots = components(first)
     more = linked(crossing(buckets.select("key", "node"), classes, roots, least).join(stars, ["a", "b"], "left_anti"), texts, size, least)
@@ -246,7 +249,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFram
 
     of = classes.join(roots, "node", "left").select("set_hash", F.col("doc_id").alias("class_id"), F.coalesce("root", "node").alias("root"))
     ids = of.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    members = of.join(ids, "root").select("set_hash", "component_id")
+    members = cut(of.join(ids, "root").select("set_hash", "component_id"), "members")
     rows = found.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_hash")).alias("set_hash")).join(members, "set_hash", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
