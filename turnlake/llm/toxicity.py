@@ -105,14 +105,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _present(known: Sequence[str]):
-    """A function for mapInArrow: (text, toxic) to the numbers of the known features in the text."""
+    """A function for mapInArrow: (text, toxic) to the numbers of the known features in the text, as 32-bit integers in bytes."""
     number = {f: k for k, f in enumerate(known)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Known(number)
         for batch in batches:
-            rows = [sorted({k for w in words_of(t.as_py()) for k in seen[w]}) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "features"])
+            rows = [np.array(sorted({k for w in words_of(t.as_py()) for k in seen[w]}), np.int32).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.binary())], ["toxic", "features"])
 
     return run
 
@@ -207,10 +207,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     best = [tuple(r) for r in counted.where(lift >= LIFT).orderBy(lift.desc(), "feature").limit(FEATURES).collect()]
     names = [f for f, *_ in best]
     names += [f for f in [*lists, "#insult"] if f not in names]
-    found = rows.mapInArrow(_present(names), "toxic int, features array<int>").collect()
+    found = rows.mapInArrow(_present(names), "toxic int, features binary").collect()
     number = {f: k for k, f in enumerate(names)}
-    cols = np.array([k for r in found for k in r["features"]], np.int64)
-    at = np.repeat(np.arange(len(found)), [len(r["features"]) for r in found])
+    cols = np.frombuffer(b"".join(r["features"] for r in found), np.int32)
+    at = np.repeat(np.arange(len(found), dtype=np.int32), [len(r["features"]) // 4 for r in found])
 
     voters: list[set[int]] = [{number[f]} for f in _families([x for x in best if x[0][0] != "#"])]
     voters += [{number[f]} for f in lists]
