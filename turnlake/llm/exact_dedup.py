@@ -65,7 +65,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     seed = next(s for s in SEEDS if not collisions(docs, s).take(1))
     listed = cut(recipes(docs, seed), "recipes")
     first = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id")))
-    groups = listed.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), first.alias("first"))
+    # Written, so that the join below deals both sides out anew and Spark can split a large group among tasks.
+    groups = cut(listed.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), first.alias("first")), "groups")
     return listed.join(groups, "recipe").select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("first.doc_id")).alias("kept"), "text_sha256", (F.size("recipe") / 2).cast("int").alias("n_chunks")
     )
