@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import new_path, pick
+from turnlake.llm.common import cut, new_path, pick
 
 #: Bytes from which an equal payload is a revisit.
 LEAST_BYTES = 100
@@ -48,7 +48,8 @@ def captures(pages: DataFrame, keep_all_from: int = LEAST_BYTES) -> DataFrame:
         F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("digest"),
     )
     # Only digests and ids are grouped; a payload moves once, to its digest's first id.
-    firsts = rows.where(F.col("n_bytes") >= keep_all_from).groupBy("digest").agg(F.min("page_id").alias("first_id"))
+    # Written, so that the join below deals both sides out anew and Spark can split a frequent payload among tasks.
+    firsts = cut(rows.where(F.col("n_bytes") >= keep_all_from).groupBy("digest").agg(F.min("page_id").alias("first_id")), "firsts")
     return rows.join(firsts, "digest", "left").withColumn("revisits", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")))
 
 
@@ -163,9 +164,10 @@ def assemble(found: DataFrame) -> DataFrame:
     A capture without a request or metadata has null there.
     """
     main = found.where("type in ('response', 'revisit')").alias("m")
-    beside = lambda kind: found.where(F.col("type") == kind).select(F.col("concurrent_to").alias(f"{kind}_to"), F.struct("record_id", "target", "payload").alias(kind))
-    request, metadata = beside("request"), beside("metadata")
-    joined = main.join(request, F.col("m.record_id") == request.request_to, "left").join(metadata, F.col("m.record_id") == metadata.metadata_to, "left")
+    one = F.struct("record_id", "target", "payload")
+    # Requests and metadata meet by the record that they name, in one pass; of several of a kind the smallest id counts.
+    beside = found.where("type in ('request', 'metadata') and concurrent_to is not null").groupBy("concurrent_to").agg(*[F.min(F.when(F.col("type") == kind, one)).alias(kind) for kind in ("request", "metadata")])
+    joined = main.join(beside.withColumnRenamed("concurrent_to", "of"), F.col("m.record_id") == F.col("of"), "left")
     response = F.struct(*[F.col(f"m.{c}").alias(c) for c in ("record_id", "type", "target", "page_id", "refers_to", "http_status", "payload_bytes", "payload_digest", "payload")])
     return joined.select(response.alias("capture"), "request", "metadata")
 
