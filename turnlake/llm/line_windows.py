@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import carried, restored, text_of
+from turnlake.llm.common import carried, cut, restored, text_of
 
 #: Lines in a window.
 WIDTH = 3
@@ -60,7 +60,8 @@ def covered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     found = windows(docs, width)
     here = F.struct("doc_id", "version", "place")
     repeated = found.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = found.join(repeated, ["h1", "h2"]).where(~here.eqNullSafe(F.col("first")))
+    # Written, so that the join below deals both sides out anew and Spark can split a frequent window among tasks.
+    later = found.join(cut(repeated, "repeated"), ["h1", "h2"]).where(~here.eqNullSafe(F.col("first")))
     spans = later.groupBy("doc_id", "version").agg(F.collect_set("at").alias("spans"))
     return spans.select(F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version"), F.sort_array(F.array_distinct(F.flatten("spans"))).alias("gone"))
 
