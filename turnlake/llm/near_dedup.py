@@ -248,7 +248,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFram
     roots = components(first.unionByName(more))
 
     of = classes.join(roots, "node", "left").select("set_hash", F.col("doc_id").alias("class_id"), F.coalesce("root", "node").alias("root"))
-    ids = of.groupBy("root").agg(F.min("class_id").alias("component_id"))
+    ids = cut(of.groupBy("root").agg(F.min("class_id").alias("component_id")), "ids")
     members = cut(of.join(ids, "root").select("set_hash", "component_id"), "members")
     rows = found.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_hash")).alias("set_hash")).join(members, "set_hash", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
