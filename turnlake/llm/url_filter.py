@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import pick
+from turnlake.llm.common import cut, pick
 
 #: (host, path, verdict): the rules that win over the list of urls.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -100,7 +100,9 @@ def judge(pages: DataFrame, listing: DataFrame, url: str = "url", keep: Sequence
     hits = possible.join(few(keys), ["key_host", "key_path"])
     name = F.concat("key_host", "key_path")
     best = F.min(F.struct((~F.col("is_rule")).alias("late"), (-F.length(name)).alias("short"), name.alias("name"), F.col("verdict").alias("verdict")))
-    won = hits.groupBy("host", "path").agg(best.alias("best")).select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "best")
-    return urls.join(won, (urls.host == won.of_host) & (urls.path == won.of_path), "left").select(
+    # Written, so that the join below deals both sides out anew and Spark can split a frequent url among tasks;
+    # as compressed files tell little of how large urls are in memory, it isn't left to broadcast them.
+    won = cut(hits.groupBy("host", "path").agg(best.alias("best")).select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "best"), "won")
+    return urls.join(won.hint("merge"), (urls.host == won.of_host) & (urls.path == won.of_path), "left").select(
         *keep, "host", "path", F.when(~F.col("best.late"), F.col("best.name")).alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict")
     )
