@@ -63,7 +63,8 @@ def document_families(m, f: Filters = EVERYTHING) -> DataFrame:
 @query
 def jaccard_pairs(m, f: Filters = EVERYTHING) -> DataFrame:
     """Pairs of the sample's documents with similar tokens; the smaller id first."""
-    found = similarity.items(m.documents, [F.col("uuid").alias("uuid")])
+    # Tokens are read by several branches and written once.
+    found = cut(similarity.items(m.documents, [F.col("uuid").alias("uuid")]).select("uuid", "tokens", "n", "order"), "items")
     pairs = similarity.jaccard_pairs(found)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("shared").cast("long").alias("shared"))
 
