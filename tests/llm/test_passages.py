@@ -1,0 +1,58 @@
+import random
+
+from tests.llm.conftest import DOCS, rows_of
+from turnlake.llm import passages, queries
+
+
+def made(rng, n):
+    return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+
+def cleaned(docs, *rows):
+    return {r["doc_id"]: r["text"] for r in passages.clean(docs(*rows)).collect()}
+
+
+def test_one_and_two_line_passages_between_unlike_neighbours_go(spark, tmp_path):
+    rng = random.Random(1)
+    one, two = made(rng, 120), made(rng, 60) + "\n" + made(rng, 60)
+    rows = [(1, f"a b\n{one}\nc d"), (2, f"e f\n{one}\ng h"), (3, f"i j\n{two}\nk"), (4, f"l\n{two}\nm n")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in queries.QUERIES["op3_passage_dedup"](spark, str(tmp_path)).collect()}
+    assert found[1]["n_cut"] == found[3]["n_cut"] == 0
+    assert found[2]["n_cut"] >= 120 - 4 * passages.NEAR + 4 and found[4]["n_cut"] >= 120 - 4 * passages.NEAR + 4
+
+
+def test_every_run_of_51_words_is_found(docs):
+    rng = random.Random(5)
+    runs = [made(rng, 51) for _ in range(200)]
+    rows = [(k, f"{made(rng, rng.randrange(40))} {x} {made(rng, rng.randrange(40))}") for k, x in enumerate(runs)]
+    rows += [(1000 + k, f"{made(rng, rng.randrange(40))}\n{x}\n{made(rng, rng.randrange(40))}") for k, x in enumerate(runs)]
+    texts = cleaned(docs, *rows)
+    for k, x in enumerate(runs):
+        assert texts[k] == rows[k][1]
+        lost = len(rows[200 + k][1].split()) - len(texts[1000 + k].split())
+        assert 51 >= lost >= passages.LEAST and x not in texts[1000 + k]
+
+
+def test_clean_text_whole_copies_and_defined_results(spark, docs):
+    rng = random.Random(3)
+    whole, short = made(rng, 90) + "\n" + made(rng, 40), made(rng, passages.LEAST - 1)
+    rows = [(1, whole), (2, whole), (None, f"é {made(rng, 70)}"), (3, short), (4, short), (5, None), (6, ""), (7, f"ü\t{made(rng, 30)}"), (8, whole), (8, whole)]
+    assert cleaned(docs, *rows) == {i: t if i not in (2, 8) else "" for i, t in rows}
+    assert [r["n_cut"] for r in passages.report(docs((1, whole), (1, whole))).collect()] == [0, 0]
+    assert passages.report(spark.createDataFrame([], DOCS)).count() == 0
+    odd = spark.createDataFrame([(1, whole, "r", 5), (2, f"x y\n{whole}\nz", "s", 7)], "doc_id long, text string, gone string, n_chars int")
+    got = passages.clean(odd)
+    assert got.columns == odd.columns and rows_of(got, "doc_id", "gone")[1] == (2, "s")
+    assert all(r["n_chars"] == (5 if r["doc_id"] == 1 else len(r["text"])) for r in got.collect())
+
+
+def test_three_short_lines_go_as_well(docs):
+    rows = [(1, "s\na\nb\nc\ne"), (2, "t u\n a\n\nb\r\nc\nv"), (3, "a b c"), (4, "a\nb c\nd")]
+    assert cleaned(docs, *rows) == dict(rows) | {2: "t u\nv"}
+
+
+def test_lines_around_a_passage_stay_apart():
+    assert passages.without("a\nb c\nd", [1, 3]) == ("a\nd", 2)
+    assert passages.without("a b c\nd", [1, 3]) == ("a \nd", 2)
+    assert passages.without("a b c d", [0, 2, 1, 3]) == ("d", 3)

@@ -1,0 +1,189 @@
+"""Passage dedup: runs of words that stood before, wherever lines begin and end.
+
+Words are hashed, and those with the least hash of any NEAR neighbouring words
+begin a unit (winnowing), so units depend on nothing but the words around them
+and have at most NEAR words. Each unit begins a window of whole units with at
+least LEAST words, hashed to 128 bits; a document's last window ends with it.
+Windows that occur more than once in the corpus keep their first occurrence, by
+doc_id, then place; all later ones cover their words, overlapping ones
+together, and covered words are removed with the spaces behind them.
+
+Two runs of over 50 equal words have a window in common: units begin alike from
+the NEAR-th word to the NEAR-th from the end, the first of them within NEAR
+words, and the window needs at most LEAST + NEAR - 1 more. Of a run up to
+2 * NEAR - 2 words stay at either end; repeated runs of LEAST to 50 words may
+go, too. What goes always stays where it stood first.
+
+Windows are found in Arrow batches and summed up by Spark; a frequent one meets
+its one summary row in a join that Spark can split. A document's own covered
+windows are the most that is gathered in one place.
+
+Defined results: null and empty texts, and texts of fewer than LEAST words
+and three lines, stay as they are; spaces between words don't count; null doc_ids come first; rows that repeat both doc_id and text are
+one document and treated alike; an empty table gives an empty result; other
+columns are left alone.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from turnlake.llm.common import carried, cut, restored, text_of, word_count
+
+#: Words of which one begins a unit, and the words of a window at least; 4 * NEAR + LEAST - 3 is at most 51.
+NEAR, LEAST = 8, 22
+
+#: Lines in a window of lines.
+LINES = 3
+
+#: Odd, so that they have inverses modulo 2 ** 64.
+_BYTE, _WORD, _OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """The first n powers modulo 2 ** 64, at least."""
+    if len(_powers.get(base, ())) < n:
+        each = np.full(max(n, 1 << 16) * 5 // 4, base, np.uint64)
+        each[0] = 1
+        _powers[base] = np.multiply.accumulate(each)
+    return _powers[base]
+
+
+def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """Polynomial hashes of runs of values, whatever their places."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power(base, len(values))[: len(values)], out=sums[1:])
+    return _mixed((sums[ends] - sums[starts]) * _power(pow(base, -1, 1 << 64), len(values) + 1)[starts])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in the bytes of a text."""
+    edge = np.diff(np.concatenate(([0], ((data != 32) & ((data < 9) | (data > 13))).view(np.int8), [0])))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def scan(text: str) -> tuple[np.ndarray, ...] | None:
+    """First word, word behind the last, and both halves of the hash of each window."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends = words(data)
+    n = len(starts)
+    if n == 0:
+        return None
+    hashes = _runs(data.astype(np.uint64) + np.uint64(1), starts, ends, _BYTE)
+    first, behind = units_of(hashes)
+    found = [(first, behind, _runs(hashes, first, behind, _WORD), _runs(_mixed(hashes), first, behind, _OTHER))]
+    # Words that begin a line count as others, so that windows of lines meet none but such.
+    line = np.searchsorted(np.flatnonzero(data == 10), starts)
+    heads = np.concatenate(([0], np.flatnonzero(np.diff(line)) + 1))
+    hashes[heads] = _mixed(~hashes[heads])
+    bounds = np.append(heads, n)
+    first, behind = bounds[:-LINES], bounds[LINES:]
+    found.append((first, behind, _runs(hashes, first, behind, _WORD), _runs(_mixed(hashes), first, behind, _OTHER)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def units_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and word behind the last of each window of units."""
+    n = len(hashes)
+    if n < LEAST:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    last = NEAR - 1 - np.lib.stride_tricks.sliding_window_view(hashes, NEAR)[:, ::-1].argmin(1)
+    units = np.unique(np.concatenate(([0], last + np.arange(n - NEAR + 1), [n])))
+    at = np.searchsorted(units, units + LEAST)
+    first, behind = units[at < len(units)], units[at[at < len(units)]]
+    if behind[-1] < n:
+        first, behind = np.append(first, units[np.searchsorted(units, n - LEAST, "right") - 1]), np.append(behind, n)
+    return first, behind
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """doc_id, text's hash, first word, word behind the last, and hash of every window."""
+    rows = docs.select("doc_id", F.xxhash64(text_of()).alias("version"), text_of().alias("text"))
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                found = [(k, x) for k, t in enumerate(part.column("text").to_pylist()) if (x := scan(t)) is not None]
+                if found:
+                    of = pa.array(np.repeat([k for k, _ in found], [len(x[0]) for _, x in found]))
+                    first, behind, h1, h2 = (np.concatenate([x[j] for _, x in found]) for j in range(4))
+                    columns = [part.column("doc_id").take(of), part.column("version").take(of), pa.array(first.astype(np.int32)), pa.array(behind.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "first", "behind", "h1", "h2"])
+
+    return rows.mapInArrow(each, f"doc_id {kind}, version long, first int, behind int, h1 long, h2 long")
+
+
+def covered(docs: DataFrame) -> DataFrame:
+    """of_doc, of_version, and first word and word behind the last of each window to remove."""
+    found = windows(docs)
+    here = F.struct("doc_id", "version", "first", "behind")
+    # Half a hash tells nearly all windows that occur once, at a third of the bytes; what it lets through is compared in full.
+    again = found.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
+    some = cut(found.join(cut(again, "again"), "h1"), "some")
+    repeated = some.groupBy("h1", "h2").agg(F.min(here).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # Rows that repeat doc_id and text count twice but have the same place, which is kept.
+    later = some.join(cut(repeated, "repeated"), ["h1", "h2"]).where(~here.eqNullSafe(F.col("kept")))
+    spans = later.groupBy("doc_id", "version").agg(F.flatten(F.collect_set(F.array("first", "behind"))).alias("gone"))
+    return spans.select(F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version"), "gone")
+
+
+def without(text: str, spans: Sequence[int]) -> tuple[str, int]:
+    """A text without the words of the spans (first word and the one behind the last, in turn), and their number; a line of which all words go, goes too."""
+    raw = text.encode()
+    starts, ends = words(np.frombuffer(raw, np.uint8))
+    gone = np.zeros(len(starts) + 1, np.int32)
+    np.add.at(gone, np.asarray(spans[::2], np.int64), 1)
+    np.add.at(gone, np.asarray(spans[1::2], np.int64), -1)
+    gone = np.cumsum(gone) > 0
+    edge = np.diff(np.concatenate(([0], gone[:-1].view(np.int8), [0])))
+    out, at = [], 0
+    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
+        end = int(starts[b]) if b < len(starts) else len(raw)
+        between, begin = raw[ends[b - 1] : end], len(raw[: starts[a]].rstrip(b" \t\r\x0b\x0c"))
+        whole_line = begin == 0 or raw[begin - 1 : begin] == b"\n"
+        out.append(raw[at : begin if whole_line and (b"\n" in between or end == len(raw)) else int(starts[a])])
+        if b"\n" in between:
+            at = int(ends[b - 1]) + (between.rindex(b"\n") + 1 if whole_line else between.index(b"\n"))
+        else:
+            at = end
+    return b"".join([*out, raw[at:]]).decode(), int(gone.sum())
+
+
+def _cut_out(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(None, 0) if t is None else without(t, x) for t, x in zip(texts, spans)], columns=["text", "n_cut"])
+
+
+def dedup(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id and text without covered words, what :func:`carried` makes of ``carry``, and n_cut (words)."""
+    docs = carried(docs, carry, "doc_id", "text")
+    gone = covered(docs.select("doc_id", "text"))
+    rows = docs.join(gone, docs.doc_id.eqNullSafe(gone.of_doc) & (F.xxhash64(text_of()) == gone.of_version), "left")
+    rows = rows.withColumn("less", F.pandas_udf(_cut_out, "text string, n_cut long")(F.when(F.col("gone").isNotNull(), F.col("text")), F.col("gone")))
+    hit = F.col("less.text").isNotNull()
+    return rows.select(*[F.when(hit, F.col("less.text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce("less.n_cut", F.lit(0)).cast("long").alias("n_cut"))
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """``docs`` with their columns, covered words cut out of text; n_chars, where there is one, follows."""
+    rows, kinds = dedup(docs, docs.columns), dict(docs.dtypes)
+    return rows.select(*[F.when(F.col("n_cut") > 0, F.length("text").cast(kinds[c])).otherwise(x).alias(c) if c == "n_chars" else x for c, x in zip(docs.columns, restored(docs.columns, "doc_id", "text"))])
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """For each document: doc_id, n_words of what stays, n_cut, text_sha256 of what stays."""
+    return dedup(docs).select("doc_id", word_count(text_of()).alias("n_words"), "n_cut", F.sha2(text_of().cast("binary"), 256).alias("text_sha256"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import chat, decontam, exact_dedup, line_windows, mixing, near_dedup, secret_links, toxicity, url_filter, warc
+from turnlake.llm import chat, decontam, exact_dedup, line_windows, mixing, near_dedup, passages, secret_links, toxicity, url_filter, warc
 from turnlake.llm.oracles import ORACLES  # noqa: F401  (read by the entry module)
 
 
@@ -27,6 +27,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_windows.report(table(spark, sf_dir, "documents"))
 
 
+def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3_line_dedup removes, and passages of over 50 words in lines of any length."""
+    return passages.report(table(spark, sf_dir, "documents"))
+
+
 #: The contract's shingle of two words.
 PAIR = 2
 
@@ -68,5 +73,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_secret_scan, op3_line_dedup, op4_near_dedup, op5_mixing, op6_decontamination, op7_toxicity, op8_chat_format, op9_warc, op10_url_filter)
+    for f in (op1_exact_dedup, op2_secret_scan, op3_line_dedup, op3_passage_dedup, op4_near_dedup, op5_mixing, op6_decontamination, op7_toxicity, op8_chat_format, op9_warc, op10_url_filter)
 }
