@@ -34,13 +34,15 @@ def evidence(rows: DataFrame, kind: str, keys) -> DataFrame:
 
 
 def ticket_evidence(model) -> DataFrame:
-    """All evidence of a model's tables: titles, branches, prompts, files and commits."""
+    """All evidence of a model's tables: titles, branches, prompts, files, commits, and lookups in a tracker's tools."""
     dated = model.sessions.withColumn("date", F.date_format("first_ts", "yyyy-MM-dd"))
     title = F.concat_ws(" ", "ai_title", "custom_title")
     branch = evidence(dated, "branch", text.tickets(F.col("git_branch"))).withColumn("n", F.lit(1).cast("long"))
+    lookups = model.tools.where("is_mcp = 1 AND name ILIKE '%atlassian%'")
     parts = [
         evidence(dated, "title", text.tickets(title)), branch, evidence(model.prompts, "prompt", F.col("tickets")),
         evidence(model.tools, "file", text.tickets(F.replace(F.col("file_path"), F.lit("\\"), F.lit("/")))), evidence(model.git.where("kind = 'commit'"), "commit", text.tickets(F.col("subject"))),
+        evidence(lookups, "lookup", text.tickets(F.col("input"))),
     ]
     out = parts[0]
     for p in parts[1:]:

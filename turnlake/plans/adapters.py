@@ -175,7 +175,7 @@ class Model:
 
     @cached_property
     def tools(self) -> DataFrame:
-        return self.raw("raw_tool").withColumn("file_ext", paths.extension(F.col("file_path"))).withColumn("bash_program", paths.shell_program(F.col("bash_command")))
+        return self.raw("raw_tool").withColumn("file_ext", paths.extension(F.col("file_path"))).withColumn("bash_program", paths.shell_program(F.col("bash_command"))).withColumn("input", F.lit(None).cast("string"))
 
     @cached_property
     def prompts(self) -> DataFrame:

@@ -136,9 +136,10 @@ class Transcripts:
         b, name = F.col("b"), F.coalesce(get("name", of=F.col("b")), F.lit("?"))
         path = F.coalesce(*[F.nullif(get(f"input.{k}", of=b), F.lit("")) for k in ("file_path", "path", "notebook_path")])
         command, mcp = get("input.command", of=b), name.startswith("mcp__")
+        given = F.to_json(F.coalesce(get("input", "variant", of=b), F.parse_json(F.lit("{}"))))
         rows = r.select(
             get("id", of=b).alias("tool_use_id"), "session_id", "folder", "ts", "date", "at", name.alias("name"), mcp.cast("int").alias("is_mcp"), F.when(mcp & (F.size(F.split(name, "__")) >= 3), F.get(F.split(name, "__"), F.lit(1))).alias("mcp_server"),
-            F.length(F.to_json(F.coalesce(get("input", "variant", of=b), F.parse_json(F.lit("{}"))))).alias("input_chars"), path.alias("asked_path"), F.left(command, F.lit(1000)).alias("bash_command"), paths.shell_program(command).alias("bash_program"), "transcript",
+            F.length(given).alias("input_chars"), F.left(given, F.lit(2000)).alias("input"), path.alias("asked_path"), F.left(command, F.lit(1000)).alias("bash_command"), paths.shell_program(command).alias("bash_program"), "transcript",
         ).where("tool_use_id IS NOT NULL")
         results = self._last(self._results.drop("session_id", "folder", "date", "stdout", "agent_type", "resolved_model", "total_tokens", "total_duration_ms", "tool_use_count"), "tool_use_id").drop("at")
         joined = self._last(rows, "tool_use_id").drop("at").join(results, "tool_use_id", "left")
