@@ -2,19 +2,56 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Folders made by this process: by application, the one used in place of a shared folder; and all that are removed at its end.
+_local: dict[str, str] = {}
+_made: set[str] = set()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Only a local session may leave that unset and gets a temporary folder; on a
+    cluster every machine would write to a disk of its own, so that is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = "file://" + tempfile.mkdtemp(prefix="turnlake-")
+    return _local[app]
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the driver ends."""
+    top = f"{shared_dir(spark)}/turnlake-{spark.sparkContext.applicationId}"
+    if top not in _made:
+        _made.add(top)
+        atexit.register(_remove, spark, top)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as Parquet under ``spark.checkpoint.dir`` and read again; a folder of its own only where that is unset."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="turnlake-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/turnlake-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """The same rows, written as Parquet to the shared folder and read again.
+
+    Later steps then neither repeat the work before this one nor lose it with
+    an executor.
+    """
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
