@@ -1,9 +1,12 @@
 import hashlib
 import random
 import re
+import sys
+
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import DOCS, rows_of
-from turnlake.llm import decontam
+from turnlake.llm import bloom, common, decontam
 
 ITEMS = "item_id long, text string"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -57,7 +60,7 @@ def test_matches_brute_force(spark):
 
 
 def test_matches_brute_force_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     docs, items = sample()
     assert rows_of(decontam.report(*tables(spark, docs, items))) == brute(docs, items)
 
@@ -77,3 +80,31 @@ def test_empty_tables_and_repeated_rows(spark):
     assert rows_of(decontam.report(docs, items), "doc_id", "n_hit") == [(1, 0)] * 3
     docs, items = tables(spark, [(1, "a b"), (1, "a b"), (1, "c")], [(5, "a b"), (5, "a b")])
     assert rows_of(decontam.report(docs, items), "doc_id", "n_hit", "n_items") == [(1, 0, 0), (1, 2, 1), (1, 2, 1)]
+
+
+def test_null_ids_and_texts_that_share_an_id_are_judged_apart(spark):
+    docs, items = tables(spark, [(None, "a b"), (None, "a b"), (None, "x a b"), (None, "c"), (1, "c"), (1, "a b")], [(5, "a b")])
+    assert rows_of(decontam.report(docs, items), "doc_id", "n_hit", "n_words") == [(None, 0, 1), (None, 2, 2), (None, 2, 2), (None, 2, 3), (1, 0, 1), (1, 2, 2)]
+    assert rows_of(decontam.decontaminate(docs, items), "doc_id", "text") == [(None, "c"), (1, "c")]
+
+
+def test_only_ascii_capitals_are_lowered(spark):
+    """Every code point alone and within a word, among them letter numbers and circled letters."""
+    points = spark.range(0x80, sys.maxunicode + 1).where("id < 55296 or id > 57343")
+    text = points.select("id", F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c")).select("id", F.concat(F.lit("aB"), "c", F.lit("Cd")).alias("text"), F.concat(F.lit("ab"), "c", F.lit("cd")).alias("low"))
+    assert text.where(F.lower("text") != F.col("low")).count() > 1300
+    assert text.where(common.lower_ascii(F.col("text")) != F.col("low")).count() == 0
+    docs, items = tables(spark, [(1, "kapitel Ⅳ ende"), (2, "Kapitel ⅳ ENDE")], [(9, "kapitel ⅳ ende")])
+    assert rows_of(decontam.report(docs, items), "doc_id", "n_hit") == [(1, 0), (2, 3)]
+
+
+def test_the_filter_passes_all_keys_and_few_others(spark, monkeypatch):
+    keys = spark.range(200_000).select(F.xxhash64("id").alias("h"))
+    pages = bloom.built(keys, 200_000)
+    asked = spark.range(400_000)
+    passed = bloom.possible(asked, F.xxhash64("id"), pages, 200_000)
+    assert passed.where("id < 200000").count() == 200_000 and passed.where("id >= 200000").count() < 2000
+    assert pages.count() == bloom.pages_for(200_000) and pages.where("size(bits) <> 1024").count() == 0
+    assert bloom.pages_for(10**12) == bloom.MOST_PAGES and bloom.pages_for(0) == 1
+    monkeypatch.setattr(bloom, "MOST_PAGES", 2)  # too small a filter lets more pass, but loses none
+    assert bloom.possible(asked, F.xxhash64("id"), bloom.built(keys, 200_000), 200_000).where("id < 200000").count() == 200_000

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnlake.sources.scratch import cut, new_path  # noqa: F401  (operators take them from here)
+
 #: White space of the contracts, as the body of a character class.
 SPACE = r"\x20\x09-\x0D"
 
@@ -47,13 +45,18 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: Characters beyond ASCII that ``lower`` may change: capitals of any kind, and code points that the pattern's Unicode tables don't know yet.
+_OTHER_CAPITALS = r"[\p{IsUppercase}\p{Lt}\p{Cn}&&[^\x00-\x7F]]"
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is.
 
     ``lower`` is much the faster function but also changes other scripts, so
     only texts with capitals beyond ASCII take the character map.
     """
-    return F.when(text.rlike(r"[\p{Lu}\p{Lt}&&[^\x00-\x7F]]"), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(~ascii_only & text.rlike(_OTHER_CAPITALS), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
 
 
 def word_count(text: Column) -> Column:
@@ -70,44 +73,18 @@ def pieces(text: Column, between: str) -> Column:
     return F.array_remove(F.split(text, between, -1), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is what ``spark.checkpoint.dir`` names; only where that is unset, as in
-    local tests, a temporary folder is made and set for this session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="turnlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-_made: set[str] = set()
+#: Bytes of rows up to which :func:`fitting` sends a copy to every executor, and what a row takes besides its texts.
+BROADCAST_BYTES, ROW_BYTES = 16 << 20, 64
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    top = f"{shared_dir(spark)}/turnlake-{spark.sparkContext.applicationId}"
-    if top not in _made:
-        _made.add(top)
-        atexit.register(_remove, spark, top)
-    return f"{top}/{name}-{uuid.uuid4().hex}"
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as Parquet to the shared folder and read again.
-
-    Later steps then neither repeat the work before this one nor lose it with
-    an executor.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def fitting(df: DataFrame) -> DataFrame:
+    """``df``, a table in files, marked for a broadcast if its rows are measured to fit, else for a join that shuffles both sides."""
+    size = F.lit(0).cast("long")
+    for field in df.schema:
+        kind, c = field.dataType.simpleString(), F.col(field.name)
+        if kind in ("string", "binary"):
+            size += F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind == "array<string>":
+            size += F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 16), F.lit(0))
+    whole = df.agg(F.coalesce(F.sum(size + ROW_BYTES), F.lit(0))).first()[0]
+    return F.broadcast(df) if whole <= BROADCAST_BYTES else df.hint("merge")
