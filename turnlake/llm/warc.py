@@ -1,25 +1,35 @@
 """WARC archives: writing captures, and assembling transactions read back.
 
 Each capture is written as three records, a request, a response (or a revisit)
-and metadata; request and metadata name the response by WARC-Concurrent-To.
-Reading parses the archives by their content lengths and joins the three
-records of each transaction to one nested row.
-
-Archives are written by Spark's text writer, so they go to any file system that
-Spark can write to: a record is a text (headers, line feeds, UTF-8 payload) and
-the writer adds the two empty lines that end it. Each file holds a bounded
-number of records and is parsed record by record where it is read.
+and metadata; request and metadata name the response by WARC-Concurrent-To, and
+a revisit its response by WARC-Refers-To. Reading finds the records and joins
+the three of each transaction to one nested row.
+
+Archives are written by Spark's text writer and read by its text reader, so
+they may be on any file system that Spark reaches. A record is a text (headers,
+line feeds, UTF-8 payload) and the writer adds the two empty lines that end it.
+The reader splits files where such lines and the next record's version stand
+and never holds more than a record; plain files are read by several tasks. Where
+a payload holds that separator itself, its pieces are put together again by the
+record's content length.
+
+Archives of others are read, too: gzipped by record or whole, with payload
+digests of other algorithms, with records that are no HTTP (dns, warcinfo),
+with fields missing. What can't be read as a record is a row with an error
+beside the others; reading goes on with the next record.
 
 Of records with equal payloads of at least 100 bytes the one with the smallest
 page_id is the response (all of them, should that id repeat); the others are
 revisits that refer to it and hold no payload. Defined results: a null html is
 an empty payload, a null url an empty target; null page_ids come last, and are
 nobody's response while another id has the payload; repeated rows are written
-each; an empty table gives an empty result; other columns are left alone.
+each, rows that are equal in all three columns under the same record ids; an
+empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -31,31 +41,45 @@ from turnlake.llm.common import cut, new_path, pick
 
 #: Bytes from which an equal payload is a revisit.
 LEAST_BYTES = 100
-#: Records in a file, at most: what is read by one task at a time.
-RECORDS_PER_FILE = 3000
+#: Payload bytes in a file, about, and records in a file, at most.
+FILE_BYTES, RECORDS_PER_FILE = 64 << 20, 3000
+#: Bytes up to which pieces of a record are held until it is whole; a longer one that holds the separator is a bad record.
+HELD_BYTES = 256 << 20
 CRLF = "\r\n"
+#: What ends a record and begins the next.
+SEPARATOR = CRLF + CRLF + "WARC/"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A date that does not depend on the run; callers with capture times give a column.
 DATE = "2024-01-01T00:00:00Z"
 
-RECORD = "record_id string, type string, concurrent_to string, refers_to string, target string, page_id string, http_status string, payload_bytes long, payload_digest string, payload binary"
+#: Columns of a record that was read: name, type, and WARC header where it is one as it stands.
+FIELDS = (
+    ("record_id", "string", "warc-record-id"), ("type", "string", "warc-type"), ("concurrent_to", "string", "warc-concurrent-to"), ("refers_to_record", "string", "warc-refers-to"),
+    ("refers_to", "string", "x-refers-to-page-id"), ("target", "string", "warc-target-uri"), ("page_id", "string", "x-page-id"), ("date", "string", "warc-date"), ("content_type", "string", "content-type"),
+    ("http_status", "string", None), ("payload_bytes", "long", None), ("payload_digest", "string", None), ("stated_digest", "string", "warc-payload-digest"), ("digest_ok", "boolean", None),
+    ("payload", "binary", None), ("file", "string", None), ("error", "string", None),
+)
+RECORD = ", ".join(f"{name} {kind}" for name, kind, _ in FIELDS)
+_ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
-def captures(pages: DataFrame, keep_all_from: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, html and digest of each page, its number ``row``, and the page it revisits if it does."""
+def captures(pages: DataFrame, keep_all_from: int = LEAST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Pages with digest and the page they revisit, and the table of first ids that decides it."""
     rows = pick(pages, "page_id", "url", "html").select(
-        "page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n_bytes"),
+        "page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "").alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n_bytes"),
         F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("digest"),
     )
-    # Only digests and ids are grouped; a payload moves once, to its digest's first id.
+    # Only digests, urls and ids are grouped; a payload moves once, to its digest's first id.
     # Written, so that the join below deals both sides out anew and Spark can split a frequent payload among tasks.
-    firsts = cut(rows.where(F.col("n_bytes") >= keep_all_from).groupBy("digest").agg(F.min("page_id").alias("first_id")), "firsts")
-    return rows.join(firsts, "digest", "left").withColumn("revisits", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")))
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    firsts = cut(rows.where(F.col("n_bytes") >= keep_all_from).groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("sum_bytes")), "firsts")
+    revisits = F.when(~F.col("page_id").eqNullSafe(F.col("first.page_id")), F.col("first"))
+    return rows.join(firsts.select("digest", "first"), "digest", "left").withColumn("revisits", revisits), firsts
 
 
-def _urn(kind: str, page: Column, more: Column) -> Column:
-    """An id of the capture; rows that repeat a page_id differ by ``more``."""
-    h = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(page.cast("string"), F.lit("")), more.cast("string")))
+def _urn(kind: str, page: Column, url: Column) -> Column:
+    """An id of a record, the same on every run."""
+    h = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(page.cast("string"), F.lit("")), "digest", url))
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
@@ -73,117 +97,198 @@ def records(rows: DataFrame) -> DataFrame:
 
     A header whose value is null is left out.
     """
-    row = F.monotonically_increasing_id()
-    rows = rows.withColumn("row", row).withColumn("url", F.regexp_replace("url", r"[\r\n]", ""))
-    response, revisit = _urn("response", F.col("page_id"), F.col("row")), F.col("revisits").isNotNull()
+    page, url, of = F.col("page_id"), F.col("url"), F.col("revisits")
+    response, revisit = _urn("response", page, url), of.isNotNull()
     host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
-    target, page = ("WARC-Target-URI", F.col("url")), ("X-Page-ID", F.col("page_id").cast("string"))
-    request = F.concat(F.lit("GET "), F.col("url"), F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF + CRLF))
+    target = ("WARC-Target-URI", url)
+    request = F.concat(F.lit("GET "), url, F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF + CRLF))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n_bytes").cast("string"), F.lit(CRLF + CRLF))
     facts = F.concat(F.lit("payload-bytes: "), F.col("n_bytes").cast("string"), F.lit(CRLF))
-    digest = ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest"))
+    earlier = [
+        ("WARC-Profile", F.when(revisit, PROFILE)), ("WARC-Refers-To", F.when(revisit, _urn("response", of["page_id"], of["url"]))), ("WARC-Refers-To-Target-URI", of["url"]),
+        ("WARC-Refers-To-Date", F.when(revisit, DATE)), ("X-Refers-To-Page-ID", of["page_id"].cast("string")),
+    ]
     all_three = F.array(
-        _record(F.lit("request"), _urn("request", F.col("page_id"), F.col("row")), [target, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/http;msgtype=request"))], request),
+        _record(F.lit("request"), _urn("request", page, url), [target, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/http;msgtype=request"))], request),
         _record(
             F.when(revisit, "revisit").otherwise("response"), response,
-            [target, page, digest, ("WARC-Profile", F.when(revisit, PROFILE)), ("X-Refers-To-Page-ID", F.col("revisits").cast("string")), ("Content-Type", F.lit("application/http;msgtype=response"))],
+            [target, ("X-Page-ID", page.cast("string")), ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")), *earlier, ("Content-Type", F.lit("application/http;msgtype=response"))],
             F.when(revisit, head).otherwise(F.concat(head, "html")),
         ),
-        _record(F.lit("metadata"), _urn("metadata", F.col("page_id"), F.col("row")), [target, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/warc-fields"))], facts),
+        _record(F.lit("metadata"), _urn("metadata", page, url), [target, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/warc-fields"))], facts),
     )
     return rows.select(F.explode(all_three).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """WARC files under ``path``, gzipped, of at most so many records each."""
-    lines = records(captures(pages))
-    lines.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
-
-
-def parsed(data: bytes) -> Iterator[dict]:
-    """The records of one archive, by their content lengths.
-
-    Raises ValueError where a record doesn't start or end as it must.
+def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
+    """WARC files under ``path``, gzipped, of about ``file_bytes`` payload bytes and at most ``records_per_file`` records each."""
+    rows, firsts = captures(pages)
+    n, held = firsts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("sum_bytes"), F.lit(0))).first()
+    # A capture is three records.
+    most = max(1, min(records_per_file, 3 * file_bytes * n // held)) if held else records_per_file
+    records(rows).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+
+
+def headers_of(head: bytes) -> dict[str, str]:
+    """Header fields by lower-cased name, of repeated ones the first; lines that begin with a blank go on with the one before."""
+    out, last = {}, None
+    for line in head.decode("utf-8", "replace").split(CRLF)[1:]:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+            continue
+        name, _, value = line.partition(":")
+        last = name.strip().lower()
+        out.setdefault(last, value.strip())
+    return out
+
+
+def _parts(piece: bytes) -> tuple[bytes, bytes, int] | str:
+    """Head, block so far, and length of the block; or why there is no record."""
+    head, blank, block = piece.partition(b"\r\n\r\n")
+    if not blank or not head[:1].isdigit():
+        return "no head"
+    length = headers_of(head).get("content-length", "")
+    return (head, block, int(length)) if length.isascii() and length.isdigit() else "no content length"
+
+
+def parsed(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, dict | None, bytes, str | None]]:
+    """file, headers, block and error of each record in (file, what lies between two separators), file by file in order."""
+    held, of = [], None  # pieces of one file, the first of which begins a record
+    end = object()
+
+    def drain(final: bool) -> Iterator[tuple]:
+        while held:
+            first = _parts(held[0])
+            if isinstance(first, str):
+                yield of, None, held.pop(0), first
+                continue
+            head, block, need = first
+            have, k = len(block), 1
+            while have < need and k < len(held):
+                have += len(SEPARATOR) + len(held[k])
+                k += 1
+            if have < need and not final and have <= HELD_BYTES:
+                return
+            whole = block if k == 1 else SEPARATOR.encode().join([block, *held[1:k]])
+            # The last record of a file still has its empty lines, or lacks them.
+            if have >= need and not whole[need:].strip(b"\r\n"):
+                yield of, headers_of(head), whole[:need], None
+                del held[:k]
+            else:
+                yield of, None, held.pop(0), "its length is wrong"
+
+    for file, piece in pieces:
+        if file != of:
+            yield from drain(True)
+            of = file
+        piece = piece.removeprefix(b"WARC/")
+        if held or piece.strip(b"\r\n"):
+            held.append(piece)
+            yield from drain(False)
+    yield from drain(True)
+
+
+def _digests(stated: str | None, payload: bytes) -> bool | None:
+    """Whether a stated digest (``algorithm:value`` in hex or base 32) is the payload's; null for algorithms not known here."""
+    name, _, value = (stated or "").partition(":")
+    if name.lower().replace("-", "") not in ("md5", "sha1", "sha256", "sha512") or not value:
+        return None
+    h = hashlib.new(name.lower().replace("-", ""), payload)
+    return value.lower() in (h.hexdigest(), base64.b32encode(h.digest()).decode().lower(), base64.b32encode(h.digest()).decode().lower().rstrip("="))
+
+
+def _sha256(stated: str | None) -> str | None:
+    """A stated SHA-256 as bare lower-case hex."""
+    name, _, value = (stated or "").partition(":")
+    if name.lower() not in ("sha256", "sha-256"):
+        return None
+    if len(value) == 64:
+        return value.lower()
+    try:
+        return base64.b32decode(value.upper() + "=" * (-len(value) % 8)).hex()
+    except ValueError:
+        return None
+
+
+def understood(headers: dict[str, str], block: bytes, payloads: bool) -> dict:
+    """What the columns say of a record besides its own headers."""
+    out, kind = {}, headers.get("warc-type")
+    payload, stated = block, headers.get("warc-payload-digest")
+    if headers.get("content-type", "").lower().startswith("application/http"):
+        head, _, payload = block.partition(b"\r\n\r\n")
+        words = head.split(b" ", 2)
+        if head.startswith(b"HTTP/") and len(words) > 1:
+            out["http_status"] = words[1].decode("utf-8", "replace")
+        said = headers_of(head).get("content-length", "")
+        if kind == "revisit" and said.isascii() and said.isdigit():
+            out["payload_bytes"] = int(said)
+    if kind == "revisit":
+        return out | {"payload_digest": _sha256(stated)}
+    if kind != "request":
+        out |= {"payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest(), "digest_ok": _digests(stated, payload)}
+    return out | ({"payload": payload} if payloads else {})
+
+
+def _rows(payloads: bool):
+    """A function for mapInArrow: (file, piece) to RECORD."""
+
+    def batch_of(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in rows], _ARROW[kind]) for name, kind, _ in FIELDS], [name for name, _, _ in FIELDS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = ((f.as_py(), p.as_py()) for b in batches for f, p in zip(b.column("file"), b.column("piece")))
+        rows, size = [], 0
+        for file, headers, block, error in parsed(pieces):
+            if error:
+                rows.append({"file": file, "error": error, "payload": block})
+            else:
+                rows.append({name: headers.get(header) for name, _, header in FIELDS if header} | understood(headers, block, payloads) | {"file": file})
+            size += len(rows[-1].get("payload") or b"")
+            if len(rows) >= 1000 or size > 4 << 20:
+                yield batch_of(rows)
+                rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    return run
+
+
+def read_archives(spark: SparkSession, path: str, payloads: bool = True, glob: str = "*") -> DataFrame:
+    """One row for each record of the WARC files under ``path``; what isn't one has an error, and its bytes as payload.
+
+    Without ``payloads`` they are digested, but not returned.
     """
-    view, at, end = memoryview(data), 0, len(data)
-    while at < end:
-        body = data.index(b"\r\n\r\n", at) + 4
-        lines = data[at : body - 4].decode("utf-8").split(CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        after = body + int(headers["content-length"])
-        if data[after : after + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} doesn't end where it says")
-        yield headers | {"block": view[body:after]}
-        at = after + 4
-
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import gzip
-
-    names = ("record_id", "type", "concurrent_to", "refers_to", "target", "page_id", "http_status", "payload_bytes", "payload_digest", "payload")
-    kinds = [*[pa.string()] * 7, pa.int64(), pa.string(), pa.binary()]
-    for batch in batches:
-        for content in batch.column("content"):
-            raw = content.as_py()
-            data = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
-            rows, held = [], 0
-            for r in parsed(data):
-                kind, block, status, n, digest, payload = r["warc-type"], r["block"], None, None, None, None
-                if kind in ("response", "revisit"):
-                    head, _, payload = bytes(block).partition(b"\r\n\r\n")
-                    first, *fields = head.decode("utf-8").split(CRLF)
-                    status, said = first.split(" ", 2)[1], r.get("warc-payload-digest", "").partition(":")[2]
-                    if kind == "response":
-                        n, digest = len(payload), hashlib.sha256(payload).hexdigest()
-                        if said and said != digest:
-                            raise ValueError(f"{r['warc-record-id']}: payload and digest differ")
-                    else:
-                        n, digest, payload = int({k.lower(): v for k, _, v in (x.partition(": ") for x in fields)}["content-length"]), said, None
-                elif kind == "metadata":
-                    payload = bytes(block)
-                rows.append((r["warc-record-id"], kind, r.get("warc-concurrent-to"), r.get("x-refers-to-page-id"), r.get("warc-target-uri"), r.get("x-page-id"), status, n, digest, payload))
-                held += len(payload or b"")
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of the WARC files under ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(_parse, RECORD)
+    pieces = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", SEPARATOR).text(path)
+    return pieces.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece")).mapInArrow(_rows(payloads), RECORD)
 
 
 def assemble(found: DataFrame) -> DataFrame:
     """One nested row for each capture: the response or revisit with its request and metadata.
 
-    A capture without a request or metadata has null there.
+    ``found`` is read twice and had better be a table in files. A capture
+    without a request or metadata has null there; rows with an error are none.
     """
     main = found.where("type in ('response', 'revisit')").alias("m")
     one = F.struct("record_id", "target", "payload")
     # Requests and metadata meet by the record that they name, in one pass; of several of a kind the smallest id counts.
     beside = found.where("type in ('request', 'metadata') and concurrent_to is not null").groupBy("concurrent_to").agg(*[F.min(F.when(F.col("type") == kind, one)).alias(kind) for kind in ("request", "metadata")])
     joined = main.join(beside.withColumnRenamed("concurrent_to", "of"), F.col("m.record_id") == F.col("of"), "left")
-    response = F.struct(*[F.col(f"m.{c}").alias(c) for c in ("record_id", "type", "target", "page_id", "refers_to", "http_status", "payload_bytes", "payload_digest", "payload")])
-    return joined.select(response.alias("capture"), "request", "metadata")
+    capture = F.struct(*[F.col(f"m.{c}").alias(c) for c in ("record_id", "type", "target", "page_id", "refers_to", "refers_to_record", "http_status", "payload_bytes", "payload_digest", "digest_ok", "payload")])
+    return joined.select(capture.alias("capture"), "request", "metadata")
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes ``pages`` to archives in the shared folder, reads them back and assembles the transactions."""
+def round_trip(pages: DataFrame, payloads: bool = True) -> DataFrame:
+    """Writes ``pages`` to archives in the shared folder, reads them back once and assembles the transactions."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path)
-    return assemble(read_archives(spark, path))
+    return assemble(cut(read_archives(spark, path, payloads), "records"))
 
 
 def report(pages: DataFrame) -> DataFrame:
     """The digest columns of :func:`round_trip`."""
     kind = dict(pages.dtypes)["page_id"]
-    return round_trip(pages).select(
+    return round_trip(pages, payloads=False).select(
         F.col("capture.page_id").cast(kind).alias("page_id"), F.col("capture.payload_bytes").alias("payload_bytes"), F.col("capture.payload_digest").alias("payload_digest"),
         F.col("capture.type").alias("record_type"), F.col("capture.refers_to").cast(kind).alias("refers_to"), F.col("request.target").alias("request_target"), F.col("metadata.record_id").isNotNull().alias("has_metadata"),
     )
