@@ -120,6 +120,21 @@ def test_components_of_chains_stars_and_rings(spark):
 def test_empty_table_repeats_and_other_columns(spark, docs):
     assert near_dedup.groups(spark.createDataFrame([], DOCS)).count() == 0
     assert rows_of(near_dedup.groups(docs((1, "a b"), (1, "a b"), (1, "c d e"), (2, "a b")), 2)) == [(1, 1, 1, True), (1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False)]
+    twice = docs((1, "a b c d e f"), (1, "a b c d e f"), (None, "q r s"), (None, "q r s"), (None, "q  r s"), (None, "other"), (3, ""), (4, None), (4, None))
+    assert rows_of(near_dedup.dedup(twice), "doc_id", "text").count((1, "a b c d e f")) == 1
+    assert [i for i, _ in rows_of(near_dedup.dedup(twice), "doc_id", "text")] == [None, None, 1, 3, 4]
+    clash = docs((1, "a b c"), (2, "a b c")).withColumnsRenamed({"lang": "Doc_ID", "source": "node"})
+    assert rows_of(near_dedup.dedup(clash).toDF("a", "b", "c", "d", "e"), "a", "c", "d") == [(1, "en", "s")]
     odd = spark.createDataFrame([(1, "a b c", "x", 1), (2, "a  b c", "y", 2)], "doc_id long, text string, node string, kept int")
     left = near_dedup.dedup(odd)
     assert left.columns == odd.columns and rows_of(left) == [(1, "a b c", "x", 1)]
+
+
+def test_a_family_of_documents_below_the_threshold(docs):
+    """Templates of similarity 0.7 share buckets but no component; near copies of some are found among them."""
+    rng = random.Random(5)
+    form = [f"form{k}" for k in range(330)]
+    rows = [(k, " ".join(form + [f"own{k}x{j}" for j in range(70)])) for k in range(600)]
+    rows += [(1000 + k, rows[k][1] + f" tail{k}") for k in rng.sample(range(600), 40)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.groups(docs(*rows), 2).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}

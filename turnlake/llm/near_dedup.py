@@ -36,10 +36,10 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import cut, pick, text_of
+from turnlake.llm.common import carried, cut, pick, restored, text_of
 
 #: Words in a shingle, and similarity in hundredths, unless a caller says otherwise.
 SHINGLE, LEAST = 5, 80
@@ -224,14 +224,22 @@ def crossing(buckets: DataFrame, classes: DataFrame, roots: DataFrame, least: in
     return left.join(other, fits).select(F.greatest("node", "o_node").alias("a"), F.least("node", "o_node").alias("b")).distinct()
 
 
-def groups(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, for each row of ``docs``."""
-    docs = pick(docs, "doc_id", "text")
+def _told(doc_id: Column, version: Column) -> list[Column]:
+    """Plain keys of a text: rows that were joined by them lie together, and those that repeat one need no further shuffle to be told."""
+    return [F.xxhash64(doc_id.isNull(), doc_id).alias("of_id"), version.alias("of_text")]
+
+
+def members(docs: DataFrame, size: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The summaries of ``docs`` (doc_id, text), the component of each set of shingles, and the texts that stand for components.
+
+    The second table has set_hash and component_id, the third doc_id and
+    version of each component's text that stays.
+    """
     found = cut(summaries(docs, size), "summaries")
     # A class is told by its smallest doc_id, nulls last, and the text that goes with it.
     of_class = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("of")
     one = found.where("n > 0").groupBy("set_hash").agg(of_class, *[F.first(c).alias(c) for c in ("n", "signature", "sketch")])
-    classes = cut(one.select("set_hash", "of.doc_id", "of.version", "n", "signature", "sketch", F.monotonically_increasing_id().alias("node")), "classes")
+    classes = cut(one.select("set_hash", "of", "n", "signature", "sketch", F.monotonically_increasing_id().alias("node")), "classes")
 
     entered = keys(classes)
     # Summaries are written before they are joined, here and below: both sides of a join are then dealt out anew, and Spark can split a large bucket among tasks.
@@ -239,23 +247,35 @@ def groups(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFram
     buckets = cut(entered.join(shared, "key"), "buckets")
     stars = cut(hubs(buckets), "stars")
     # Texts move once, and of those only what shares a bucket is kept for the comparisons.
-    met = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version"))
-    own = docs.join(met, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.xxhash64(text_of()) == F.col("of_version")))
-    texts = cut(own.select("node", text_of().cast("binary").alias("text")), "texts")
+    met = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", *_told(F.col("of.doc_id"), F.col("of.version")))
+    own = docs.select(text_of().cast("binary").alias("text"), *_told(F.col("doc_id"), F.xxhash64(text_of())))
+    texts = cut(own.join(met, ["of_id", "of_text"]).dropDuplicates(["of_id", "of_text"]).select("node", "text"), "texts")
     first = cut(linked(stars, texts, size, least), "links")
     roots = components(first)
     more = linked(crossing(buckets.select("key", "node"), classes, roots, least).join(stars, ["a", "b"], "left_anti"), texts, size, least)
     roots = components(first.unionByName(more))
 
-    of = classes.join(roots, "node", "left").select("set_hash", F.col("doc_id").alias("class_id"), F.coalesce("root", "node").alias("root"))
-    ids = cut(of.groupBy("root").agg(F.min("class_id").alias("component_id")), "ids")
-    members = cut(of.join(ids, "root").select("set_hash", "component_id"), "members")
-    rows = found.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_hash")).alias("set_hash")).join(members, "set_hash", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    of = classes.join(roots, "node", "left").select("set_hash", "of", F.coalesce("root", "node").alias("root"))
+    stands = cut(of.groupBy("root").agg(F.min("of").alias("of")), "ids")
+    component = cut(of.select("set_hash", "root").join(stands, "root").select("set_hash", F.col("of.doc_id").alias("component_id")), "members")
+    return found, component, stands.select("of.doc_id", "of.version")
+
+
+def groups(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, for each row of ``docs``."""
+    found, component, _ = members(pick(docs, "doc_id", "text"), size, least)
+    rows = found.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_hash")).alias("set_hash")).join(component, "set_hash", "left")
+    of = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), of.alias("component_id"), F.col("doc_id").eqNullSafe(of).alias("kept"))
 
 
 def dedup(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """The rows of ``docs`` whose doc_id stays, with their columns."""
-    stay = groups(docs, size, least).where("kept").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi")
+    """One row of ``docs`` for each component, and one for each doc_id and text without words, with their columns.
+
+    Of rows that repeat doc_id and text any one stays.
+    """
+    rows = carried(docs, docs.columns, "doc_id", "text")
+    found, _, stands = members(rows.select("doc_id", "text"), size, least)
+    stay = stands.unionByName(found.where("n = 0").select("doc_id", "version"))
+    keyed = rows.select("*", *_told(F.col("doc_id"), F.xxhash64(text_of())))
+    return keyed.join(stay.select(*_told(F.col("doc_id"), F.col("version"))).distinct(), ["of_id", "of_text"], "left_semi").dropDuplicates(["of_id", "of_text"]).select(*restored(docs.columns, "doc_id", "text"))
