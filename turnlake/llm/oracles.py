@@ -32,11 +32,13 @@ _NAMES = "['assign', 'access', 'hex', 'linked_account', 'linked_secret', 'linked
 OP2 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({_places(0, _ASSIGN, keep="length(regexp_extract(found[k], '" + _ASSIGN + "', 1)) >= 6")} UNION ALL {_places(1, "AKIA[A-Z0-9]+", keep="length(found[k]) >= 20")} UNION ALL {_places(2, "[0-9a-f]+", keep="length(found[k]) >= 24")}),
-weak AS (SELECT * FROM ({_places(3, _ACCOUNT, _BEFORE)} UNION ALL {_places(4, "[A-Za-z0-9+/_-]{20,}", keep="regexp_matches(found[k], '[0-9]') AND regexp_matches(found[k], '[a-z]') AND regexp_matches(found[k], '[A-Z]')")} UNION ALL {_places(5, _ENDPOINT, _BEFORE)}) w
+cand AS (SELECT * FROM ({_places(3, _ACCOUNT, _BEFORE)} UNION ALL {_places(4, "[A-Za-z0-9+/_-]{20,}", keep="regexp_matches(found[k], '[0-9]') AND regexp_matches(found[k], '[a-z]') AND regexp_matches(found[k], '[A-Z]')")} UNION ALL {_places(5, _ENDPOINT, _BEFORE)}) w
   WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = w.r AND b.a < w.e AND w.a < b.e)),
-part AS (SELECT r, a, CASE WHEN kind IN (0, 2, 4) THEN 'secret' WHEN kind = 5 THEN 'endpoint' ELSE 'account' END AS role FROM (SELECT * FROM base UNION ALL SELECT * FROM weak)),
-met AS (SELECT w.r, w.kind, w.a, w.e, bool_or(p.role = 'secret') AS has_secret, bool_or(p.role = 'account') AS has_account FROM weak w JOIN part p ON p.r = w.r AND abs(p.a - w.a) <= 200 GROUP BY ALL),
-linked AS (SELECT r, kind, a, e FROM met WHERE CASE kind WHEN 3 THEN has_secret WHEN 4 THEN has_account ELSE has_secret AND has_account END),
+weak AS (SELECT * FROM cand w WHERE kind <> 4 OR NOT EXISTS (SELECT 1 FROM cand o WHERE o.r = w.r AND o.kind <> 4 AND o.a < w.e AND w.a < o.e)),
+part AS (SELECT r, a, CASE WHEN kind IN (0, 2, 4) THEN 'secret' WHEN kind = 5 THEN 'endpoint' ELSE 'account' END AS role, kind IN (1, 3) AND NOT EXISTS (SELECT 1 FROM weak x WHERE x.r = p.r AND x.kind = 5 AND x.a < p.e AND p.a < x.e) AS apart
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM weak) p),
+met AS (SELECT w.r, w.kind, w.a, w.e, bool_or(p.role = 'secret') AS has_secret, bool_or(p.role = 'account') AS has_account, bool_or(p.apart) AS has_apart FROM weak w JOIN part p ON p.r = w.r AND abs(p.a - w.a) <= 200 GROUP BY ALL),
+linked AS (SELECT r, kind, a, e FROM met WHERE CASE kind WHEN 3 THEN has_secret WHEN 4 THEN has_account ELSE has_secret AND has_apart END),
 written AS (SELECT r, string_agg({_NAMES}[kind + 1] || ':' || a || ':' || e, ',' ORDER BY a, kind, e) AS s FROM (SELECT * FROM base UNION SELECT * FROM linked) GROUP BY r),
 counted AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n0, count(*) FILTER (WHERE kind = 1) AS n1, count(*) FILTER (WHERE kind = 2) AS n2, string_agg({_NAMES}[kind + 1] || ':' || a || ':' || e, ',' ORDER BY a, kind) AS s FROM base GROUP BY r),
 more AS (SELECT r, count(DISTINCT (kind, a, e)) AS n FROM linked GROUP BY r)
@@ -82,13 +84,17 @@ lv AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (su
 t AS (SELECT *, CASE WHEN level * weight > cap THEN cap ELSE weight * (SELECT arg_min(level, (cap / weight, rank)) FROM lv WHERE level * weight <= cap) END AS target, CAST(greatest(ceil(source_size / 1000000), 1) AS BIGINT) AS n_shards FROM lv),
 placed AS (SELECT doc_id, size, rank, shard, CAST(sum(size) OVER (PARTITION BY rank, shard ORDER BY md5('18|' || doc_id), doc_id) AS BIGINT) AS till
   FROM (SELECT d.*, rank, CAST('0x' || md5('17|' || doc_id)[1:8] AS BIGINT) % n_shards AS shard FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WHERE size > 0)),
-sh AS (SELECT rank, shard, max(till) AS shard_size, CAST(greatest(round(max(till) / 128), 1) AS BIGINT) AS n_blocks, 3 * CAST(greatest(round(max(till) / 128), 1) AS BIGINT) AS most FROM placed GROUP BY 1, 2),
-v AS (SELECT 1 AS one, t.rank, target, CAST(sum(sh.most) AS BIGINT) AS most, (SELECT CAST(round(sum(target) / 128) AS BIGINT) FROM t) AS seats FROM t JOIN sh USING (rank) GROUP BY t.rank, target),
+sh AS (SELECT rank, shard, shard // 1000 AS bundle, max(till) AS shard_size, CAST(greatest(round(max(till) / 128), 1) AS BIGINT) AS n_blocks, 3 * CAST(greatest(round(max(till) / 128), 1) AS BIGINT) AS most FROM placed GROUP BY ALL),
+bu AS (SELECT rank, bundle, CAST(sum(shard_size) AS BIGINT) AS words, CAST(sum(most) AS BIGINT) AS most FROM sh GROUP BY rank, bundle),
+v AS (SELECT 1 AS one, t.rank, target, CAST(sum(bu.most) AS BIGINT) AS most, (SELECT CAST(round(sum(target) / 128) AS BIGINT) FROM t) AS seats FROM t JOIN bu USING (rank) GROUP BY t.rank, target),
 q AS ({_seats("v", "one", "rank", "target", "seats")}),
-w AS (SELECT sh.*, quota AS seats FROM sh JOIN q USING (rank)),
-sq AS ({_seats("w", "rank", "shard", "shard_size", "seats")}),
-b AS (SELECT *, quota // n_blocks + CASE WHEN row_number() OVER (PARTITION BY rank, shard ORDER BY md5('19|' || rank || '|' || shard || '|' || block), block) <= quota % n_blocks THEN 1 ELSE 0 END AS times,
-    CAST(floor(block * shard_size / n_blocks) AS BIGINT) AS lo, CAST(floor((block + 1) * shard_size / n_blocks) AS BIGINT) AS hi FROM (SELECT *, unnest(generate_series(0, n_blocks - 1)) AS block FROM sh JOIN sq USING (rank, shard))),
+vb AS (SELECT bu.*, quota AS seats FROM bu JOIN q USING (rank)),
+qb AS ({_seats("vb", "rank", "bundle", "words", "seats")}),
+w AS (SELECT sh.*, rank || '|' || bundle AS of_bundle, quota AS seats FROM sh JOIN qb USING (rank, bundle)),
+sq AS ({_seats("w", "of_bundle, rank", "shard", "shard_size", "seats")}),
+m AS (SELECT *, md5('19|' || rank || '|' || shard) AS h FROM sh JOIN sq USING (rank, shard)),
+b AS (SELECT *, quota // n_blocks + CASE WHEN ([2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497][CAST('0x' || h[1:8] AS BIGINT) % 8 + 1] * block + CAST('0x' || h[9:16] AS BIGINT)) % n_blocks < quota % n_blocks THEN 1 ELSE 0 END AS times,
+    CAST(floor(block * shard_size / n_blocks) AS BIGINT) AS lo, CAST(floor((block + 1) * shard_size / n_blocks) AS BIGINT) AS hi FROM (SELECT *, unnest(generate_series(0, n_blocks - 1)) AS block FROM m)),
 x AS (SELECT doc_id, CAST(sum(times * (least(till, hi) - greatest(till - size, lo))) AS BIGINT) AS taken FROM placed p JOIN b ON p.rank = b.rank AND p.shard = b.shard AND hi > till - size AND lo < till GROUP BY doc_id)
 SELECT d.doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN x ON d.doc_id = x.doc_id
 """
@@ -139,8 +145,9 @@ WITH u AS (
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS k
   FROM pages
 ), l(h, p, v, late) AS (VALUES
-  ('net', '/', 'block', false), ('example.net', '/en/', 'allow', false), ('example.com', '/de/', 'block', false), ('org', '/fr/', 'allow', false),
-  ('ads-track.example.com', '/', 'block', true), ('free-bets.example.net', '/', 'block', true)
+  ('net', '/', 'block', false), ('example.net', '/en/', 'allow', false), ('example.com', '/de/', 'block', false), ('org', '/fr/', 'allow', false)
+  UNION ALL
+  SELECT name || '.example.' || top, '/', 'block', true FROM (VALUES ('ads-track'), ('casino-win'), ('free-bets'), ('spam-farm')) AS a(name), (VALUES ('com'), ('net'), ('org')) AS b(top)
 ), fits AS (
   SELECT k, h || p AS name, v, late, row_number() OVER (PARTITION BY k ORDER BY late, length(h || p) DESC, h || p) AS n
   FROM u JOIN l ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p)

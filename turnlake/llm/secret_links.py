@@ -6,6 +6,11 @@ reported only where the complementary parts stand nearby in the same document:
 an interval join, within a scope of so many code points, of access identifiers,
 secrets and endpoints.
 
+No text counts for two parts: what overlaps a labelled secret is no candidate,
+a run of characters that overlaps an account or endpoint is a piece of it and no
+secret, and an account inside an endpoint complements secrets but no endpoint.
+A part therefore never vouches for itself.
+
 The join meets bins as wide as the scope: any two parts of one bin are near
 enough, and of the bins beside it only the nearest part can matter, so each bin
 keeps its first and last position of each role. A document with thousands of
@@ -37,10 +42,10 @@ RUN = r"[A-Za-z0-9+/_-]{20,}"
 ENDPOINT = r"(?i)(?<![A-Za-z0-9_])(?:https?|wss?|postgres|mysql|mongodb|redis|s3)://[^\x00-\x20\"'<>]+"
 #: All kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "linked_account", "linked_secret", "linked_endpoint")
-#: Role of each kind in a credential.
-ROLES = {"assign": "secret", "access": "account", "hex": "secret", "linked_account": "account", "linked_secret": "secret", "linked_endpoint": "endpoint"}
+#: Roles of each kind in a credential; an account inside an endpoint isn't one apart.
+ROLES = {"assign": ("secret",), "access": ("account", "account apart"), "hex": ("secret",), "linked_account": ("account", "account apart"), "linked_secret": ("secret",), "linked_endpoint": ()}
 #: What a part that is weak by itself needs nearby.
-NEEDS = {"linked_account": ("secret",), "linked_secret": ("account",), "linked_endpoint": ("account", "secret")}
+NEEDS = {"linked_account": ("secret",), "linked_secret": ("account",), "linked_endpoint": ("account apart", "secret")}
 #: Code points between the starts of two parts of one credential, at most.
 SCOPE = 200
 
@@ -86,32 +91,41 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def _role() -> Column:
-    return F.element_at(F.array(*[F.lit(ROLES[k]) for k in KINDS]), F.col("kind") + 1)
+def _by_kind(lists: dict[str, tuple]) -> Column:
+    """The texts of a kind, whose number is in the column ``kind``."""
+    return F.element_at(F.array(*[F.array(*[F.lit(x) for x in lists.get(k, ())]).cast("array<string>") for k in KINDS]), F.col("kind") + 1)
 
 
 def linked(parts: DataFrame) -> DataFrame:
-    """The weak parts of (row, start, kind, end, strong) that have their complements in scope."""
-    parts = parts.withColumn("role", _role()).withColumn("bin", F.floor(F.col("start") / SCOPE))
-    bins = parts.groupBy("row", "role", "bin").agg(F.min("start").alias("first"), F.max("start").alias("last"))
-    needs = F.array(*[F.array(*[F.lit(r) for r in NEEDS.get(k, ())]).cast("array<string>") for k in KINDS])
-    asked = parts.where("not strong").select("row", "start", "kind", "end", F.explode(F.element_at(needs, F.col("kind") + 1)).alias("role"), "bin")
+    """The weak parts of (row, start, kind, end, strong, inside) that have their complements in scope; ``inside`` says that a part is inside an endpoint."""
+    parts = parts.withColumn("bin", F.floor(F.col("start") / SCOPE))
+    roles = F.filter(_by_kind(ROLES), lambda r: (r != "account apart") | ~F.col("inside"))
+    bins = parts.select("row", "start", "bin", F.explode(roles).alias("role")).groupBy("row", "role", "bin").agg(F.min("start").alias("first"), F.max("start").alias("last"))
+    asked = parts.where("not strong").select("row", "start", "kind", "end", F.explode(_by_kind(NEEDS)).alias("role"), "bin")
     asked = asked.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
     near = asked.join(bins, ["row", "role", "bin"]).where(F.least(F.abs(F.col("start") - F.col("first")), F.abs(F.col("start") - F.col("last"))) <= SCOPE)
     met = near.groupBy("row", "start", "kind", "end").agg(F.count_distinct("role").alias("met"))
-    return met.where(F.col("met") == F.element_at(F.transform(needs, F.size), F.col("kind") + 1)).drop("met")
+    return met.where(F.col("met") == F.size(_by_kind(NEEDS))).drop("met")
+
+
+def _overlaps(span: Column, others: Column, kind: str | None = None) -> Column:
+    """Whether a span overlaps one of an array of spans, of one kind if that is given."""
+    of_kind = (lambda o: F.lit(True)) if kind is None else (lambda o: o["kind"] == KINDS.index(kind))
+    return F.exists(others, lambda o: of_kind(o) & (o["start"] < span["end"]) & (span["start"] < o["end"]))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base and linked spans (arrays of start, kind, end), for each row of ``docs``."""
-    text = text_of()
+    text, run = text_of(), KINDS.index("linked_secret")
     found = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", base_spans(text).alias("base"), weak_spans(text).alias("weak"))
-    # What overlaps a secret that is reported anyway is no further candidate.
-    apart = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    found = cut(found.withColumn("weak", apart), "secret-parts")
+    found = found.withColumn("weak", F.filter("weak", lambda w: ~_overlaps(w, F.col("base"))))
+    named = F.filter("weak", lambda w: w["kind"] != run)
+    found = found.withColumn("weak", F.when(F.size(named) == 0, F.col("weak")).otherwise(F.filter("weak", lambda w: (w["kind"] != run) | ~_overlaps(w, named))))
+    found = cut(found, "secret-parts")
     both = found.where("size(weak) > 0 and size(weak) + size(base) > 1")
-    parts = both.select("row", F.explode(F.concat(F.transform("base", lambda s: F.struct(s.alias("s"), F.lit(True).alias("strong"))), F.transform("weak", lambda s: F.struct(s.alias("s"), F.lit(False).alias("strong"))))).alias("x"))
-    parts = parts.select("row", "x.s.start", "x.s.kind", "x.s.end", "x.strong")
+    as_parts = lambda spans, strong: F.transform(spans, lambda s: F.struct(s.alias("s"), F.lit(strong).alias("strong"), (s["kind"].isin(KINDS.index("linked_account"), KINDS.index("access")) & _overlaps(s, F.col("weak"), "linked_endpoint")).alias("inside")))
+    parts = both.select("row", F.explode(F.concat(as_parts("base", True), as_parts("weak", False))).alias("x"))
+    parts = parts.select("row", "x.s.start", "x.s.kind", "x.s.end", "x.strong", "x.inside")
     more = linked(parts).groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("linked"))
     none = F.array().cast(_SPAN)
     return found.join(more, "row", "left").select("doc_id", "base", F.coalesce("linked", none).alias("linked"))
