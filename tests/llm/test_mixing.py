@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from tests.llm.conftest import DOCS, rows_of
 from turnlake.llm import mixing
 
+DOCS_NAMES = [c.split()[0] for c in DOCS.split(", ")]
+
 
 def brute_targets(sizes):
     """Sizes by source to targets, by dealing out the excess until none is above."""
@@ -94,5 +96,28 @@ def test_nulls_repeats_empty_tables_and_other_columns(spark, docs):
     assert rows_of(mixing.mix(docs((1, None, "a"), (2, "", None)))) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
     got = mixing.mix(docs((1, "a b " * 50, "s"), (1, "a b " * 50, "s"), (None, "c " * 100, "s"))).collect()
     assert [r["taken"] for r in got] == [100] * 3
+    many = mixing.mix(docs(*[(None, f"w{k} " * 40, "s") for k in range(50)], *[(7, "same " * 30, "s")] * 50), shard_words=500).collect()
+    assert len(many) == 100 and all(r["taken"] <= 3 * r["size"] for r in many) and abs(sum(r["taken"] for r in many) - 3500) < 200
     odd = docs((1, "x y " * 64, "s")).withColumn("rank", F.lit("r")).withColumn("size", F.lit(1)).drop("size")
     assert mixing.mix(odd, odd.columns).first()["rank"] == "r"
+
+
+def test_columns_named_as_the_result_give_way(docs):
+    odd = docs((1, "x y " * 64, "s"), (2, None, "s")).withColumns({"taken": F.lit("t"), "Size": F.lit(5), "source_size": F.lit(6), "target": F.lit(7)})
+    got = mixing.chosen(odd)
+    assert got.columns == [*DOCS_NAMES, *mixing.MADE] and rows_of(got, "doc_id", "size", "taken") == [(1, 128, 128)]
+
+
+def test_bundles_share_their_source_evenly(docs):
+    rows = [(k, "w " * 200, "ab"[k % 2]) for k in range(400)]
+    plain, bundled = (sorted(mixing.mix(docs(*rows), shard_words=2000, bundle=b).collect()) for b in (1000, 3))
+    total = lambda got, s: sum(r["taken"] for r in got if r["doc_id"] % 2 == s)
+    for s in (0, 1):
+        assert abs(total(plain, s) - total(bundled, s)) <= 2 * mixing.BLOCK_WORDS
+
+
+def test_block_numbers_are_permuted(spark):
+    assert all(all(p % d for d in range(2, 46342)) for p in mixing.PRIMES)
+    for n in (1, 2, 7, 128, 1000, 4093):
+        df = spark.range(n).select(mixing.turned(F.col("id"), F.lit(n), mixing._seeded(3, F.lit("x"))).alias("t"))
+        assert sorted(r["t"] for r in df.collect()) == list(range(n))
