@@ -1,7 +1,7 @@
 import re
 
 from tests.llm.conftest import rows_of
-from turnlake.llm import url_filter
+from turnlake.llm import bloom, common, url_filter
 
 PAGES = "page_id long, url string, html string"
 
@@ -29,21 +29,33 @@ def test_matches_brute_force(spark):
 
 
 def test_many_listed_urls_and_no_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     listed = [(f"h{k}.com", f"/{k % 7}/", "block") for k in range(3000)] + [("h1.com", "/1/1", "allow")]
     rows = [(k, f"http://www.h{k}.com/{k % 5}/1") for k in range(4000)]
     df = url_filter.judge(spark.createDataFrame([(*r, "") for r in rows], PAGES), url_filter.rules_table(spark, url_filter.RULES, listed))
     assert rows_of(df) == expected(rows, listed=listed)
 
 
-def test_the_filter_alone_passes_some_false_positives_but_no_listed_key(spark):
+def test_five_million_listed_keys_are_one_broadcast(spark):
     from pyspark.sql import functions as F
 
-    keys = spark.range(20000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("key_host"), F.lit("/").alias("key_path"))
-    bits = url_filter.bloom_filter(keys.where("substr(key_host, 2) < 5000"), 1024)
-    passed = keys.withColumn("block", url_filter._block(1024)).join(bits, "block").where(F.col("bits").bitwiseAND(url_filter._mask()) == url_filter._mask())
-    assert passed.where("substr(key_host, 2) < 5000").count() == 5000
-    assert 0 < passed.where("substr(key_host, 2) >= 5000").count() < 3000
+    n = 5_000_000
+    pages = common.cut(bloom.built(spark.range(n).select(F.xxhash64("id")), n), "pages")
+    rows = bloom.possible(spark.range(n - 50_000, n + 50_000), F.xxhash64("id"), pages, n)
+    assert pages.count() == bloom.pages_for(n) < 1300
+    assert "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.where(f"id < {n}").count() == 50_000 and rows.where(f"id >= {n}").count() < 500
+
+
+def test_the_filter_passes_some_false_positives_but_no_listed_key(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(bloom, "BITS_PER_KEY", 1)
+    keys = spark.range(60_000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("key_host"), F.lit("/").alias("key_path"))
+    urls = spark.range(55_000, 65_000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("host"), F.lit("/a").alias("path"))
+    passed = url_filter.possible(urls, keys, [1], 60_000)
+    assert passed.where("substr(host, 2) < 60000").count() == 5000
+    assert 0 < passed.where("substr(host, 2) >= 60000").count() < 5000
 
 
 def test_empty_tables_and_other_columns(spark):
@@ -52,3 +64,5 @@ def test_empty_tables_and_other_columns(spark):
     odd = spark.createDataFrame([(1, "http://a.net/", "x", 2)], "page_id long, url string, host string, verdict int")
     assert rows_of(url_filter.judge(odd, rules)) == [(1, "a.net", "/", "net/", "block")]
     assert url_filter.judge(odd, rules.limit(0)).first()["verdict"] == "allow"
+    assert url_filter.rules_table(spark, [], []).count() == 0
+    assert rows_of(url_filter.rules_table(spark, [("a'b", "/\\x", "allow")], [])) == [("a'b", "/\\x", "allow", True)]
