@@ -7,8 +7,9 @@ that stay (whose n_chars follows). The last adds what the mix takes of each
 document and leaves out those of which it takes nothing.
 
 Defined results: null and empty texts pass every filter and are in no mix;
-other columns pass through; empty tables give an empty result. What each stage
-does with ties and repeated rows is stated where its operator is.
+other columns pass through, but those named as one that the mix adds give way to
+it; of rows that repeat doc_id and text one stays; empty tables give an empty
+result. What each stage does with ties is stated where its operator is.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, docs.columns).where("taken > 0")
+    return mixing.chosen(docs)
 
 
 STAGES = [
