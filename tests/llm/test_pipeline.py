@@ -1,7 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tests.llm.conftest import DOCS
+from tests.llm.conftest import DOCS, rows_of
 from tests.llm.test_decontam import brute as brute_contaminated
 from tests.llm.test_line_windows import brute as brute_lines
 from tests.llm.test_near_dedup import brute as brute_near
@@ -58,3 +60,25 @@ def test_run_gives_the_last_stage_and_takes_empty_tables(spark, tmp_path):
 
 def test_four_or_five_named_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "mixing"]
+
+
+def test_columns_that_clash_with_those_of_operators(spark, tmp_path):
+    rows, labels = corpus(60)
+    make(spark, tmp_path, rows, labels, [(1, "x y z")])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumns({"taken": F.lit("t"), "Size": F.lit(1), "target": F.lit(2.0), "kept": F.lit(3), "node": F.lit(4), "of_doc": F.lit(5)})
+    docs.write.parquet(f"{tmp_path}/more/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").write.parquet(f"{tmp_path}/more/{name}.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/more")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept", "node", "of_doc", "size", "source_size", "target", "taken"]
+    assert rows_of(out, "doc_id", "taken") == rows_of(corpus_pipeline.run(spark, str(tmp_path)), "doc_id", "taken")
+
+
+def test_stages_keep_columns_that_differ_only_in_case(spark, tmp_path):
+    rows, labels = corpus(40)
+    make(spark, tmp_path, rows, labels, [(1, "x y z")])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumnsRenamed({"lang": "Doc_ID"})
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns[:5] == ["doc_id", "text", "Doc_ID", "source", "n_chars"], name
+    assert docs.count() > 0
