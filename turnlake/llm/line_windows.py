@@ -1,92 +1,212 @@
-"""Line dedup by overlapping windows of three lines.
-
-Each three consecutive lines of a document (blank ones are skipped, white space
-around a line doesn't count) are hashed to 128 bits. Windows that occur more
-than once in the corpus keep their first occurrence, by doc_id, then place; all
-later ones cover their three lines, overlapping ones together, and covered
-lines are removed. A line that goes thus always stays where it stood first.
-
-Windows are summed up before the shuffle; a window that a third of the corpus
-has meets its one summary row in a join that Spark can split. A document's own
-covered lines are the most that is gathered in one place. Texts move once.
-
-Defined results: null and empty texts, and texts of fewer than three lines
-that aren't blank, stay as they are; null doc_ids come first; rows that repeat
-both doc_id and text are one document and treated alike; an empty table gives
-an empty result; other columns are left alone. Lines end with a line feed.
+"""Line dedup by overlapping windows of three lines, and of words in long lines.
+
+Each three consecutive lines of a document (blank ones are skipped, spaces in
+and around lines don't count) are a window, which is hashed to 128 bits.
+Windows that occur more than once in the corpus keep their first occurrence, by
+doc_id, then place; all later ones cover their words, overlapping ones together,
+and covered words are removed with the spaces behind them; lines of which all
+words go, go too.
+
+Lines may be long, and a passage of one or two of them would be in no window
+that repeats. So runs of RUN words are windows, too: those that begin at a word
+whose hash is the least of RUN neighbours, which depends on nothing but the
+words around it, and the first and last RUN words of a text and of each line of
+as many. Two runs of over 2 * RUN - 2 (that is, 50) equal words thus have a
+window in common wherever lines begin and end, and windows within a run leave
+no gap; of a run within lines up to RUN - 1 words stay at either end. Shorter
+repeated runs may go, too, but none of fewer than RUN words unless it is three
+lines. What goes always stays where it stood first.
+
+Windows are found in Arrow batches, in one pass over the texts, and written;
+hashes alone are counted first, and a Bloom filter of those that repeat drops
+all other windows before anything else is shuffled. A window that a third of
+the corpus has meets its one summary row in a join that Spark can split. A
+document's own covered windows are the most that is gathered in one place.
+
+Defined results: null and empty texts, and texts of fewer than RUN words and
+three lines, stay as they are; null doc_ids come first; rows that repeat both
+doc_id and text are one document and treated alike; an empty table gives an
+empty result; other columns are left alone. Lines end with a line feed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import carried, cut, restored, text_of
-
-#: Lines in a window.
-WIDTH = 3
-#: White space around lines, which doesn't count.
-BLANKS = " \t\n\x0b\x0c\r"
-
-
-def lines(text: Column) -> Column:
-    return F.split(text, "\n", -1)
-
-
-def solid(text: Column) -> Column:
-    """(k, line): numbers from 0 and stripped texts of the lines that aren't blank."""
-    stripped = F.transform(lines(text), lambda line, k: F.struct(k.alias("k"), F.trim(line, F.lit(BLANKS)).alias("line")))
-    return F.filter(stripped, lambda x: x["line"] != "")
-
-
-def windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, text's hash, place (of the first line among those that aren't blank), line numbers and hash of every window."""
-    rows = docs.select("doc_id", F.xxhash64(text_of()).alias("version"), solid(text_of()).alias("l"))
-    # A condition in a filter would split every text once more.
-    places = F.when(F.size("l") >= width, F.sequence(F.lit(0), F.size("l") - width))
-
-    def one(k: Column) -> Column:
-        its = [F.get("l", k + j) for j in range(width)]
-        texts = [x["line"] for x in its]
-        return F.struct(k.alias("place"), F.array(*[x["k"] for x in its]).alias("at"), F.xxhash64(*texts).alias("h1"), F.xxhash64(F.lit(1), *reversed(texts)).alias("h2"))
-
-    return rows.select("doc_id", "version", F.explode(F.transform(places, one)).alias("x")).select("doc_id", "version", "x.place", "x.at", "x.h1", "x.h2")
-
-
-def covered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, version, and the numbers of the lines to remove, in order."""
-    found = windows(docs, width)
-    here = F.struct("doc_id", "version", "place")
-    repeated = found.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    # Written, so that the join below deals both sides out anew and Spark can split a frequent window among tasks.
-    later = found.join(cut(repeated, "repeated"), ["h1", "h2"]).where(~here.eqNullSafe(F.col("first")))
-    spans = later.groupBy("doc_id", "version").agg(F.collect_set("at").alias("spans"))
-    return spans.select(F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version"), F.sort_array(F.array_distinct(F.flatten("spans"))).alias("gone"))
-
-
-def dedup(docs: DataFrame, carry: Sequence[str] = (), width: int = WIDTH) -> DataFrame:
-    """doc_id and text without covered lines, what :func:`carried` makes of ``carry``, n_lines, and removed (line numbers from 0)."""
+from turnlake.llm import bloom
+from turnlake.llm.common import SPACE, carried, cut, fitting, pieces, restored, text_of, word_count
+
+#: Lines in a window of lines, words in a window of words; 2 * RUN - 1 is at most 51.
+LINES, RUN = 3, 26
+#: Words whose hashes a task remembers.
+REMEMBERED = 200_000
+#: Texts that are handled at a time.
+TEXTS = 500
+
+#: Odd, so that they have inverses modulo 2 ** 64.
+_WORD, _OTHER = 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
+_powers: dict[int, np.ndarray] = {}
+
+
+class _Hashes(dict):
+    """The first 64 bits of words' MD5; forgets all when it gets too large."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = h = int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:8], "big")
+        return h
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """The first n powers modulo 2 ** 64, at least."""
+    if len(_powers.get(base, ())) < n:
+        each = np.full(max(n, 1 << 16) * 5 // 4, base, np.uint64)
+        each[0] = 1
+        _powers[base] = np.multiply.accumulate(each)
+    return _powers[base]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """Polynomial hashes of runs of values, whatever their places."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power(base, len(values))[: len(values)], out=sums[1:])
+    return _mixed((sums[ends] - sums[starts]) * _power(pow(base, -1, 1 << 64), len(values) + 1)[starts])
+
+
+def _hashed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    return starts, ends, _runs(values, starts, ends, _WORD), _runs(_mixed(values), starts, ends, _OTHER)
+
+
+def begins(hashes: np.ndarray, heads: np.ndarray, run: int = RUN) -> np.ndarray:
+    """The words at which windows of ``run`` words begin; ``heads`` are the words that begin lines."""
+    n = len(hashes)
+    if n < run:
+        return np.zeros(0, np.int64)
+    ends = np.append(heads[1:], n)
+    long = ends - heads >= run
+    own = [np.array([0, n - run]), heads[long], ends[long] - run]
+    if n >= 2 * run - 1:
+        values = (hashes >> np.uint64(32)).astype(np.uint32)[: n - run + 1]
+        # The last of equal values counts.
+        least = run - 1 - np.lib.stride_tricks.sliding_window_view(values, run)[:, ::-1].argmin(1)
+        own.append(least + np.arange(n - 2 * run + 2))
+    return np.unique(np.concatenate(own))
+
+
+def scan(text: str, known: dict) -> tuple[np.ndarray, ...] | None:
+    """First word, word behind the last, and both halves of the hash of each window."""
+    # ``bytes`` splits at just the white space of the contracts.
+    by_line = [words for line in text.encode().split(b"\n") if (words := line.split())]
+    if not by_line:
+        return None
+    hashes = np.array([known[w] for words in by_line for w in words], np.uint64)
+    bounds = np.concatenate(([0], np.cumsum([len(words) for words in by_line])))
+    heads = bounds[:-1]
+    first = begins(hashes, heads)
+    found = [_hashed(hashes, first, first + RUN)]
+    # Words that begin a line count as others, so that windows of lines meet none but such.
+    hashes = hashes.copy()
+    hashes[heads] = _mixed(~hashes[heads])
+    found.append(_hashed(hashes, bounds[:-LINES], bounds[LINES:]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """doc_id, text's hash, first word, word behind the last, and hash of every window."""
+    rows = docs.select("doc_id", F.xxhash64(text_of()).alias("version"), text_of().alias("text"))
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                found = [(k, x) for k, t in enumerate(part.column("text")) if (x := scan(t.as_py(), known)) is not None]
+                if found:
+                    of = pa.array(np.repeat([k for k, _ in found], [len(x[0]) for _, x in found]))
+                    first, behind, h1, h2 = (np.concatenate([x[j] for _, x in found]) for j in range(4))
+                    columns = [part.column("doc_id").take(of), part.column("version").take(of), pa.array(first.astype(np.int32)), pa.array(behind.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "first", "behind", "h1", "h2"])
+
+    return rows.mapInArrow(each, f"doc_id {kind}, version long, first int, behind int, h1 long, h2 long")
+
+
+def covered(docs: DataFrame) -> DataFrame:
+    """of_doc, of_version, and first word and word behind the last of each window to remove, in one array."""
+    found = cut(windows(docs), "windows")
+    here = F.struct("doc_id", "version", "first", "behind")
+    # Half a hash tells nearly all windows that occur once; what it lets through is compared in full.
+    again = cut(found.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"), "again")
+    n = again.count()
+    some = cut(bloom.possible(found, F.xxhash64("h1"), bloom.built(again.select(F.xxhash64("h1")), n), n), "some")
+    repeated = some.groupBy("h1", "h2").agg(F.min(here).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # Rows that repeat doc_id and text count twice but have the same place, which is kept.
+    later = some.join(fitting(cut(repeated, "repeated")), ["h1", "h2"]).where(~here.eqNullSafe(F.col("kept")))
+    spans = later.groupBy("doc_id", "version").agg(F.flatten(F.collect_set(F.array("first", "behind"))).alias("gone"))
+    return spans.select(F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version"), "gone")
+
+
+def without(text: str, spans: Sequence[int]) -> tuple[str, int, str]:
+    """A text without the words of the spans (first word and the one behind the last, in turn), their number, and what was removed; a line of which all words go, goes too."""
+    raw = text.encode()
+    data = np.frombuffer(raw, np.uint8)
+    edge = np.diff(np.concatenate(([0], ((data != 32) & ((data < 9) | (data > 13))).view(np.int8), [0])))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    gone = np.zeros(len(starts) + 1, np.int32)
+    np.add.at(gone, np.asarray(spans[::2], np.int64), 1)
+    np.add.at(gone, np.asarray(spans[1::2], np.int64), -1)
+    gone = np.cumsum(gone) > 0
+    edge = np.diff(np.concatenate(([0], gone[:-1].view(np.int8), [0])))
+    out, at, pairs = [], 0, list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
+    for a, b in pairs:
+        end = int(starts[b]) if b < len(starts) else len(raw)
+        between, begin = raw[ends[b - 1] : end], len(raw[: starts[a]].rstrip(b" \t\r\x0b\x0c"))
+        whole_line = begin == 0 or raw[begin - 1 : begin] == b"\n"
+        out.append(raw[at : begin if whole_line and (b"\n" in between or end == len(raw)) else int(starts[a])])
+        if b"\n" in between:
+            at = int(ends[b - 1]) + (between.rindex(b"\n") + 1 if whole_line else between.index(b"\n"))
+        else:
+            at = end
+    return b"".join([*out, raw[at:]]).decode(), int(gone.sum()), ",".join(f"{a}-{b}" for a, b in pairs)
+
+
+def _cut_out(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(None, 0, "") if t is None else without(t, x) for t, x in zip(texts, spans)], columns=["text", "n_removed", "removed"])
+
+
+def dedup(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id and text without covered words, what :func:`carried` makes of ``carry``, n_removed and removed (words from 0: first-behind, comma-joined)."""
     docs = carried(docs, carry, "doc_id", "text")
-    gone = covered(docs.select("doc_id", "text"), width)
+    gone = covered(docs.select("doc_id", "text"))
     rows = docs.join(gone, docs.doc_id.eqNullSafe(gone.of_doc) & (F.xxhash64(text_of()) == gone.of_version), "left")
-    rows = rows.withColumn("removed", F.coalesce("gone", F.array().cast("array<int>"))).withColumn("all_lines", lines(text_of()))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("all_lines") - 1), F.col("removed"))
-    text = F.when(F.size("removed") > 0, F.array_join(F.transform(stay, lambda k: F.get("all_lines", k)), "\n")).otherwise(F.col("text"))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.size("all_lines").cast("long").alias("n_lines"), "removed")
+    rows = rows.withColumn("less", F.pandas_udf(_cut_out, "text string, n_removed long, removed string")(F.when(F.col("gone").isNotNull(), F.col("text")), F.col("gone")))
+    text = F.coalesce(F.col("less.text"), F.col("text"))
+    return rows.select(
+        *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce("less.n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("less.removed", F.lit("")).alias("removed")
+    )
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """``docs`` with their columns, covered lines cut out of text; n_chars, where there is one, follows."""
+    """``docs`` with their columns, covered words cut out of text; n_chars, where there is one, follows."""
     rows, kinds = dedup(docs, docs.columns), dict(docs.dtypes)
-    cut_out = F.size("removed") > 0
-    return rows.select(*[F.when(cut_out, F.length("text").cast(kinds[c])).otherwise(x).alias(c) if c == "n_chars" else x for c, x in zip(docs.columns, restored(docs.columns, "doc_id", "text"))])
+    return rows.select(*[F.when(F.col("n_removed") > 0, F.length("text").cast(kinds[c])).otherwise(x).alias(c) if c == "n_chars" else x for c, x in zip(docs.columns, restored(docs.columns, "doc_id", "text"))])
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """For each document: doc_id, n_lines, n_removed, removed (numbers, comma-joined), text_sha256 of what stays."""
-    return dedup(docs).select(
-        "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda k: k.cast("string")), ",").alias("removed"),
-        F.sha2(text_of().cast("binary"), 256).alias("text_sha256"),
-    )
+    """For each document: doc_id, n_words, n_removed, removed, and words_sha256 of the words that stay, space-joined."""
+    left = F.array_join(pieces(text_of(), f"[{SPACE}]+"), " ")
+    return dedup(docs).select("doc_id", (word_count(text_of()) + F.col("n_removed")).alias("n_words"), "n_removed", "removed", F.sha2(left.cast("binary"), 256).alias("words_sha256"))

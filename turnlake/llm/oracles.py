@@ -46,18 +46,23 @@ SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesc
 FROM d LEFT JOIN counted USING (r) LEFT JOIN written USING (r) LEFT JOIN more USING (r)
 """
 
-OP3 = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-lines AS (SELECT r, doc_id, k, l[k] AS raw, trim(l[k], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM (SELECT *, unnest(generate_series(1, len(l))) AS k FROM d)),
-solid AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY k) AS place FROM lines WHERE line <> ''),
-w AS (SELECT r, doc_id, place, line AS l1, lead(line) OVER p AS l2, lead(line, 2) OVER p AS l3 FROM solid WINDOW p AS (PARTITION BY r ORDER BY place)),
-f AS (SELECT *, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id NULLS FIRST, place) AS n FROM w WHERE l3 IS NOT NULL),
-gone AS (SELECT DISTINCT r, place + j AS place FROM f, (VALUES (0), (1), (2)) AS v(j) WHERE n > 1),
-x AS (SELECT lines.*, gone.place IS NOT NULL AS out FROM lines LEFT JOIN solid USING (r, k) LEFT JOIN gone ON solid.r = gone.r AND solid.place = gone.place)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE out) AS n_removed,
-       coalesce(string_agg(CAST(k - 1 AS VARCHAR), ',' ORDER BY k) FILTER (WHERE out), '') AS removed,
-       sha256(coalesce(string_agg(raw, chr(10) ORDER BY k) FILTER (WHERE NOT out), '')) AS text_sha256
-FROM x GROUP BY r, doc_id
+OP3 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+lines AS (SELECT r, doc_id, k, list_filter(string_split_regex(l[k], '{SPACE}+'), lambda x: x <> '') AS w FROM (SELECT *, unnest(generate_series(1, len(l))) AS k FROM (SELECT r, doc_id, string_split(t, chr(10)) AS l FROM d))),
+solid AS (SELECT r, doc_id, k, w, CAST(sum(len(w)) OVER (PARTITION BY r ORDER BY k) - len(w) AS BIGINT) AS a FROM lines WHERE len(w) > 0),
+text AS (SELECT r, doc_id, flatten(list(w ORDER BY k)) AS w FROM solid GROUP BY r, doc_id),
+v AS (SELECT *, list_transform(w, lambda x: CAST('0x' || md5(x)[1:8] AS BIGINT)) AS v FROM text WHERE len(w) >= 26),
+here AS (SELECT r, s + 26 - list_position(list_reverse(v[s + 1 : s + 26]), list_min(v[s + 1 : s + 26])) AS a FROM (SELECT r, v, unnest(generate_series(0, len(v) - 51)) AS s FROM v WHERE len(v) > 50)
+  UNION SELECT r, 0 FROM v UNION SELECT r, len(w) - 26 FROM v UNION SELECT r, a FROM solid WHERE len(w) >= 26 UNION SELECT r, a + len(w) - 26 FROM solid WHERE len(w) >= 26),
+windows AS (SELECT 1 AS kind, r, doc_id, a, a + 26 AS e, [w[a + 1 : a + 26]] AS g FROM here JOIN text USING (r)
+  UNION ALL SELECT 2, r, doc_id, a, a + len(w) + len(w2) + len(w3), [w, w2, w3] FROM (SELECT *, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM solid WINDOW p AS (PARTITION BY r ORDER BY k)) WHERE w3 IS NOT NULL),
+later AS (SELECT r, a, e FROM (SELECT *, row_number() OVER (PARTITION BY kind, g ORDER BY doc_id NULLS FIRST, a) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT r, unnest(range(a, e)) AS p FROM later),
+runs AS (SELECT r, min(p) AS a, max(p) + 1 AS e FROM (SELECT r, p, p - row_number() OVER (PARTITION BY r ORDER BY p) AS island FROM gone) GROUP BY r, island),
+told AS (SELECT r, sum(e - a) AS n, string_agg(a || '-' || e, ',' ORDER BY a) AS removed FROM runs GROUP BY r),
+stay AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS s FROM (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM text) ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT d.doc_id, coalesce(len(w), 0) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(s, '')) AS words_sha256
+FROM d LEFT JOIN text USING (r) LEFT JOIN told USING (r) LEFT JOIN stay USING (r)
 """
 
 OP4 = rf"""
