@@ -69,5 +69,5 @@ def test_clusters_match_the_greedy_walk(spark):
 
 def test_phrases_drop_parts_of_equal_reach(spark):
     found = spark.createDataFrame([("a b", 5, 9), ("a b c", 5, 9), ("b c", 5, 8), ("x y", 4, 4)], "phrase string, sessions long, n long")
-    assert [r["phrase"] for r in similarity.pruned(spark, found).collect()] == ["a b c", "x y"]
-    assert [r["phrase"] for r in similarity.pruned(spark, found, limit=1).collect()] == ["a b c"]
+    assert [r["phrase"] for r in similarity.pruned(found).collect()] == ["a b c", "x y"]
+    assert [r["phrase"] for r in similarity.pruned(found, limit=1).collect()] == ["a b c"]

@@ -190,18 +190,32 @@ def tickets(text: Column) -> Column:
     return F.filter(found, real)
 
 
-def normalized(text: Column) -> Column:
+#: For each mask, in order, what a text must match for it to apply: a pass over the text that copies nothing.
+_HAS = (r"```", r"://", r"(?U)-\d", r"[\\/]", r"(?U)\d")
+
+
+def _masked(text: Column) -> Column:
     """Lower case, with fences dropped and urls, keys, paths and numbers masked, in that order."""
     out = F.lower(_some(text))
-    for pattern, mask in MASKS:
-        out = F.regexp_replace(out, pattern, mask)
-    return _spaced(out)
+    for (pattern, mask), has in zip(MASKS, _HAS):
+        out = _replaced(out, pattern, mask, has)
+    return out
+
+
+def _replaced(text: Column, pattern: str, mask: str, has: str) -> Column:
+    """All matches of a pattern replaced in texts that match ``has``; an array of one binds the text, which a plain condition would work out twice."""
+    return F.get(F.transform(F.array(text), lambda x: F.when(x.rlike(has), F.regexp_replace(x, pattern, mask)).otherwise(x)), F.lit(0))
+
+
+def normalized(text: Column) -> Column:
+    """A text masked, its white space as single spaces."""
+    return _spaced(_masked(text))
 
 
 def content_tokens(text: Column) -> Column:
     """Tokens of more than two characters that aren't stop words, in order; masks vanish, as they are in upper case."""
     # Splitting takes time in proportion to the text; extracting all matches copies it for each of them.
-    tokens = F.array_remove(F.split(normalized(text), BETWEEN_TOKENS, -1), "")
+    tokens = F.array_remove(F.split(_masked(text), BETWEEN_TOKENS, -1), "")
     return F.filter(tokens, lambda t: (F.length(t) > 2) & ~t.isin(*STOPWORDS))
 
 

@@ -72,7 +72,7 @@ def jaccard_pairs(m, f: Filters = EVERYTHING) -> DataFrame:
 def _clustered(prompts: DataFrame, rank: list) -> DataFrame:
     """uuid and seed of every prompt that has enough tokens."""
     found = cut(similarity.items(prompts, rank).select("uuid", "tokens", "n", "order"), "items")
-    return similarity.leaders(found, similarity.jaccard_pairs(found)).join(found.select("uuid", "tokens"), "uuid")
+    return similarity.leaders(found).join(found.select("uuid", "tokens"), "uuid")
 
 
 @query
@@ -111,7 +111,7 @@ def phrase_counts(m, f: Filters = EVERYTHING) -> DataFrame:
 @query
 def phrases(m, f: Filters = EVERYTHING) -> DataFrame:
     """The best phrases of human prompts, without parts of others."""
-    return similarity.pruned(m.spark, similarity.phrases(_human(m, f)))
+    return similarity.pruned(similarity.phrases(_human(m, f)))
 
 
 @query
