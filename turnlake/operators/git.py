@@ -29,7 +29,7 @@ def outcomes(shell: DataFrame, order: Sequence[str]) -> DataFrame:
 def evidence(rows: DataFrame, kind: str, keys) -> DataFrame:
     """key, session_id, project, date, evidence and n for the issue keys in an array column of ``rows``."""
     found = rows.where(F.col("session_id").isNotNull()).select("session_id", "project", "date", F.explode(keys).alias("key"))
-    first = F.min_by("project", F.coalesce("date", F.lit("9999"))).alias("project")
+    first = F.min_by("project", F.struct(F.coalesce("date", F.lit("9999")), "project")).alias("project")
     return found.groupBy("key", "session_id").agg(first, F.min("date").alias("date"), F.count(F.lit(1)).alias("n")).withColumn("evidence", F.lit(kind))
 
 

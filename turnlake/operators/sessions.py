@@ -49,7 +49,7 @@ def facts(messages: DataFrame, sessions: DataFrame, tools: DataFrame, prompts: D
     """
     when = lambda cond, value: F.sum(F.expr(f"CASE WHEN {cond} THEN {value} ELSE 0 END"))
     m = messages.groupBy("session_id").agg(
-        F.max_by("project", "ts").alias("project"), F.min("ts").alias("started"), F.max("ts").alias("ended"), when("usage_dupe = 0", "1").alias("api_calls"),
+        F.max_by("project", F.struct("ts", "uuid")).alias("project"), F.min("ts").alias("started"), F.max("ts").alias("ended"), when("usage_dupe = 0", "1").alias("api_calls"),
         F.sum(F.expr("input_tokens + output_tokens + cache_write + cache_read")).alias("total_tokens"), F.sum("cache_read").alias("cache_read"), F.sum(F.expr("input_tokens + cache_write")).alias("billed_in"),
         _cents(F.sum("cost_usd")).alias("cost_usd"), F.sum("tool_uses").alias("tool_uses"), when(NESTED, "cost_usd").alias("nested_cost"), when(NESTED, "tool_uses").alias("nested_tools"),
         F.max(F.expr("CASE WHEN model ILIKE 'claude-opus%' THEN 1 ELSE 0 END")).alias("uses_opus"), F.count_distinct(F.expr("CASE WHEN model <> '<synthetic>' THEN model END")).alias("distinct_models"),

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.filters import Filters
-
 Plan = Callable[..., DataFrame]
 CATALOGUE: dict[str, Plan] = {}
 
@@ -31,7 +29,3 @@ def exprs(**by_name: str) -> list[Column]:
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first rows by an order that names a key last, so that ties fall the same way each time."""
     return df.orderBy(*order).limit(n)
-
-
-def filtered(f: Filters, *tables: DataFrame) -> list[DataFrame]:
-    return [f.apply(t) for t in tables]

@@ -79,7 +79,7 @@ FROM split LEFT JOIN price USING (model)""",
     "signs": f"""SELECT session_id, project, strftime(first_ts, '%Y-%m-%d') AS date, 'title' AS evidence, unnest({_KEYS.format("concat_ws(' ', ai_title, custom_title)")}) AS key FROM session
   UNION ALL SELECT session_id, project, strftime(first_ts, '%Y-%m-%d'), 'branch', unnest({_KEYS.format("git_branch")}) FROM session UNION ALL SELECT session_id, project, date, 'prompt', unnest(tickets) FROM prompt
   UNION ALL SELECT session_id, project, date, 'file', unnest({_KEYS.format("file_path")}) FROM tool UNION ALL SELECT session_id, project, date, 'commit', unnest({_KEYS.format("subject")}) FROM git WHERE kind = 'commit'""",
-    "ticket": "SELECT key, session_id, evidence, arg_min(project, coalesce(date, '9999')) AS project, min(date) AS date, CASE evidence WHEN 'branch' THEN 1 ELSE count(*) END AS n FROM signs GROUP BY key, session_id, evidence",
+    "ticket": "SELECT key, session_id, evidence, arg_min(project, (coalesce(date, '9999'), project)) AS project, min(date) AS date, CASE evidence WHEN 'branch' THEN 1 ELSE count(*) END AS n FROM signs GROUP BY key, session_id, evidence",
     "chat_message": "SELECT m.* EXCLUDE (date), coalesce(m.date, s.date) AS date, CASE WHEN m.date IS NOT NULL THEN 'exact' WHEN s.date IS NOT NULL THEN 'session' END AS ts_source FROM raw_chat_message m LEFT JOIN chat_session s USING (composer_id)",
     "chat_counted": "SELECT s.*, coalesce(n, 0) AS message_count FROM chat_session s LEFT JOIN (SELECT composer_id, count(*) AS n FROM chat_message GROUP BY 1) USING (composer_id)",
     "fact": f"""SELECT m.*, coalesce(custom_title, ai_title, agent_name, m.session_id) AS title, entrypoint, cwd, coalesce(tool_calls, 0) AS tool_calls, coalesce(readonly_calls, 0) AS readonly_calls, coalesce(agent_calls, 0) AS agent_calls,
@@ -87,7 +87,7 @@ FROM split LEFT JOIN price USING (model)""",
   coalesce(interrupts, 0) AS interrupts, coalesce(compactions, 0) AS compactions, (epoch_us(ended) - epoch_us(started)) // 1000 AS wall_ms, CASE WHEN coalesce(entrypoint, '') IN ('cli', '') THEN 0 ELSE 1 END AS headless,
   CASE WHEN coalesce(tool_calls, 0) > 0 THEN round(readonly_calls / tool_calls, 2) ELSE 0.0 END AS readonly_share, CASE WHEN coalesce(tool_calls, 0) > 0 THEN CAST(round(CAST(cost_usd / tool_calls AS DECIMAL(28, 10)), 4) AS DOUBLE) END AS cost_per_tool,
   CASE WHEN (epoch_us(ended) - epoch_us(started)) // 1000 > 0 AND turn_ms > 0 THEN round(turn_ms / ((epoch_us(ended) - epoch_us(started)) // 1000), 2) END AS parallelism, coalesce(round(cache_read / nullif(cache_read + billed_in, 0) * 100, 1), 0.0) AS cache_hit
-FROM (SELECT session_id, arg_max(project, ts) AS project, min(ts) AS started, max(ts) AS ended, {_c("usage_dupe = 0")} AS api_calls, {_s("input_tokens + output_tokens + cache_write + cache_read")} AS total_tokens, {_s("cache_read")} AS cache_read,
+FROM (SELECT session_id, arg_max(project, (ts, uuid)) AS project, min(ts) AS started, max(ts) AS ended, {_c("usage_dupe = 0")} AS api_calls, {_s("input_tokens + output_tokens + cache_write + cache_read")} AS total_tokens, {_s("cache_read")} AS cache_read,
     {_s("input_tokens + cache_write")} AS billed_in, CAST(round(CAST(sum(cost_usd) AS DECIMAL(28, 10)), 4) AS DOUBLE) AS cost_usd, {_s("tool_uses")} AS tool_uses, sum(CASE WHEN transcript <> 'main' OR is_sidechain = 1 THEN cost_usd ELSE 0 END) AS nested_cost,
     {_s("CASE WHEN transcript <> 'main' OR is_sidechain = 1 THEN tool_uses ELSE 0 END")} AS nested_tools, max(CASE WHEN model LIKE 'claude-opus%' THEN 1 ELSE 0 END) AS uses_opus,
     count(DISTINCT CASE WHEN model <> '<synthetic>' THEN model END) AS distinct_models, count(error_kind) AS error_replies FROM message GROUP BY session_id) m
@@ -161,7 +161,7 @@ _BODIES: dict[str, str] = {
     "top_files": f"SELECT file_path, max(file_ext) AS file_ext, count(*) AS touches, {_s('lines_added')} AS lines_added, {_s('lines_removed')} AS lines_removed, count(DISTINCT session_id) AS sessions, count(*) FILTER (WHERE name IN ('Edit', 'Write', 'NotebookEdit')) AS writes, count(*) FILTER (WHERE name = 'Read') AS reads FROM tool WHERE file_path IS NOT NULL GROUP BY 1 ORDER BY touches DESC, file_path LIMIT 40",
     "files_by_ext": f"SELECT file_ext, count(*) AS touches, count(DISTINCT file_path) AS files, {_s('lines_added')} AS lines_added, {_s('lines_removed')} AS lines_removed FROM tool WHERE file_ext IS NOT NULL GROUP BY 1 ORDER BY touches DESC, file_ext LIMIT 25",
     "bash_programs": f"SELECT bash_program AS program, count(*) AS calls, {_s('is_error')} AS errors, {_s('interrupted')} AS interrupted, round(avg(latency_ms), 0) AS avg_latency_ms FROM tool WHERE bash_program IS NOT NULL GROUP BY 1 ORDER BY calls DESC, program LIMIT 30",
-    "sessions": f"SELECT g.*, coalesce(custom_title, ai_title, agent_name, g.session_id) AS title, git_branch, version, cwd FROM (SELECT session_id, arg_max(project, ts) AS project, {_STAMP.format('min(ts)')} AS started, {_STAMP.format('max(ts)')} AS ended, {_BILLED} AS messages, {_TOKENS} AS total_tokens, {_COST} AS cost_usd, {_s('tool_uses')} AS tool_uses, {_s('is_sidechain')} AS sidechain_messages FROM message GROUP BY 1 ORDER BY total_tokens DESC, session_id LIMIT 60) g LEFT JOIN session s ON s.session_id = g.session_id",
+    "sessions": f"SELECT g.*, coalesce(custom_title, ai_title, agent_name, g.session_id) AS title, git_branch, version, cwd FROM (SELECT session_id, arg_max(project, (ts, uuid)) AS project, {_STAMP.format('min(ts)')} AS started, {_STAMP.format('max(ts)')} AS ended, {_BILLED} AS messages, {_TOKENS} AS total_tokens, {_COST} AS cost_usd, {_s('tool_uses')} AS tool_uses, {_s('is_sidechain')} AS sidechain_messages FROM message GROUP BY 1 ORDER BY total_tokens DESC, session_id LIMIT 60) g LEFT JOIN session s ON s.session_id = g.session_id",
     "session_shape": f"SELECT session_id, {_BILLED} AS messages, {_TOKENS} AS total_tokens, {_COST} AS cost_usd FROM message GROUP BY 1",
     "session_histogram": f"SELECT CASE WHEN n = 1 THEN '1' WHEN n <= 4 THEN '2-4' WHEN n <= 9 THEN '5-9' WHEN n <= 24 THEN '10-24' WHEN n <= 49 THEN '25-49' WHEN n <= 99 THEN '50-99' WHEN n <= 249 THEN '100-249' WHEN n <= 499 THEN '250-499' ELSE '500+' END AS bucket, count(*) AS sessions FROM (SELECT {_BILLED} AS n FROM message GROUP BY session_id) WHERE n > 0 GROUP BY 1",
     "prompts_by_source": "SELECT coalesce(source, '(unlabelled)') AS source, CASE WHEN is_human = 1 THEN 'you' ELSE 'automated' END AS who, count(*) AS n, round(avg(chars), 0) AS avg_chars FROM prompt GROUP BY 1, 2",

@@ -216,7 +216,7 @@ def bash_programs(m, f: Filters = EVERYTHING) -> DataFrame:
 def sessions(m, f: Filters = EVERYTHING) -> DataFrame:
     """The sixty sessions with most tokens."""
     rows = f.apply(m.messages).groupBy("session_id").agg(
-        F.max_by("project", "ts").alias("project"),
+        F.max_by("project", F.struct("ts", "uuid")).alias("project"),
         *exprs(started=f"date_format(min(ts), '{STAMP}')", ended=f"date_format(max(ts), '{STAMP}')", messages=BILLED, total_tokens=TOKENS, cost_usd=COST, tool_uses="sum(tool_uses)", sidechain_messages="sum(is_sidechain)"),
     )
     # Only what the report shows meets the sessions' own rows.

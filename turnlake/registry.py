@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnlake.plans import behaviour, chats, delivery, mining, usage  # noqa: F401  (they fill the catalogue)
+from turnlake.plans import behaviour, chats, delivery, generated, mining, oracles, usage  # noqa: F401  (they fill the catalogue)
 from turnlake.plans.adapters import Model
 from turnlake.plans.catalogue import CATALOGUE
-from turnlake.plans.oracles import ORACLES  # noqa: F401
 
 
 def bound(plan: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: plan(Model(spark, sf_dir))
 
 
-QUERIES = {name: bound(plan) for name, plan in CATALOGUE.items()}
+QUERIES = {name: bound(plan) for name, plan in CATALOGUE.items()} | generated.QUERIES
+ORACLES = oracles.ORACLES | generated.ORACLES

@@ -4,6 +4,9 @@ The built-in file stream takes each file once and misses what is appended to it
 later. This source keeps an offset for each file instead: its consumed bytes
 and a fingerprint of its first bytes, so that a file that was rewritten is read
 from its start. A last line without its line feed waits for the next batch.
+Rows of a batch that read a file from its start say so (``restarted``); of a
+file that was rewritten a row without a value comes besides, so that readers
+learn of it even if the file has no lines any more.
 Files must be where the driver and the executors reach them by path.
 """
 
@@ -22,8 +25,8 @@ HEAD, PIECE = 256, 64 << 20
 
 
 class Span(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, start: int, end: int, restarted: bool = False, rewritten: bool = False):
+        self.path, self.start, self.end, self.restarted, self.rewritten = path, start, end, restarted, rewritten
 
 
 def fingerprint(path: str, size: int) -> str:
@@ -68,15 +71,19 @@ class TailReader(DataSourceStreamReader):
             consumed, head, mark = before.get(path, [0, 0, ""])
             same = consumed and consumed <= size and fingerprint(path, head) == mark
             at = consumed if same else 0
+            if consumed and not same:
+                out.append(Span(path, 0, 0, True, True))
             while at < size:
                 # Pieces end at line ends; a line longer than a piece is one of its own.
                 to = last_line_end(path, at, min(at + PIECE, size)) if at + PIECE < size else size
                 to = to if to > at else size
-                out.append(Span(path, at, to))
+                out.append(Span(path, at, to, not same))
                 at = to
         return out or [Span("", 0, 0)]
 
     def read(self, partition: Span) -> Iterator[tuple]:
+        if partition.rewritten:
+            yield (None, partition.path, -1, True)
         if partition.end > partition.start:
             with open(partition.path, "rb") as f:
                 f.seek(partition.start)
@@ -87,7 +94,7 @@ class TailReader(DataSourceStreamReader):
                         break
                     text = line.decode("utf-8", "replace").rstrip("\r\n")
                     if text.strip():
-                        yield (text, partition.path, at)
+                        yield (text, partition.path, at, partition.restarted)
                     at += len(line)
 
 
@@ -99,13 +106,13 @@ class TailSource(DataSource):
         return "jsonl_tail"
 
     def schema(self) -> str:
-        return "value string, file string, byte_offset long"
+        return "value string, file string, byte_offset long, restarted boolean"
 
     def streamReader(self, schema) -> TailReader:
         return TailReader(self.options["path"], self.options.get("suffix", ".jsonl"))
 
 
 def stream(spark: SparkSession, path: str):
-    """New lines of all files under ``path``: value, file, byte_offset."""
+    """New lines of all files under ``path``: value, file, byte_offset, restarted."""
     spark.dataSource.register(TailSource)
     return spark.readStream.format("jsonl_tail").option("path", path).load()

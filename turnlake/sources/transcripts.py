@@ -40,27 +40,36 @@ def located(lines: DataFrame) -> DataFrame:
 
 
 class Transcripts:
-    """Model tables of the files under ``home``, or of bronze lines (value, file) that were read before."""
+    """Model tables of the files under ``home``, or of bronze lines (value, file, byte_offset) that were read before.
 
-    def __init__(self, spark: SparkSession, home: str, lines: DataFrame | None = None):
-        self.spark, self.home, self._lines = spark, home.rstrip("/"), lines
+    Records are in order of file, then of their place in it: where several say
+    something of one session, call or response, the first or last in this order
+    counts, whatever their times are.
+    """
+
+    def __init__(self, spark: SparkSession, home: str, lines: DataFrame | None = None, records: DataFrame | None = None):
+        self.spark, self.home, self._lines, self._records = spark, home.rstrip("/"), lines, records
 
     @cached_property
     def lines(self) -> DataFrame:
+        """value, file and place (struct) of every line."""
         if self._lines is not None:
-            return self._lines
+            return self._lines.select("value", "file", F.struct(F.col("byte_offset").alias("block"), F.lit(0).cast("long").alias("k")).alias("place"))
         found = self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(f"{self.home}/projects")
-        return found.select("value", F.col("_metadata.file_path").alias("file"))
+        # Rows of one block of a file are read in order by one task; their numbers tell that order, if nothing else.
+        return found.select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k")).alias("place"))
 
     @cached_property
     def records(self) -> DataFrame:
+        if self._records is not None:
+            return self._records
         rows = located(parse(self.lines)).where("v IS NOT NULL")
         ts = times.parsed(get("timestamp"))
         return rows.select(
             "v", "folder", "transcript", "workflow_id", get("type").alias("type"), F.coalesce(get("sessionId"), get("session_id")).alias("session_id"), get("uuid").alias("uuid"), ts.alias("ts"), times.day(ts).alias("date"),
             F.hour(ts).alias("hour"), F.weekday(ts).alias("dow"), get("cwd").alias("cwd"),
             F.coalesce(get("isSidechain", "boolean"), F.lit(False)).cast("int").alias("is_sidechain"), get("message.content", "array<variant>").alias("blocks"),
-            F.when(get("message.content", "array<variant>").isNull(), get("message.content")).alias("plain"), F.struct(ts, get("uuid")).alias("at"),
+            F.when(get("message.content", "array<variant>").isNull(), get("message.content")).alias("plain"), F.struct("file", "place").alias("at"),
         )
 
     @cached_property
@@ -189,8 +198,8 @@ class Transcripts:
 
     @cached_property
     def git(self) -> DataFrame:
-        shell = self._results.where("stdout <> ''").select("session_id", "folder", F.col("result_ts").alias("ts"), "date", "stdout", F.col("tool_use_id").alias("id"))
-        return git.outcomes(self._labelled(shell), ["ts", "id"])
+        shell = self._results.where("stdout <> ''").select("session_id", "folder", F.col("result_ts").alias("ts"), "date", "stdout", "at", F.col("tool_use_id").alias("id"))
+        return git.outcomes(self._labelled(shell), ["at", "id"])
 
     @cached_property
     def tickets(self) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from turnlake.sources import tail
@@ -22,11 +23,12 @@ def start(spark: SparkSession, home: str, bronze: str, checkpoint: str) -> Strea
     return tail.stream(spark, f"{home}/projects").writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def model(spark: SparkSession, home: str, bronze: str) -> Transcripts:
-    """Model tables over the bronze lines.
+def current(bronze: DataFrame) -> DataFrame:
+    """The lines of ``bronze`` that are in their files now: those since a file was last read from its start."""
+    since = bronze.where("restarted").groupBy(F.col("file").alias("of")).agg(F.max("batch").alias("since"))
+    return bronze.join(since, bronze.file == since.of, "left").where((F.col("batch") >= F.coalesce("since", F.lit(0))) & F.col("value").isNotNull()).select("value", "file", "byte_offset")
 
-    A file that was rewritten is in bronze more than once; of each file and
-    offset the last batch counts.
-    """
-    lines = spark.read.parquet(bronze)
-    return Transcripts(spark, home, lines.dropDuplicates(["value", "file", "byte_offset"]).select("value", "file"))
+
+def model(spark: SparkSession, home: str, bronze: str) -> Transcripts:
+    """Model tables over the bronze lines; a file that was rewritten counts as it is now."""
+    return Transcripts(spark, home, current(spark.read.parquet(bronze)))
