@@ -128,6 +128,9 @@ FROM (SELECT event_id, user_id, props, ts - {d.minutes.format("43200 + (event_id
 SELECT 'old-' || event_type AS model, CAST(sum({k}) AS BIGINT) AS input_tokens, CAST(sum({k} * 2) AS BIGINT) AS output_tokens, CAST(sum(event_id % 11) AS BIGINT) AS cache_read, CAST(sum(event_id % 5) AS BIGINT) AS cache_write,
        CAST(sum(CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS web_searches
 FROM events GROUP BY event_type""",
+        "legacy_meta": f"""
+SELECT 'totalMessages' AS key, CAST(count(*) AS {s}) AS value FROM events UNION ALL SELECT 'totalSessions' AS key, CAST(count(DISTINCT user_id) AS {s}) AS value FROM events
+UNION ALL SELECT 'firstSessionDate' AS key, {day("min(ts)")} AS value FROM events""",
         "run": "SELECT CAST(n_nationkey AS BIGINT) AS id, CASE n_nationkey % 2 WHEN 0 THEN 'transcripts' ELSE 'chats' END AS source, n_regionkey * 10 AS files_seen, n_regionkey AS files_read, n_nationkey * 100 AS rows_added, n_name AS note FROM nation",
         "chat_session": f"""
 SELECT 'k' || c_custkey AS composer_id, c_name AS name, CASE WHEN c_nationkey % 9 <> 0 THEN 'q' || (c_nationkey % 6) END AS project, CASE WHEN c_custkey % 8 <> 0 THEN lower(c_mktsegment) END AS mode,
@@ -149,7 +152,7 @@ FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 1""",
 
 #: Tables that are their projection as it is.
 PLAIN = {
-    "turns": "turn", "events": "event", "subagents": "subagent", "history": "history", "folders": "folder", "legacy_days": "legacy_day", "legacy_models": "legacy_model",
+    "turns": "turn", "events": "event", "subagents": "subagent", "history": "history", "folders": "folder", "legacy_days": "legacy_day", "legacy_models": "legacy_model", "legacy_meta": "legacy_meta",
     "runs": "run", "chat_sessions": "chat_session", "ai_lines": "ai_line", "chat_titles": "chat_title", "shell": "shell",
 }
 

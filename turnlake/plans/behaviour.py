@@ -150,6 +150,16 @@ def habit_counts(m, f: Filters = EVERYTHING) -> DataFrame:
     )
 
 
+@query
+def habit_ratios(m, f: Filters = EVERYTHING) -> DataFrame:
+    """Human prompts that correct something, and sessions that open with a continuation, in hundredths of all; two rows of totals meet."""
+    said = f.apply(m.prompts).where("is_human = 1").agg(*exprs(prompts="count(1)", corrections="count_if(array_contains(intents, 'correction'))"))
+    opened = openers(m, f).agg(*exprs(sessions="coalesce(sum(n), 0)", continuations="coalesce(sum(CASE WHEN kind = 'continuation' THEN n END), 0)"))
+    return said.crossJoin(opened).select(
+        "corrections", *exprs(correction_pct="coalesce(round(corrections / nullif(prompts, 0) * 100, 1), 0)", continuation_opener_pct="round(continuations / greatest(1, sessions) * 100, 1)")
+    )
+
+
 @query
 def errors(m, f: Filters = EVERYTHING) -> DataFrame:
     return f.apply(m.messages).where("error_kind IS NOT NULL").groupBy("error_kind").agg(*exprs(n="count(1)", sessions="count(DISTINCT session_id)", first_day="min(date)", last_day="max(date)"))

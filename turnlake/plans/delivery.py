@@ -99,6 +99,12 @@ def ticket_ledger(m, f: Filters = EVERYTHING) -> DataFrame:
     return rows.orderBy(rank, F.desc("n_commit"), F.desc("sessions"), "key")
 
 
+@query
+def ticket_totals(m, f: Filters = EVERYTHING) -> DataFrame:
+    """How many issues the ledger has, and how many of them were delivered or worked on."""
+    return ticket_ledger(m, f).agg(*exprs(ticket_count="count(1)", tickets_delivered="count_if(status = 'delivered')", tickets_worked="count_if(status = 'worked')"))
+
+
 @query
 def dropped_prefixes(m, f: Filters = EVERYTHING) -> DataFrame:
     return top(_ledger(m, f).where("NOT kept").select("prefix").distinct(), 40, F.asc("prefix"))

@@ -197,6 +197,7 @@ _BODIES: dict[str, str] = {
     "delegation": f"SELECT {_c('agent_calls > 0 OR nested_tools > 0')} AS delegating_sessions, round(sum(nested_tools) / sum(tool_calls) * 100, 1) AS delegated_tool_share, round(sum(nested_cost) / greatest(1e-9, sum(cost_usd)) * 100, 1) AS delegated_cost_share, coalesce(round(median(cost_per_tool) FILTER (WHERE (agent_calls > 0 OR nested_tools > 0) AND cost_per_tool <> 0), 4), 0) AS cost_per_tool_delegating, coalesce(round(median(cost_per_tool) FILTER (WHERE NOT (agent_calls > 0 OR nested_tools > 0) AND tool_calls > 0 AND cost_per_tool <> 0), 4), 0) AS cost_per_tool_direct FROM fact",
     "parallel_sessions": f"SELECT {_SLIM}, parallelism, turn_ms, wall_ms, cost_usd, agent_calls FROM fact WHERE parallelism > 1.05 ORDER BY parallelism DESC, session_id LIMIT 12",
     "overnight_sessions": f"SELECT {_SLIM}, wall_ms, cost_usd, prompts, tool_calls FROM fact WHERE wall_ms > 14400000 AND (hour(fact.started) >= 17 OR hour(fact.started) <= 3) ORDER BY wall_ms DESC, session_id LIMIT 10",
+    "habit_ratios": "SELECT corrections, coalesce(round(corrections / nullif(prompts, 0) * 100, 1), 0) AS correction_pct, round(coalesce(continuations, 0) / greatest(1, sessions) * 100, 1) AS continuation_opener_pct FROM (SELECT count(*) AS prompts, count(*) FILTER (WHERE list_contains(intents, 'correction')) AS corrections FROM prompt WHERE is_human = 1), (SELECT count(*) AS sessions, count(*) FILTER (WHERE is_slash = 0 AND regexp_matches(t, '(?i)^(yes|ok|okay|continue|go|proceed|do it|now |also |and |next|then |it |still|no[,. ])')) AS continuations FROM (SELECT *, coalesce(text, '')[1:400] AS t, row_number() OVER (PARTITION BY session_id ORDER BY ts, uuid) AS k FROM prompt WHERE is_human = 1) WHERE k = 1)",
     "habit_counts": f"SELECT count(*) AS sessions, {_c('headless = 0')} AS interactive_sessions, {_c('headless = 0 AND prompts <= 1')} AS one_prompt_sessions, {_c('headless = 0 AND prompts >= 10')} AS long_sessions, {_s('corrections')} AS corrections, {_s('interrupts')} AS interrupts, {_s('compactions')} AS compactions FROM fact",
     "errors": "SELECT error_kind, count(*) AS n, count(DISTINCT session_id) AS sessions, min(date) AS first_day, max(date) AS last_day FROM message WHERE error_kind IS NOT NULL GROUP BY 1",
     "error_daily": "SELECT date, error_kind, count(*) AS n FROM message WHERE error_kind IS NOT NULL GROUP BY 1, 2",
@@ -222,6 +223,8 @@ _BODIES: dict[str, str] = {
     "git_subcommands": r"SELECT cmd, count(*) AS n FROM (SELECT unnest(regexp_extract_all(bash_command, '\bgit\s+(?:--?\S+\s+)*([a-z][a-z\-]+)', 1)) AS cmd FROM tool WHERE bash_command LIKE '%git %') GROUP BY 1 ORDER BY n DESC, cmd LIMIT 15",
     "ticket_keys": "SELECT key, count(*) AS n FROM (SELECT unnest(tickets) AS key FROM prompt) GROUP BY 1",
     "ticket_ledger": f"SELECT * EXCLUDE (prefix, kept), CASE WHEN n_commit > 0 THEN 'delivered' WHEN n_branch + n_title + n_prompt + n_file > 0 THEN 'worked' ELSE 'referenced' END AS status FROM ({_LEDGER}) WHERE kept",
+    "ticket_totals": f"SELECT count(*) AS ticket_count, count(*) FILTER (WHERE n_commit > 0) AS tickets_delivered, count(*) FILTER (WHERE n_commit = 0 AND n_branch + n_title + n_prompt + n_file > 0) AS tickets_worked FROM ({_LEDGER}) WHERE kept",
+    "legacy_meta": "SELECT key, value FROM legacy_meta",
     "dropped_prefixes": f"SELECT DISTINCT prefix FROM ({_LEDGER}) WHERE NOT kept ORDER BY prefix LIMIT 40",
     "time_coverage": f"SELECT round(sum(turn_ms) / 3600000, 1) AS active_hours, {_c('turn_ms > 0')} AS timed_sessions, round(sum(total_tokens) FILTER (WHERE turn_ms > 0) / sum(total_tokens) * 100, 1) AS time_coverage_pct, round(sum(cost_usd), 2) AS cost_usd FROM fact",
     "roi_model": f"SELECT round(source_added / 60.0, 1) AS hours, round(source_added / 60.0 * 75.0, 2) AS value_usd, round(source_added / 60.0 * 75.0 / (SELECT sum(cost_usd) FROM message), 1) AS multiple FROM ({_SOURCE})",

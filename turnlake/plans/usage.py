@@ -333,6 +333,12 @@ def legacy_only(m, f: Filters = EVERYTHING) -> DataFrame:
     return only.agg(*exprs(days_only_in_cache="count(1)", messages_only_in_cache="coalesce(sum(messages), 0)", live_first_day="max(live)"))
 
 
+@query
+def legacy_meta(m, f: Filters = EVERYTHING) -> DataFrame:
+    """Totals that the roll-up cache keeps beside its lists."""
+    return m.legacy_meta.select("key", "value")
+
+
 @query
 def streaks(m, f: Filters = EVERYTHING) -> DataFrame:
     """Longest run of days, the run that ends on the last active day, and days in all.

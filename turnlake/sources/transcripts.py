@@ -18,6 +18,8 @@ from turnlake.functions import paths, text, times
 from turnlake.operators import git, prompts, responses, sessions
 
 RESULT_TEXTS = ("stdout", "content", "result", "text")
+#: Totals of the roll-up cache beside its lists.
+CACHE_META = ("totalSessions", "totalMessages", "firstSessionDate", "lastComputedDate", "longestSession", "hourCounts")
 
 
 def get(path: str, kind: str = "string", of: Column | str = "v") -> Column:
@@ -241,3 +243,11 @@ class Transcripts:
         rows = self._cache.select(F.explode(get("modelUsage", "map<string, variant>")).alias("model", "u"))
         names = {"input_tokens": "inputTokens", "output_tokens": "outputTokens", "cache_read": "cacheReadInputTokens", "cache_write": "cacheCreationInputTokens", "web_searches": "webSearchRequests"}
         return rows.select("model", *[F.coalesce(get(k, "long", of=F.col("u")), F.lit(0)).alias(c) for c, k in names.items()])
+
+    @cached_property
+    def legacy_meta(self) -> DataFrame:
+        """Totals of the roll-up cache that it has, as JSON: key and value; texts are bare."""
+        value = F.col("kv.value")
+        plain = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
+        rows = self._cache.select(F.explode(F.map_entries(F.try_variant_get("v", "$", "map<string, variant>"))).alias("kv"))
+        return rows.where(F.col("kv.key").isin(*CACHE_META)).select(F.col("kv.key").alias("key"), plain.alias("value"))
