@@ -19,12 +19,13 @@ def all_windows(text):
     lines = [w for line in (text or "").split("\n") if (w := split(line))]
     words = [w for line in lines for w in line]
     at = [sum(map(len, lines[:k])) for k in range(len(lines) + 1)]
-    value = [hashlib.md5(w.encode()).hexdigest()[:8] for w in words]
+    v = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in words]
+    value = [(a + 1000003 * b + 998244353 * c) % 4294967291 for a, b, c in zip(v, v[1:], v[2:])]
     starts = {0, len(words) - RUN} if len(words) >= RUN else set()
     for k, line in enumerate(lines):
         starts |= {at[k], at[k + 1] - RUN} if len(line) >= RUN else set()
     for s in range(len(words) - 2 * RUN + 2):
-        starts.add(max(range(s, s + RUN), key=lambda p: (-int(value[p], 16), p)))
+        starts.add(max(range(s, s + RUN), key=lambda p: (-value[p], p)))
     out = [((1, *words[p : p + RUN]), p, p + RUN) for p in starts]
     return words, sorted(out + [((2, *map(tuple, lines[k : k + 3])), at[k], at[k + 3]) for k in range(len(lines) - 2)], key=lambda x: x[1])
 

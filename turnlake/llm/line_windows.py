@@ -9,9 +9,9 @@ words go, go too.
 
 Lines may be long, and a passage of one or two of them would be in no window
 that repeats. So runs of RUN words are windows, too: those that begin at a word
-whose hash is the least of RUN neighbours, which depends on nothing but the
-words around it, and the first and last RUN words of a text and of each line of
-as many. Two runs of over 2 * RUN - 2 (that is, 50) equal words thus have a
+which, hashed with the next two, is the least of RUN neighbours, which depends on
+nothing but the words around it; and the first and last RUN words of a text and
+of each line of as many. Two runs of over 2 * RUN - 2 (that is, 50) equal words thus have a
 window in common wherever lines begin and end, and windows within a run leave
 no gap; of a run within lines up to RUN - 1 words stay at either end. Shorter
 repeated runs may go, too, but none of fewer than RUN words unless it is three
@@ -32,23 +32,26 @@ empty result; other columns are left alone. Lines end with a line feed.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm import bloom
-from turnlake.llm.common import SPACE, carried, cut, fitting, pieces, restored, text_of, word_count
+from turnlake.llm.common import SPACE, carried, cut, pieces, restored, text_of, word_count
+from turnlake.operators import bloom
 
 #: Lines in a window of lines, words in a window of words; 2 * RUN - 1 is at most 51.
 LINES, RUN = 3, 26
 #: Words whose hashes a task remembers.
 REMEMBERED = 200_000
 #: Texts that are handled at a time.
-TEXTS = 500
+TEXTS = 200
+
+#: Factors of the second and third of three words, and a prime modulus, with which sums of 32-bit numbers stay below 2 ** 63.
+MARKS = (1000003, 998244353, 4294967291)
 
 #: Odd, so that they have inverses modulo 2 ** 64.
 _WORD, _OTHER = 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
@@ -91,38 +94,63 @@ def _hashed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return starts, ends, _runs(values, starts, ends, _WORD), _runs(_mixed(values), starts, ends, _OTHER)
 
 
-def begins(hashes: np.ndarray, heads: np.ndarray, run: int = RUN) -> np.ndarray:
-    """The words at which windows of ``run`` words begin; ``heads`` are the words that begin lines."""
-    n = len(hashes)
-    if n < run:
-        return np.zeros(0, np.int64)
-    ends = np.append(heads[1:], n)
-    long = ends - heads >= run
-    own = [np.array([0, n - run]), heads[long], ends[long] - run]
-    if n >= 2 * run - 1:
-        values = (hashes >> np.uint64(32)).astype(np.uint32)[: n - run + 1]
-        # The last of equal values counts.
-        least = run - 1 - np.lib.stride_tricks.sliding_window_view(values, run)[:, ::-1].argmin(1)
-        own.append(least + np.arange(n - 2 * run + 2))
+def marks(hashes: np.ndarray) -> np.ndarray:
+    """A number below 2 ** 32 for each three neighbouring words, so that a frequent word with a small one doesn't begin a window wherever it stands."""
+    v = hashes >> np.uint64(32)
+    return (v[:-2] + np.uint64(MARKS[0]) * v[1:-1] + np.uint64(MARKS[1]) * v[2:]) % np.uint64(MARKS[2])
+
+
+def least(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of each ``width`` neighbouring values stands, of equal ones the last."""
+    last = np.int64((1 << 31) - 1)
+    key, done = (values.astype(np.int64) << np.int64(31)) | (last - np.arange(len(values), dtype=np.int64)), 1
+    while done < width:
+        step = min(done, width - done)
+        key, done = np.minimum(key[:-step], key[step:]), done + step
+    return last - (key & last)
+
+
+def begins(hashes: np.ndarray, texts: np.ndarray, heads: np.ndarray, run: int = RUN) -> np.ndarray:
+    """The words at which windows of ``run`` words begin, in the words of many texts; ``texts`` and ``heads`` are where texts and lines begin, and the end."""
+    own = []
+    for bounds in (texts, heads):
+        long = np.diff(bounds) >= run
+        own += [bounds[:-1][long], bounds[1:][long] - run]
+    n = np.diff(texts)
+    if n.max(initial=0) >= 2 * run - 1:
+        at = least(marks(hashes), run)
+        # Neighbours are of one text, and so are all words of their runs.
+        k = np.arange(len(hashes)) - np.repeat(texts[:-1], n)
+        own.append(at[np.flatnonzero(k + 2 * run - 1 <= np.repeat(n, n))])
     return np.unique(np.concatenate(own))
 
 
-def scan(text: str, known: dict) -> tuple[np.ndarray, ...] | None:
-    """First word, word behind the last, and both halves of the hash of each window."""
-    # ``bytes`` splits at just the white space of the contracts.
-    by_line = [words for line in text.encode().split(b"\n") if (words := line.split())]
-    if not by_line:
-        return None
-    hashes = np.array([known[w] for words in by_line for w in words], np.uint64)
-    bounds = np.concatenate(([0], np.cumsum([len(words) for words in by_line])))
-    heads = bounds[:-1]
-    first = begins(hashes, heads)
+def scan(texts: list[str], known: dict) -> tuple[np.ndarray, ...]:
+    """Number of the text, first word, word behind the last, and both halves of the hash of each window."""
+    words, lengths, counts = array("Q"), array("q"), []
+    for text in texts:
+        before = len(lengths)
+        for line in text.encode().split(b"\n"):
+            # ``bytes`` splits at just the white space of the contracts.
+            if said := line.split():
+                words.extend(map(known.__getitem__, said))
+                lengths.append(len(said))
+        counts.append(len(lengths) - before)
+    hashes = np.array(words, np.uint64)
+    heads = np.concatenate(([0], np.cumsum(np.array(lengths, np.int64))))
+    n_lines = np.array(counts, np.int64)
+    of_text = np.concatenate(([0], np.cumsum(n_lines)))
+    bounds = heads[of_text]
+    first = begins(hashes, bounds, heads)
     found = [_hashed(hashes, first, first + RUN)]
     # Words that begin a line count as others, so that windows of lines meet none but such.
-    hashes = hashes.copy()
-    hashes[heads] = _mixed(~hashes[heads])
-    found.append(_hashed(hashes, bounds[:-LINES], bounds[LINES:]))
-    return tuple(np.concatenate(x) for x in zip(*found))
+    hashes[heads[:-1]] = _mixed(~hashes[heads[:-1]])
+    k = np.arange(len(heads) - 1) - np.repeat(of_text[:-1], n_lines)
+    line = np.flatnonzero(k + LINES <= np.repeat(n_lines, n_lines))
+    found.append(_hashed(hashes, heads[line], heads[line + LINES]))
+    first, behind, h1, h2 = (np.concatenate(x) for x in zip(*found))
+    of = np.searchsorted(bounds, first, "right") - 1
+    return of, first - bounds[of], behind - bounds[of], h1, h2
 
 
 def windows(docs: DataFrame) -> DataFrame:
@@ -135,12 +163,9 @@ def windows(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
-                found = [(k, x) for k, t in enumerate(part.column("text")) if (x := scan(t.as_py(), known)) is not None]
-                if found:
-                    of = pa.array(np.repeat([k for k, _ in found], [len(x[0]) for _, x in found]))
-                    first, behind, h1, h2 = (np.concatenate([x[j] for _, x in found]) for j in range(4))
-                    columns = [part.column("doc_id").take(of), part.column("version").take(of), pa.array(first.astype(np.int32)), pa.array(behind.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "first", "behind", "h1", "h2"])
+                of, first, behind, h1, h2 = scan(part.column("text").to_pylist(), known)
+                columns = [part.column("doc_id").take(pa.array(of)), part.column("version").take(pa.array(of)), pa.array(first.astype(np.int32)), pa.array(behind.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "first", "behind", "h1", "h2"])
 
     return rows.mapInArrow(each, f"doc_id {kind}, version long, first int, behind int, h1 long, h2 long")
 
@@ -155,7 +180,7 @@ def covered(docs: DataFrame) -> DataFrame:
     some = cut(bloom.possible(found, F.xxhash64("h1"), bloom.built(again.select(F.xxhash64("h1")), n), n), "some")
     repeated = some.groupBy("h1", "h2").agg(F.min(here).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # Rows that repeat doc_id and text count twice but have the same place, which is kept.
-    later = some.join(fitting(cut(repeated, "repeated")), ["h1", "h2"]).where(~here.eqNullSafe(F.col("kept")))
+    later = some.join(cut(repeated, "repeated").hint("merge"), ["h1", "h2"]).where(~here.eqNullSafe(F.col("kept")))
     spans = later.groupBy("doc_id", "version").agg(F.flatten(F.collect_set(F.array("first", "behind"))).alias("gone"))
     return spans.select(F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version"), "gone")
 
@@ -184,8 +209,16 @@ def without(text: str, spans: Sequence[int]) -> tuple[str, int, str]:
     return b"".join([*out, raw[at:]]).decode(), int(gone.sum()), ",".join(f"{a}-{b}" for a, b in pairs)
 
 
-def _cut_out(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([(None, 0, "") if t is None else without(t, x) for t, x in zip(texts, spans)], columns=["text", "n_removed", "removed"])
+_LESS = pa.struct([("text", pa.string()), ("n_removed", pa.int64()), ("removed", pa.string())])
+
+
+def _cut_out(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """What :func:`without` makes of each text that has spans, some at a time, so that few are copied at once."""
+    done = []
+    for at in range(0, len(texts), TEXTS):
+        part = [without(t.as_py(), x.as_py()) if t.is_valid else (None, 0, "") for t, x in zip(texts[at : at + TEXTS], spans[at : at + TEXTS])]
+        done.append(pa.StructArray.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*part), _LESS)], fields=list(_LESS)))
+    return pa.concat_arrays(done) if done else pa.array([], _LESS)
 
 
 def dedup(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -193,7 +226,7 @@ def dedup(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     docs = carried(docs, carry, "doc_id", "text")
     gone = covered(docs.select("doc_id", "text"))
     rows = docs.join(gone, docs.doc_id.eqNullSafe(gone.of_doc) & (F.xxhash64(text_of()) == gone.of_version), "left")
-    rows = rows.withColumn("less", F.pandas_udf(_cut_out, "text string, n_removed long, removed string")(F.when(F.col("gone").isNotNull(), F.col("text")), F.col("gone")))
+    rows = rows.withColumn("less", F.arrow_udf(_cut_out, "text string, n_removed long, removed string")(F.when(F.col("gone").isNotNull(), F.col("text")), F.col("gone")))
     text = F.coalesce(F.col("less.text"), F.col("text"))
     return rows.select(
         *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce("less.n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("less.removed", F.lit("")).alias("removed")

@@ -51,8 +51,8 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FRO
 lines AS (SELECT r, doc_id, k, list_filter(string_split_regex(l[k], '{SPACE}+'), lambda x: x <> '') AS w FROM (SELECT *, unnest(generate_series(1, len(l))) AS k FROM (SELECT r, doc_id, string_split(t, chr(10)) AS l FROM d))),
 solid AS (SELECT r, doc_id, k, w, CAST(sum(len(w)) OVER (PARTITION BY r ORDER BY k) - len(w) AS BIGINT) AS a FROM lines WHERE len(w) > 0),
 text AS (SELECT r, doc_id, flatten(list(w ORDER BY k)) AS w FROM solid GROUP BY r, doc_id),
-v AS (SELECT *, list_transform(w, lambda x: CAST('0x' || md5(x)[1:8] AS BIGINT)) AS v FROM text WHERE len(w) >= 26),
-here AS (SELECT r, s + 26 - list_position(list_reverse(v[s + 1 : s + 26]), list_min(v[s + 1 : s + 26])) AS a FROM (SELECT r, v, unnest(generate_series(0, len(v) - 51)) AS s FROM v WHERE len(v) > 50)
+v AS (SELECT *, list_transform(generate_series(1, len(v) - 2), lambda i: (v[i] + 1000003 * v[i + 1] + 998244353 * v[i + 2]) % 4294967291) AS m FROM (SELECT *, list_transform(w, lambda x: CAST('0x' || md5(x)[1:8] AS BIGINT)) AS v FROM text WHERE len(w) >= 26)),
+here AS (SELECT r, s + 26 - list_position(list_reverse(m[s + 1 : s + 26]), list_min(m[s + 1 : s + 26])) AS a FROM (SELECT r, m, unnest(generate_series(0, len(v) - 51)) AS s FROM v WHERE len(v) > 50)
   UNION SELECT r, 0 FROM v UNION SELECT r, len(w) - 26 FROM v UNION SELECT r, a FROM solid WHERE len(w) >= 26 UNION SELECT r, a + len(w) - 26 FROM solid WHERE len(w) >= 26),
 windows AS (SELECT 1 AS kind, r, doc_id, a, a + 26 AS e, [w[a + 1 : a + 26]] AS g FROM here JOIN text USING (r)
   UNION ALL SELECT 2, r, doc_id, a, a + len(w) + len(w2) + len(w3), [w, w2, w3] FROM (SELECT *, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM solid WINDOW p AS (PARTITION BY r ORDER BY k)) WHERE w3 IS NOT NULL),
