@@ -71,3 +71,40 @@ def test_phrases_drop_parts_of_equal_reach(spark):
     found = spark.createDataFrame([("a b", 5, 9), ("a b c", 5, 9), ("b c", 5, 8), ("x y", 4, 4)], "phrase string, sessions long, n long")
     assert [r["phrase"] for r in similarity.pruned(found).collect()] == ["a b c", "x y"]
     assert [r["phrase"] for r in similarity.pruned(found, limit=1).collect()] == ["a b c"]
+
+
+def test_clusters_phrases_and_candidates_match_plain_code(spark):
+    from collections import Counter, defaultdict
+
+    from pyspark.sql import functions as F
+
+    from turnlake.filters import EVERYTHING
+    from turnlake.functions import text
+    from turnlake.plans import mining
+
+    m = Model(spark, "/root/testdata/sf0.01")
+    rows = mining._human(m, EVERYTHING).select("uuid", "session_id", "ts", "is_slash", text.content_tokens(F.col("text")).alias("t")).collect()
+    sets = [(r["uuid"], set(r["t"][:120]), r["ts"]) for r in rows if not r["is_slash"]]
+    sets = sorted((x for x in sets if len(x[1]) >= 6), key=lambda x: (-len(x[1]), x[2], x[0]))
+    session, members = {r["uuid"]: r["session_id"] for r in rows}, defaultdict(list)
+    for uuid, seed in greedy([x[:2] for x in sets]).items():
+        members[seed].append(uuid)
+    wide = {(seed, len(us), len({session[u] for u in us})) for seed, us in members.items() if len(us) >= 3}
+    assert wide and {(r["seed"], r["size"], r["sessions"]) for r in mining.clusters(m).collect()} == wide
+
+    n, reach, kept = Counter(), defaultdict(set), []
+    for r in rows:
+        for k in (2, 3, 4):
+            for i in range(len(r["t"]) - k + 1):
+                phrase = " ".join(r["t"][i : i + k])
+                n[phrase] += 1
+                reach[phrase].add(r["session_id"])
+    for p in sorted((p for p in n if len(reach[p]) >= 4), key=lambda p: (-len(reach[p]), -n[p], -len(p), p)):
+        if not any(p in q and len(reach[q]) == len(reach[p]) for q in kept):
+            kept.append(p)
+    assert [(r["phrase"], r["sessions"], r["n"]) for r in mining.phrases(m).collect()] == [(p, len(reach[p]), n[p]) for p in kept[:60]]
+
+    repeats = [(r["sessions"], r["size"], r["key"]) for r in mining.families(m).collect()]
+    best = [("cluster", seed, k * s) for seed, k, s in sorted(wide, key=lambda x: (-x[2], -x[1], x[0]))[:25]]
+    best += [("repeat", key, 2 * k * s) for s, k, key in sorted(repeats, key=lambda x: (-x[0], -x[1], x[2]))[:25]]
+    assert [(r["kind"], r["name"], r["score"]) for r in mining.candidates(m).collect()] == sorted(best, key=lambda x: (-x[2], x[0], x[1]))[:30]
