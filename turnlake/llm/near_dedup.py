@@ -185,9 +185,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        # Both minima are written, so that the joins deal their sides out anew and Spark can split a node with many neighbours.
+        low = cut(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "low")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
+        large = cut(large, "large")
+        least = cut(large.groupBy("a").agg(F.min("b").alias("low")), "least")
         down = large.join(least, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
         edges = cut(down.where("a <> b").distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(xxhash64(b, a) as decimal(38, 0)))")).first()
