@@ -1,7 +1,8 @@
 import re
 
 from tests.llm.conftest import rows_of
-from turnlake.llm import bloom, common, url_filter
+from turnlake.llm import common, url_filter
+from turnlake.operators import bloom
 
 PAGES = "page_id long, url string, html string"
 

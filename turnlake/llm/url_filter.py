@@ -26,8 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import bloom
 from turnlake.llm.common import cut, fitting, pick
+from turnlake.operators import bloom
 
 #: (host, path, verdict): the rules that win over the list of urls.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -98,8 +98,8 @@ def judge(pages: DataFrame, listing: DataFrame, url: str = "url", keep: Sequence
     name = F.concat("key_host", "key_path")
     best = F.min(F.struct((~F.col("is_rule")).alias("late"), (-F.length(name)).alias("short"), name.alias("name"), F.col("verdict").alias("verdict")))
     # Written, so that the join below deals both sides out anew and Spark can split a frequent url among tasks;
-    # as compressed files tell little of how large urls are in memory, it is measured before it is broadcast.
+    # it grows with the pages, so it isn't broadcast.
     won = cut(hits.groupBy("host", "path").agg(best.alias("best")).select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), F.col("best.late").alias("late"), F.col("best.name").alias("name"), F.col("best.verdict").alias("found")), "won")
-    return urls.join(fitting(won), (urls.host == won.of_host) & (urls.path == won.of_path), "left").select(
+    return urls.join(won.hint("merge"), (urls.host == won.of_host) & (urls.path == won.of_path), "left").select(
         *keep, "host", "path", F.when(~F.col("late"), F.col("name")).alias("rule"), F.coalesce("found", F.lit("allow")).alias("verdict")
     )
