@@ -6,7 +6,8 @@ import sys
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import DOCS, rows_of
-from turnlake.llm import bloom, common, decontam
+from turnlake.llm import common, decontam
+from turnlake.operators import bloom
 
 ITEMS = "item_id long, text string"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
