@@ -31,7 +31,6 @@ empty result; other columns are left alone. Lines end with a line feed.
 
 from __future__ import annotations
 
-import hashlib
 from array import array
 from collections.abc import Iterator, Sequence
 
@@ -41,75 +40,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.llm.common import SPACE, carried, cut, pieces, restored, text_of, word_count
+from turnlake.llm.word_hashes import WordHashes, hashed_runs, least, mixed
 from turnlake.operators import bloom
 
 #: Lines in a window of lines, words in a window of words; 2 * RUN - 1 is at most 51.
 LINES, RUN = 3, 26
-#: Words whose hashes a task remembers.
-REMEMBERED = 200_000
 #: Texts that are handled at a time.
 TEXTS = 200
 
 #: Factors of the second and third of three words, and a prime modulus, with which sums of 32-bit numbers stay below 2 ** 63.
 MARKS = (1000003, 998244353, 4294967291)
 
-#: Odd, so that they have inverses modulo 2 ** 64.
-_WORD, _OTHER = 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
-_powers: dict[int, np.ndarray] = {}
-
-
-class _Hashes(dict):
-    """The first 64 bits of words' MD5; forgets all when it gets too large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:8], "big")
-        return h
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """The first n powers modulo 2 ** 64, at least."""
-    if len(_powers.get(base, ())) < n:
-        each = np.full(max(n, 1 << 16) * 5 // 4, base, np.uint64)
-        each[0] = 1
-        _powers[base] = np.multiply.accumulate(each)
-    return _powers[base]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hashes of runs of values, whatever their places."""
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _power(base, len(values))[: len(values)], out=sums[1:])
-    return _mixed((sums[ends] - sums[starts]) * _power(pow(base, -1, 1 << 64), len(values) + 1)[starts])
-
-
-def _hashed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    return starts, ends, _runs(values, starts, ends, _WORD), _runs(_mixed(values), starts, ends, _OTHER)
-
-
 def marks(hashes: np.ndarray) -> np.ndarray:
     """A number below 2 ** 32 for each three neighbouring words, so that a frequent word with a small one doesn't begin a window wherever it stands."""
     v = hashes >> np.uint64(32)
     return (v[:-2] + np.uint64(MARKS[0]) * v[1:-1] + np.uint64(MARKS[1]) * v[2:]) % np.uint64(MARKS[2])
 
 
-def least(values: np.ndarray, width: int) -> np.ndarray:
-    """Where the least of each ``width`` neighbouring values stands, of equal ones the last."""
-    last = np.int64((1 << 31) - 1)
-    key, done = (values.astype(np.int64) << np.int64(31)) | (last - np.arange(len(values), dtype=np.int64)), 1
-    while done < width:
-        step = min(done, width - done)
-        key, done = np.minimum(key[:-step], key[step:]), done + step
-    return last - (key & last)
-
-
 def begins(hashes: np.ndarray, texts: np.ndarray, heads: np.ndarray, run: int = RUN) -> np.ndarray:
     """The words at which windows of ``run`` words begin, in the words of many texts; ``texts`` and ``heads`` are where texts and lines begin, and the end."""
     own = []
@@ -142,12 +89,12 @@ def scan(texts: list[str], known: dict) -> tuple[np.ndarray, ...]:
     of_text = np.concatenate(([0], np.cumsum(n_lines)))
     bounds = heads[of_text]
     first = begins(hashes, bounds, heads)
-    found = [_hashed(hashes, first, first + RUN)]
+    found = [hashed_runs(hashes, first, first + RUN)]
     # Words that begin a line count as others, so that windows of lines meet none but such.
-    hashes[heads[:-1]] = _mixed(~hashes[heads[:-1]])
+    hashes[heads[:-1]] = mixed(~hashes[heads[:-1]])
     k = np.arange(len(heads) - 1) - np.repeat(of_text[:-1], n_lines)
     line = np.flatnonzero(k + LINES <= np.repeat(n_lines, n_lines))
-    found.append(_hashed(hashes, heads[line], heads[line + LINES]))
+    found.append(hashed_runs(hashes, heads[line], heads[line + LINES]))
     first, behind, h1, h2 = (np.concatenate(x) for x in zip(*found))
     of = np.searchsorted(bounds, first, "right") - 1
     return of, first - bounds[of], behind - bounds[of], h1, h2
@@ -159,7 +106,7 @@ def windows(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
+        known = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
@@ -221,10 +168,8 @@ def _cut_out(texts: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.concat_arrays(done) if done else pa.array([], _LESS)
 
 
-def dedup(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id and text without covered words, what :func:`carried` makes of ``carry``, n_removed and removed (words from 0: first-behind, comma-joined)."""
-    docs = carried(docs, carry, "doc_id", "text")
-    gone = covered(docs.select("doc_id", "text"))
+def removed(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text and others) without the words that ``gone`` (of_doc, of_version, spans) names, n_removed and removed (words from 0: first-behind, comma-joined)."""
     rows = docs.join(gone, docs.doc_id.eqNullSafe(gone.of_doc) & (F.xxhash64(text_of()) == gone.of_version), "left")
     rows = rows.withColumn("less", F.arrow_udf(_cut_out, "text string, n_removed long, removed string")(F.when(F.col("gone").isNotNull(), F.col("text")), F.col("gone")))
     text = F.coalesce(F.col("less.text"), F.col("text"))
@@ -233,6 +178,12 @@ def dedup(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def dedup(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id and text without covered words, what :func:`carried` makes of ``carry``, n_removed and removed (words from 0: first-behind, comma-joined)."""
+    docs = carried(docs, carry, "doc_id", "text")
+    return removed(docs, covered(docs.select("doc_id", "text")))
+
+
 def clean(docs: DataFrame) -> DataFrame:
     """``docs`` with their columns, covered words cut out of text; n_chars, where there is one, follows."""
     rows, kinds = dedup(docs, docs.columns), dict(docs.dtypes)
