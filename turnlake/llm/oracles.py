@@ -161,4 +161,16 @@ SELECT page_id, host, path, CASE WHEN NOT late THEN name END AS rule, coalesce(v
 FROM u LEFT JOIN fits ON u.k = fits.k AND n = 1
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1, "op2_secret_scan": OP2, "op3_line_dedup": OP3, "op4_near_dedup": OP4, "op5_mixing": OP5, "op6_decontamination": OP6, "op8_chat_format": OP8, "op9_warc": OP9, "op10_url_filter": OP10}
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '{SPACE}+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT r, doc_id, s, md5(array_to_string(w[s + 1 : s + 50], ' ')) AS g FROM (SELECT *, unnest(range(0, len(w) - 49)) AS s FROM d WHERE len(w) >= 50)),
+later AS (SELECT r, s FROM (SELECT *, rank() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT r, unnest(range(s, s + 50)) AS p FROM later),
+runs AS (SELECT r, min(p) AS a, max(p) + 1 AS e FROM (SELECT r, p, p - row_number() OVER (PARTITION BY r ORDER BY p) AS island FROM gone) GROUP BY r, island),
+told AS (SELECT r, sum(e - a) AS n, string_agg(a || '-' || e, ',' ORDER BY a) AS removed FROM runs GROUP BY r),
+stay AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS s FROM (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d) ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN told USING (r) LEFT JOIN stay USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1, "op2_secret_scan": OP2, "op3_line_dedup": OP3, "op4_near_dedup": OP4, "op5_mixing": OP5, "op6_decontamination": OP6, "op8_chat_format": OP8, "op9_warc": OP9, "op10_url_filter": OP10, "op13_substring_dedup": OP13}
