@@ -173,4 +173,34 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 FROM d LEFT JOIN told USING (r) LEFT JOIN stay USING (r)
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1, "op2_secret_scan": OP2, "op3_line_dedup": OP3, "op4_near_dedup": OP4, "op5_mixing": OP5, "op6_decontamination": OP6, "op8_chat_format": OP8, "op9_warc": OP9, "op10_url_filter": OP10, "op13_substring_dedup": OP13}
+#: CRC-32 of a text's bytes: the polynomial is 0xEDB88320, each step takes one bit.
+_BITS = "list_reduce(range(0, 8), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, {})"
+_CRC32 = "xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, x: " + _BITS.format("xor(c, x)") + ", 4294967295))"
+
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_CRC32} AS h, list_filter(string_split_regex(coalesce(text, ''), '{SPACE}+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT *, (h // 10) % greatest(len(w), 1) AS a FROM d),
+t AS (SELECT r, doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN list_transform(range(0, len(w)), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(w) - a) // (3 + (h // 10) % 8)) END + 1]) ELSE w END AS w FROM c),
+words AS (SELECT r, unnest(w) AS x, unnest(range(0, len(w))) AS i FROM t),
+pairs AS (SELECT a.r, a.i, b.i - a.i AS q FROM words a JOIN words b ON a.r = b.r AND a.x = b.x AND b.i > a.i),
+parts AS (SELECT r, q, min(i) AS start, max(i) - min(i) + 1 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs) GROUP BY r, q, island),
+runs AS (SELECT r, start, length, min(q) AS period FROM parts WHERE length >= greatest(12, 2 * q) GROUP BY r, start, length),
+told AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s, min((-length, start, period)) AS best FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+stay AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS s FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_runs, 0) AS n_runs, CAST(best[2] AS BIGINT) AS start, CAST(-best[1] AS BIGINT) AS length, CAST(best[3] AS BIGINT) AS period, CAST(-1000 * best[1] // best[3] AS BIGINT) AS exponent_milli,
+  sha256(coalesce(told.s, '')) AS runs_sha256, sha256(coalesce(stay.s, '')) AS collapsed_sha256
+FROM t LEFT JOIN told USING (r) LEFT JOIN stay USING (r)
+"""
+
+OP12 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1, "op2_secret_scan": OP2, "op3_line_dedup": OP3, "op4_near_dedup": OP4, "op5_mixing": OP5, "op6_decontamination": OP6, "op8_chat_format": OP8, "op9_warc": OP9, "op10_url_filter": OP10, "op11_periodic_runs": OP11, "op12_hard_negatives": OP12, "op13_substring_dedup": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import chat, decontam, exact_dedup, line_windows, mixing, near_dedup, secret_links, substring, toxicity, url_filter, warc
+from turnlake.llm import chat, decontam, exact_dedup, hard_negatives, line_windows, mixing, near_dedup, periodic, secret_links, substring, toxicity, url_filter, warc
 from turnlake.llm.oracles import ORACLES  # noqa: F401  (read by the entry module)
 
 
@@ -67,6 +67,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(periodic.planted(table(spark, sf_dir, "documents")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(table(spark, sf_dir, "documents"))
 
@@ -75,6 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_secret_scan, op3_line_dedup, op4_near_dedup, op5_mixing, op6_decontamination, op7_toxicity, op8_chat_format, op9_warc, op10_url_filter,
-        op13_substring_dedup,
+        op11_periodic_runs, op12_hard_negatives, op13_substring_dedup,
     )
 }
