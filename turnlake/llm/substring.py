@@ -21,7 +21,8 @@ merged, also those of neighbouring seeds, so what comes out are maximal repeats
 of at least WINDOW words. No pair of documents is ever made, and a window is
 looked at once for each class.
 
-Hot anchors, classes and windows are counted with partial sums and meet their
+Anchors that one document alone has are told by a Bloom filter of all others and
+go first. Hot anchors, classes and windows are counted with partial sums and meet their
 one summary row in joins that Spark can split. One document's seeds and spans
 are the most that is gathered in one place. Equal hashes (128 bits) are taken as
 equal words.
@@ -45,6 +46,7 @@ from pyspark.sql import functions as F
 from turnlake.llm import line_windows
 from turnlake.llm.common import SPACE, carried, cut, pieces, restored, text_of, word_count
 from turnlake.llm.word_hashes import WordHashes, hashed_runs, least, runs
+from turnlake.operators import bloom
 
 #: Words in a window, and in the runs that may be its anchor.
 WINDOW, HALF = 50, 25
@@ -145,11 +147,15 @@ def _by_document(spans: DataFrame, name: str) -> DataFrame:
 def repeats(docs: DataFrame, window: int = WINDOW, half: int = HALF) -> DataFrame:
     """doc_id, version (the text's hash), first word and word behind the last of spans that earlier documents have, too; they overlap."""
     found = cut(seeds(docs, window, half), "seeds")
-    classes = cut(found.groupBy("anchor", "h1", "h2").agg(*_who()), "classes")
+    # Anchors of one document alone, most of them, go before anything else is shuffled.
+    met_again = cut(found.groupBy("anchor").agg(*_who()).where(_several()).select("anchor"), "anchors")
+    n, key = met_again.count(), F.xxhash64("anchor")
+    some = bloom.possible(found, key, bloom.built(met_again.select(key), n), n)
+    classes = cut(some.groupBy("anchor", "h1", "h2").agg(*_who()), "classes")
     again = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("unnamed").alias("unnamed"))
     parted = again.where(_several() & (F.col("n") > 1)).select("anchor", F.lit(True).alias("parted"))
     shared = classes.join(parted.hint("merge"), "anchor", "left").withColumn("parted", F.coalesce("parted", F.lit(False))).where(_several() | F.col("parted"))
-    met = cut(found.drop("anchor").join(shared.select("h1", "h2", "low", "unnamed", "parted").hint("merge"), ["h1", "h2"]).select("doc_id", "version", "first", "behind", _later().alias("later"), "parted"), "met")
+    met = cut(some.drop("anchor").join(shared.select("h1", "h2", "low", "unnamed", "parted").hint("merge"), ["h1", "h2"]).select("doc_id", "version", "first", "behind", _later().alias("later"), "parted"), "met")
     whole = met.where("later").select("doc_id", "version", "first", "behind")
     # Windows of the first documents of classes: all others have the same ones, and later.
     steps = cut(windows(docs, _by_document(met.where("parted AND NOT later"), "spans"), window), "steps")
