@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnlake.plans import behaviour, chats, delivery, generated, mining, oracles, usage  # noqa: F401  (they fill the catalogue)
+from turnlake.plans import behaviour, chats, delivery, following, generated, mining, oracles, usage  # noqa: F401  (they fill the catalogue)
 from turnlake.plans.adapters import Model
 from turnlake.plans.catalogue import CATALOGUE
 
@@ -15,5 +15,5 @@ def bound(plan: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataF
     return lambda spark, sf_dir: plan(Model(spark, sf_dir))
 
 
-QUERIES = {name: bound(plan) for name, plan in CATALOGUE.items()} | generated.QUERIES
-ORACLES = oracles.ORACLES | generated.ORACLES
+QUERIES = {name: bound(plan) for name, plan in CATALOGUE.items()} | generated.QUERIES | following.QUERIES
+ORACLES = oracles.ORACLES | generated.ORACLES | following.ORACLES

@@ -97,13 +97,14 @@ class Transcripts:
         return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "at").alias("x")).select(*keys, "x.*")
 
     @cached_property
-    def messages(self) -> DataFrame:
+    def message_lines(self) -> DataFrame:
+        """Every line of a response as it was logged, replaced ones and repeats included."""
         r = self.records.where("type = 'assistant'")
         kind = lambda name: F.filter(F.coalesce("blocks", F.array().cast("array<variant>")), lambda b: get("type", of=b) == name)
         chars = lambda name, field: F.aggregate(kind(name), F.lit(0), lambda n, b: n + F.coalesce(F.length(get(field, of=b)), F.lit(0)))
         number = lambda path: F.coalesce(get(path, "long"), F.lit(0))
         said = F.filter(F.transform(kind("text"), lambda b: get("text", of=b)), lambda t: F.coalesce(t, F.lit("")) != "")
-        rows = r.select(
+        return r.select(
             "uuid", "session_id", "folder", "ts", "date", "hour", "dow", "type", "transcript", "workflow_id", "is_sidechain", "at", get("message.model").alias("model"), get("message.id").alias("message_id"), get("requestId").alias("request_id"),
             number("message.usage.input_tokens").alias("input_tokens"), number("message.usage.output_tokens").alias("output_tokens"), number("message.usage.cache_creation_input_tokens").alias("cache_write"),
             number("message.usage.cache_read_input_tokens").alias("cache_read"), number("message.usage.cache_creation.ephemeral_5m_input_tokens").alias("eph_5m"), number("message.usage.cache_creation.ephemeral_1h_input_tokens").alias("eph_1h"),
@@ -112,14 +113,18 @@ class Transcripts:
             F.coalesce(get("isApiErrorMessage", "boolean"), F.lit(False)).cast("int").alias("is_api_error"), get("version").alias("version"), get("gitBranch").alias("git_branch"), get("attributionSkill").alias("skill"), get("effort").alias("effort"),
             get("message.stop_reason").alias("stop_reason"), F.coalesce("plain", F.get(said, F.lit(0))).alias("reply"),
         )
+
+    @cached_property
+    def messages(self) -> DataFrame:
+        rows = self.message_lines
         named = rows.where("uuid IS NOT NULL")
         rows = self._last(named, "uuid").unionByName(rows.where("uuid IS NULL"))
         error = F.when(F.col("is_api_error") == 1, "api_error").otherwise(text.error_kind(F.col("reply"), F.col("tool_uses")))
         return self._labelled(responses.priced(responses.billed_once(rows)).withColumn("error_kind", error).drop("reply", "at"))
 
     @cached_property
-    def _results(self) -> DataFrame:
-        """The last result of each tool call: what the block and the record's payload say."""
+    def result_lines(self) -> DataFrame:
+        """Every result of a tool call: what the block and the record's payload say."""
         r = self.records.where("type = 'user'").withColumn("b", F.explode(F.filter("blocks", lambda b: get("type", of=b) == "tool_result")))
         payload = lambda path, kind="string": get(f"toolUseResult.{path}", kind)
         texts = lambda blocks: F.aggregate(F.coalesce(blocks, F.array().cast("array<variant>")), F.lit(0), lambda n, b: n + F.coalesce(F.length(get("text", of=b)), F.lit(0)))
@@ -142,18 +147,22 @@ class Transcripts:
         return rows.where("tool_use_id IS NOT NULL")
 
     @cached_property
-    def tools(self) -> DataFrame:
+    def call_lines(self) -> DataFrame:
+        """Every tool call as it was logged."""
         r = self.records.where("type = 'assistant'").withColumn("b", F.explode(F.filter("blocks", lambda b: get("type", of=b) == "tool_use")))
         b, name = F.col("b"), F.coalesce(get("name", of=F.col("b")), F.lit("?"))
         path = F.coalesce(*[F.nullif(get(f"input.{k}", of=b), F.lit("")) for k in ("file_path", "path", "notebook_path")])
         command, mcp = get("input.command", of=b), name.startswith("mcp__")
         given = F.to_json(F.coalesce(get("input", "variant", of=b), F.parse_json(F.lit("{}"))))
-        rows = r.select(
+        return r.select(
             get("id", of=b).alias("tool_use_id"), "session_id", "folder", "ts", "date", "at", name.alias("name"), mcp.cast("int").alias("is_mcp"), F.when(mcp & (F.size(F.split(name, "__")) >= 3), F.get(F.split(name, "__"), F.lit(1))).alias("mcp_server"),
             F.length(given).alias("input_chars"), F.left(given, F.lit(2000)).alias("input"), path.alias("asked_path"), F.left(command, F.lit(1000)).alias("bash_command"), paths.shell_program(command).alias("bash_program"), "transcript",
         ).where("tool_use_id IS NOT NULL")
-        results = self._last(self._results.drop("session_id", "folder", "date", "stdout", "agent_type", "resolved_model", "total_tokens", "total_duration_ms", "tool_use_count"), "tool_use_id").drop("at")
-        joined = self._last(rows, "tool_use_id").drop("at").join(results, "tool_use_id", "left")
+
+    @cached_property
+    def tools(self) -> DataFrame:
+        results = self._last(self.result_lines.drop("session_id", "folder", "date", "stdout", "agent_type", "resolved_model", "total_tokens", "total_duration_ms", "tool_use_count"), "tool_use_id").drop("at")
+        joined = self._last(self.call_lines, "tool_use_id").drop("at").join(results, "tool_use_id", "left")
         file = F.coalesce("asked_path", "result_path")
         wait = F.timestamp_diff("MILLISECOND", F.col("ts"), F.col("result_ts"))
         joined = joined.withColumns({"file_path": file, "file_ext": paths.extension(file), "has_result": F.col("result_ts").isNotNull().cast("int"), "latency_ms": F.when(wait.isNotNull(), F.greatest(wait, F.lit(0)))})
@@ -195,12 +204,12 @@ class Transcripts:
 
     @cached_property
     def subagents(self) -> DataFrame:
-        rows = self._results.where("agent_type IS NOT NULL OR resolved_model IS NOT NULL").select("tool_use_id", "session_id", "folder", F.col("result_ts").alias("ts"), "date", "agent_type", "resolved_model", "total_tokens", "total_duration_ms", "tool_use_count", "at")
+        rows = self.result_lines.where("agent_type IS NOT NULL OR resolved_model IS NOT NULL").select("tool_use_id", "session_id", "folder", F.col("result_ts").alias("ts"), "date", "agent_type", "resolved_model", "total_tokens", "total_duration_ms", "tool_use_count", "at")
         return self._labelled(self._last(rows, "tool_use_id").drop("at"))
 
     @cached_property
     def git(self) -> DataFrame:
-        shell = self._results.where("stdout <> ''").select("session_id", "folder", F.col("result_ts").alias("ts"), "date", "stdout", "at", F.col("tool_use_id").alias("id"))
+        shell = self.result_lines.where("stdout <> ''").select("session_id", "folder", F.col("result_ts").alias("ts"), "date", "stdout", "at", F.col("tool_use_id").alias("id"))
         return git.outcomes(self._labelled(shell), ["at", "id"])
 
     @cached_property
