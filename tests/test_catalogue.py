@@ -1,3 +1,4 @@
+import random
 import sys
 from pathlib import Path
 
@@ -14,7 +15,7 @@ from compare import TABLES, value  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 #: Results that depend on an order of decisions, which SQL does not express.
-NO_SQL = {"document_clusters", "clusters", "phrases", "candidates"}
+NO_SQL = {"document_clusters", "clusters", "candidates"}
 
 
 @pytest.fixture(scope="module")
@@ -73,6 +74,30 @@ def test_phrases_drop_parts_of_equal_reach(spark):
     assert [r["phrase"] for r in similarity.pruned(found, limit=1).collect()] == ["a b c"]
 
 
+def walk(rows):
+    """What is kept of (phrase, sessions, n) by going through them in order."""
+    kept = []
+    for p, s, n in sorted(rows, key=lambda r: (-r[1], -r[2], -len(r[0]), r[0])):
+        if not any(p in q and t == s for q, t, _ in kept):
+            kept.append((p, s, n))
+    return kept
+
+
+@pytest.mark.parametrize("shortest", [1, 3])
+def test_phrases_cut_within_tokens(spark, shortest):
+    rng = random.Random(shortest)
+    tokens = ["".join(rng.choice("ab") for _ in range(rng.randrange(shortest, 6))) for _ in range(30)]
+    rows = {" ".join(rng.choice(tokens) for _ in range(rng.randrange(2, 5))): (rng.randrange(4, 6), rng.randrange(9)) for _ in range(2000)}
+    rows = [(p, *x) for p, x in rows.items()]
+    assert [tuple(r) for r in similarity.pruned(spark.createDataFrame(rows, "phrase string, sessions long, n long"), 10**6).collect()] == walk(rows)
+
+
+def test_phrases_of_very_long_tokens(spark):
+    x, y, z = "x" * 10_000, "y" * 9_000 + "z", "ab" * 5_000
+    rows = [(" ".join(t), 4, k) for k, t in enumerate([(x, y), (x, y, z), (y, z), ("x" * 100, "y" * 50), ("foo", "bar"), (z, z, z, z)])]
+    assert [tuple(r) for r in similarity.pruned(spark.createDataFrame(rows, "phrase string, sessions long, n long")).collect()] == walk(rows)
+
+
 def test_clusters_phrases_and_candidates_match_plain_code(spark):
     from collections import Counter, defaultdict
 

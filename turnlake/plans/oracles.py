@@ -46,6 +46,10 @@ _PLAIN = "regexp_replace({}, '[^\\x00-\\x7F]', 'q', 'g')"
 _KEYS = "list_distinct(list_filter(regexp_extract_all({}, '\\b[A-Z][A-Z0-9]{{1,9}}-\\d{{1,6}}\\b'), lambda x: split_part(x, '-', 1) NOT IN (" + _quoted(NOT_TICKETS) + ") AND length(regexp_replace(split_part(x, '-', 1), '[0-9]', '', 'g')) >= 2))"
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
+#: Content tokens of a text, in order.
+_WORDS = r"""list_filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '(?s)```.*?```', ' ', 'g'), 'https?://\S+', ' URL ', 'g'),
+    '\b[A-Za-z]+-\d+\b', ' TICKET ', 'g'), '(?i)([a-z]:)?[\\/][\pL\pN_\-.\\/]+', ' PATH ', 'g'), '\b\d+\b', ' N ', 'g'), '[a-z0-9_\-/\.]+'), lambda x: length(x) > 2 AND x NOT IN (""" + _quoted(STOPWORDS) + """))"""
+
 _VIEWS = {name: sql for name, sql in _RAW.items()} | {
     "lines": "SELECT *, CASE WHEN coalesce(message_id, request_id) IS NOT NULL AND row_number() OVER (PARTITION BY coalesce(message_id, request_id) ORDER BY uuid) > 1 THEN 1 ELSE 0 END AS usage_dupe FROM raw_message",
     "zeroed": f"SELECT * REPLACE ({_z('input_tokens', 'output_tokens', 'cache_write', 'cache_read', 'eph_5m', 'eph_1h', 'web_search_reqs', 'web_fetch_reqs')}) FROM lines",
@@ -97,8 +101,8 @@ LEFT JOIN (SELECT session_id, {_c("is_human = 1")} AS prompts, count(*) AS promp
 LEFT JOIN (SELECT session_id, {_s("duration_ms")} AS turn_ms, count(*) AS turns FROM turn GROUP BY 1) u ON u.session_id = m.session_id
 LEFT JOIN (SELECT session_id, {_c("kind = 'interrupt'")} AS interrupts, {_c("kind = 'compact'")} AS compactions FROM event GROUP BY 1) e ON e.session_id = m.session_id""",
     "doc": "SELECT doc_id AS uuid, source AS session_id, text FROM documents",
-    "doc_words": r"""SELECT uuid, session_id, list_filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '(?s)```.*?```', ' ', 'g'), 'https?://\S+', ' URL ', 'g'),
-    '\b[A-Za-z]+-\d+\b', ' TICKET ', 'g'), '(?i)([a-z]:)?[\\/][\pL\pN_\-.\\/]+', ' PATH ', 'g'), '\b\d+\b', ' N ', 'g'), '[a-z0-9_\-/\.]+'), lambda x: length(x) > 2 AND x NOT IN (""" + _quoted(STOPWORDS) + """)) AS w FROM doc""",
+    "doc_words": f"SELECT uuid, session_id, {_WORDS} AS w FROM doc",
+    "prompt_words": f"SELECT session_id, {_WORDS} AS w FROM prompt WHERE is_human = 1 AND chars >= 12",
     "doc_set": "SELECT uuid, session_id, list_distinct(w[1:120]) AS tokens FROM doc_words",
 }
 
@@ -135,6 +139,7 @@ _SCOPES = {"all": "true", "nested (sub-agents)": "(transcript <> 'main' OR is_si
 _SUMS = ", ".join(f"sum(CASE WHEN {cond} THEN {c} ELSE 0 END) AS {n}{k}" for k, cond in enumerate(_SCOPES.values()) for n, c in (("i", "input_tokens"), ("o", "output_tokens"), ("w5", "w5"), ("w1", "eph_1h"), ("r", "cache_read"), ("a", "cost_usd")))
 _ROUTING = " UNION ALL ".join(f"SELECT '{name}' AS scope, round(a{k}, 2) AS actual, {_priced(1.0, 5.0, k)} AS at_haiku, {_priced(3.0, 15.0, k)} AS at_sonnet, {_priced(15.0, 75.0, k)} AS at_opus FROM sums WHERE a{k} <> 0" for k, name in enumerate(_SCOPES))
 
+_PHRASES = "SELECT phrase, count(DISTINCT session_id) AS sessions, count(*) AS n FROM (SELECT session_id, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT session_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM {}, (VALUES (2), (3), (4)) AS v(k))) GROUP BY 1 HAVING count(DISTINCT session_id) >= 4"
 _BODIES: dict[str, str] = {
     "usage_dedupe": "SELECT uuid, usage_dupe, input_tokens, output_tokens, cache_write, cache_read, web_search_reqs, round(cost_usd, 8) AS cost_usd FROM message",
     "row_cost": "SELECT model, count(*) AS lines, round(sum(cost_usd), 6) AS cost_usd FROM message GROUP BY 1",
@@ -240,7 +245,9 @@ _BODIES: dict[str, str] = {
     "families": f"SELECT {_FAMILY} AS key, arg_min(coalesce(text, '')[1:300], (ts, uuid)) AS example, count(*) AS size, count(DISTINCT session_id) AS sessions, array_to_string(list_sort(list_distinct(list(project)))[1:4], ',') AS projects, min(date) AS first_day, max(date) AS last_day FROM prompt WHERE is_human = 1 AND chars >= 12 AND is_slash = 0 GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT session_id) >= 2",
     "document_families": f"SELECT {_FAMILY} AS key, count(*) AS size, count(DISTINCT session_id) AS sessions FROM doc GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT session_id) >= 2",
     "jaccard_pairs": "SELECT a, b, shared FROM (SELECT x.uuid AS a, y.uuid AS b, count(*) AS shared, any_value(len(sx)) AS nx, any_value(len(sy)) AS ny FROM (SELECT uuid, tokens AS sx, unnest(tokens) AS t FROM doc_set WHERE len(tokens) >= 6) x JOIN (SELECT uuid, tokens AS sy, unnest(tokens) AS t FROM doc_set WHERE len(tokens) >= 6) y ON x.t = y.t AND x.uuid < y.uuid GROUP BY 1, 2) WHERE 20 * shared >= 9 * (nx + ny - shared)",
-    "phrase_counts": "SELECT phrase, count(DISTINCT session_id) AS sessions, count(*) AS n FROM (SELECT session_id, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT session_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM doc_words, (VALUES (2), (3), (4)) AS v(k))) GROUP BY 1 HAVING count(DISTINCT session_id) >= 4",
+    "phrase_counts": _PHRASES.format("doc_words"),
+    "phrases": f"""SELECT phrase, sessions, n FROM (WITH p AS ({_PHRASES.format("prompt_words")}) SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.sessions = p.sessions AND o.phrase <> p.phrase AND contains(o.phrase, p.phrase)
+  AND (-o.n, -length(o.phrase), o.phrase) < (-p.n, -length(p.phrase), p.phrase))) ORDER BY sessions DESC, n DESC, length(phrase) DESC, phrase LIMIT 60""",
     "agent_prompts": "SELECT text[1:120] AS head, count(*) AS n, count(DISTINCT session_id) AS sessions FROM prompt WHERE source = 'subagent' GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, head LIMIT 20",
     "prompt_projects": "SELECT project, count(DISTINCT session_id) AS sessions, count(*) AS prompts FROM prompt WHERE is_human = 1 GROUP BY 1 ORDER BY prompts DESC, project LIMIT 15",
     "prompt_corpus": "SELECT project, session_id, uuid, date, text[1:2500] AS text FROM prompt WHERE is_human = 1 AND text IS NOT NULL",
