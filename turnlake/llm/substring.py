@@ -115,9 +115,13 @@ def _later() -> Column:
     return F.when(F.col("unnamed"), F.col("doc_id").isNotNull()).otherwise(F.col("doc_id") > F.col("low"))
 
 
-def windows(docs: DataFrame, of_docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text's hash, first word and hash of each window in the contexts that ``of_docs`` (of_doc, of_version, spans) names."""
-    rows = docs.join(of_docs, docs.doc_id.eqNullSafe(of_docs.of_doc) & (F.xxhash64(text_of()) == of_docs.of_version)).select("doc_id", "of_version", text_of().alias("text"), "spans")
+def windows(docs: DataFrame, wanted: DataFrame, window: int = WINDOW, half: int = HALF) -> DataFrame:
+    """doc_id, text's hash, first word and hash of each window of the seeds ``wanted`` (doc_id, version, first), and of a few others.
+
+    Texts are read again where they lie: shuffling them to their seeds would cost
+    more than hashing the windows of all seeds, most of which a Bloom filter drops.
+    """
+    rows = docs.select("doc_id", F.xxhash64(text_of()).alias("version"), text_of().alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,22 +130,24 @@ def windows(docs: DataFrame, of_docs: DataFrame, window: int = WINDOW) -> DataFr
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
                 hashes, bounds = word_hashes(part.column("text").to_pylist(), known)
-                lists = part.column("spans")
-                of = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()) // 2)
-                first, behind = (lists.flatten().to_numpy(zero_copy_only=False)[j::2].astype(np.int64) for j in (0, 1))
+                first, behind, _ = seeds_of(hashes, bounds, window, half)
                 n = behind - first - window + 1
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                start, of = np.repeat(first, n) + step, np.repeat(of, n)
-                _, _, h1, h2 = hashed_runs(hashes, bounds[of] + start, bounds[of] + start + window)
-                columns = [part.column(c).take(pa.array(of)) for c in ("doc_id", "of_version")] + [pa.array(start.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
+                start = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                _, _, h1, h2 = hashed_runs(hashes, start, start + window)
+                of, edges = np.searchsorted(bounds, first, "right") - 1, pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+                columns = [part.column(c).take(pa.array(of)) for c in ("doc_id", "version")] + [pa.array((first - bounds[of]).astype(np.int32))]
+                columns += [pa.ListArray.from_arrays(edges, pa.array(h.view(np.int64))) for h in (h1, h2)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "first", "h1", "h2"])
 
-    return rows.mapInArrow(each, f"doc_id {kind}, version long, first int, h1 long, h2 long")
+    key, n = F.xxhash64("doc_id", "version", "first"), wanted.count()
+    of_seeds = rows.mapInArrow(each, f"doc_id {kind}, version long, first int, h1 array<long>, h2 array<long>")
+    some = bloom.possible(of_seeds, key, bloom.built(wanted.select(key), n), n)
+    return some.select("doc_id", "version", "first", F.posexplode(F.arrays_zip("h1", "h2")).alias("k", "h")).select("doc_id", "version", (F.col("first") + F.col("k")).alias("first"), "h.h1", "h.h2")
 
 
-def _by_document(spans: DataFrame, name: str) -> DataFrame:
+def _by_document(spans: DataFrame) -> DataFrame:
     """The spans of each document in one array: first word, word behind the last, in turn."""
-    return spans.groupBy(F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version")).agg(F.flatten(F.collect_set(F.array("first", "behind"))).alias(name))
+    return spans.groupBy(F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version")).agg(F.flatten(F.collect_set(F.array("first", "behind"))).alias("gone"))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, half: int = HALF) -> DataFrame:
@@ -158,7 +164,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, half: int = HALF) -> DataFram
     met = cut(some.drop("anchor").join(shared.select("h1", "h2", "low", "unnamed", "parted").hint("merge"), ["h1", "h2"]).select("doc_id", "version", "first", "behind", _later().alias("later"), "parted"), "met")
     whole = met.where("later").select("doc_id", "version", "first", "behind")
     # Windows of the first documents of classes: all others have the same ones, and later.
-    steps = cut(windows(docs, _by_document(met.where("parted AND NOT later"), "spans"), window), "steps")
+    steps = cut(windows(docs, met.where("parted AND NOT later").select("doc_id", "version", "first"), window, half), "steps")
     known = steps.groupBy("h1", "h2").agg(*_who()).where(_several())
     matched = steps.join(known.select("h1", "h2", "low", "unnamed").hint("merge"), ["h1", "h2"]).where(_later())
     return whole.unionByName(matched.select("doc_id", "version", "first", (F.col("first") + window).alias("behind")))
@@ -167,7 +173,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, half: int = HALF) -> DataFram
 def dedup(docs: DataFrame, carry: Sequence[str] = (), window: int = WINDOW, half: int = HALF) -> DataFrame:
     """doc_id and text without repeated words, what :func:`carried` makes of ``carry``, n_removed and removed (the maximal repeats, words from 0: first-behind, comma-joined)."""
     docs = carried(docs, carry, "doc_id", "text")
-    return line_windows.removed(docs, _by_document(repeats(docs.select("doc_id", "text"), window, half), "gone"))
+    return line_windows.removed(docs, _by_document(repeats(docs.select("doc_id", "text"), window, half)))
 
 
 def clean(docs: DataFrame) -> DataFrame:
