@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from tests.llm.conftest import DOCS, rows_of
 from turnlake.llm import secret_links as S
@@ -78,3 +79,13 @@ def test_repeated_rows_empty_table_and_other_columns(spark, docs):
     assert S.report(spark.createDataFrame([], DOCS)).count() == 0
     odd = spark.createDataFrame([(None, KEY, 5, "z")], "doc_id long, text string, spans int, base string")
     assert rows_of(S.report(odd), "doc_id", "n_access") == [(None, 1)]
+
+
+def test_a_text_of_very_many_parts(docs):
+    part = lambda k: f"user: u{k:06d} {'aB3xY' * 5}{k} https://h{k}/x secret=v{k:08d}\n"
+    text = "".join(part(k) for k in range(25_000))
+    began = time.time()
+    out = S.report(docs((1, text), (2, part(0)))).collect()
+    assert time.time() - began < 60
+    by = {r["doc_id"]: r for r in out}
+    assert by[1]["n_assign"] == 25_000 and by[1]["n_linked"] == 75_000 and by[2]["n_linked"] == 3

@@ -13,8 +13,9 @@ A part therefore never vouches for itself.
 
 The join meets bins as wide as the scope: any two parts of one bin are near
 enough, and of the bins beside it only the nearest part can matter, so each bin
-keeps its first and last position of each role. A document with thousands of
-parts thus costs a few rows for each part, never a pair for each two.
+keeps its first and last position of each role. Places and overlaps come from
+running sums and maxima along a text. A document with any number of parts thus
+costs a few rows for each part, never a pair for each two.
 
 Only built-in functions run. Spans count code points, end exclusive.
 
@@ -25,7 +26,7 @@ table gives an empty result; other columns are left alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.llm.common import cut, pick, text_of
@@ -50,25 +51,21 @@ NEEDS = {"linked_account": ("secret",), "linked_secret": ("account",), "linked_e
 SCOPE = 200
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
+_HIT = "array<struct<kind:int,k:int,gap:int,length:int,fits:boolean>>"
 
 
-def _spans(kind: str, text: Column, pattern: str, good=None) -> Column:
-    """Leftmost, non-overlapping matches of a pattern as (start, kind, end).
+def _hits(kind: str, text: Column, pattern: str, good=None) -> Column:
+    """Leftmost, non-overlapping matches of a pattern, in order: k, gap (what lies between the one before and this), length, and whether the match is one of the kind.
 
     What lies between the matches and the matches themselves alternate, so
-    running sums of their lengths give the places.
+    running sums of the two lengths give the places.
     """
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    parts = F.zip_with(found, between, lambda m, gap: F.struct(F.coalesce(m, F.lit("")).alias("m"), F.length(gap).alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-
-    def step(acc: Column, part: Column) -> Column:
-        at = acc["at"] + part["gap"]
-        span = F.struct(at.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (at + F.length(part["m"])).alias("end"))
-        fits = part["m"] != "" if good is None else (part["m"] != "") & good(part["m"])
-        return F.struct((at + F.length(part["m"])).alias("at"), F.when(fits, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    fits = lambda m: F.lit(True) if good is None else good(m)
+    hit = lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m).alias("length"), fits(m).alias("fits"))
+    each = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), hit)
+    full = F.transform(each, lambda h, k: F.struct(F.lit(KINDS.index(kind)).alias("kind"), k.alias("k"), h["gap"].alias("gap"), h["length"].alias("length"), h["fits"].alias("fits")))
+    return F.when(text.rlike(pattern), full).otherwise(F.array().cast(_HIT))
 
 
 def _mixed(run: Column) -> Column:
@@ -76,13 +73,11 @@ def _mixed(run: Column) -> Column:
     return run.rlike("[0-9]") & run.rlike("[a-z]") & run.rlike("[A-Z]")
 
 
-def base_spans(text: Column) -> Column:
+def hits(text: Column) -> Column:
+    """The matches of all kinds, base kinds first."""
     value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGNED
-    return F.array_sort(F.concat(_spans("assign", text, ASSIGN, value), _spans("access", text, ACCESS), _spans("hex", text, HEX)))
-
-
-def weak_spans(text: Column) -> Column:
-    return F.concat(_spans("linked_account", text, ACCOUNT), _spans("linked_secret", text, RUN, _mixed), _spans("linked_endpoint", text, ENDPOINT))
+    base = (_hits("assign", text, ASSIGN, value), _hits("access", text, ACCESS), _hits("hex", text, HEX))
+    return F.concat(*base, _hits("linked_account", text, ACCOUNT), _hits("linked_secret", text, RUN, _mixed), _hits("linked_endpoint", text, ENDPOINT))
 
 
 def written(spans: Column) -> Column:
@@ -108,27 +103,46 @@ def linked(parts: DataFrame) -> DataFrame:
     return met.where(F.col("met") == F.size(_by_kind(NEEDS))).drop("met")
 
 
-def _overlaps(span: Column, others: Column, kind: str | None = None) -> Column:
-    """Whether a span overlaps one of an array of spans, of one kind if that is given."""
-    of_kind = (lambda o: F.lit(True)) if kind is None else (lambda o: o["kind"] == KINDS.index(kind))
-    return F.exists(others, lambda o: of_kind(o) & (o["start"] < span["end"]) & (span["start"] < o["end"]))
+def _overlaps(of: Column) -> Column:
+    """Whether the row's span overlaps a span of its text for which ``of`` holds.
+
+    Of those that start no later, the greatest end tells; of those that start
+    no sooner, the least start: a running maximum and a running minimum along the
+    text, whatever the number of spans.
+    """
+    along = Window.partitionBy("row").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.max(F.when(of, F.col("end"))).over(along.orderBy("start"))
+    start = F.min(F.when(of, F.col("start"))).over(along.orderBy(F.desc("start")))
+    return F.coalesce(end > F.col("start"), F.lit(False)) | F.coalesce(start < F.col("end"), F.lit(False))
+
+
+def _is(*kinds: str) -> Column:
+    return F.col("kind").isin(*[KINDS.index(k) for k in kinds])
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """row, kind, start and end of each match of ``found`` (row, hits) that is one of its kind."""
+    each = found.select("row", F.explode("hits").alias("h")).select("row", "h.*").repartition("row")
+    upto = Window.partitionBy("row", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.col("gap") + F.col("length")).over(upto).cast("int")
+    return each.withColumn("end", end).where("fits").select("row", "kind", (F.col("end") - F.col("length")).alias("start"), "end")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base and linked spans (arrays of start, kind, end), for each row of ``docs``."""
-    text, run = text_of(), KINDS.index("linked_secret")
-    found = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", base_spans(text).alias("base"), weak_spans(text).alias("weak"))
-    found = found.withColumn("weak", F.filter("weak", lambda w: ~_overlaps(w, F.col("base"))))
-    named = F.filter("weak", lambda w: w["kind"] != run)
-    found = found.withColumn("weak", F.when(F.size(named) == 0, F.col("weak")).otherwise(F.filter("weak", lambda w: (w["kind"] != run) | ~_overlaps(w, named))))
-    found = cut(found, "secret-parts")
-    both = found.where("size(weak) > 0 and size(weak) + size(base) > 1")
-    as_parts = lambda spans, strong: F.transform(spans, lambda s: F.struct(s.alias("s"), F.lit(strong).alias("strong"), (s["kind"].isin(KINDS.index("linked_account"), KINDS.index("access")) & _overlaps(s, F.col("weak"), "linked_endpoint")).alias("inside")))
-    parts = both.select("row", F.explode(F.concat(as_parts("base", True), as_parts("weak", False))).alias("x"))
-    parts = parts.select("row", "x.s.start", "x.s.kind", "x.s.end", "x.strong", "x.inside")
-    more = linked(parts).groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("linked"))
+    strong = _is("assign", "access", "hex")
+    found = cut(pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", hits(text_of()).alias("hits")), "secret-hits")
+    spans = placed(found.where(F.size("hits") > 0))
+    # What overlaps a labelled secret is none, and a run that overlaps an account or endpoint is a piece of it.
+    kept = spans.withColumn("taken", _overlaps(strong)).where(strong | ~F.col("taken")).drop("taken")
+    kept = kept.withColumns({"piece": _overlaps(_is("linked_account", "linked_endpoint")), "in_endpoint": _overlaps(_is("linked_endpoint"))}).where(~(_is("linked_secret") & F.col("piece")))
+    parts = cut(kept.select("row", "start", "kind", "end", strong.alias("strong"), (_is("linked_account", "access") & F.col("in_endpoint")).alias("inside")), "secret-parts")
+    more = linked(parts).select("row", "start", "kind", "end", F.lit(False).alias("strong"))
+    told = parts.where("strong").select("row", "start", "kind", "end", "strong").unionByName(more)
+    span = F.struct("start", "kind", "end")
+    lists = told.groupBy("row").agg(F.sort_array(F.collect_set(F.when(F.col("strong"), span))).alias("base"), F.collect_set(F.when(~F.col("strong"), span)).alias("linked"))
     none = F.array().cast(_SPAN)
-    return found.join(more, "row", "left").select("doc_id", "base", F.coalesce("linked", none).alias("linked"))
+    return found.select("row", "doc_id").join(lists, "row", "left").select("doc_id", F.coalesce("base", none).alias("base"), F.coalesce("linked", none).alias("linked"))
 
 
 def report(docs: DataFrame) -> DataFrame:

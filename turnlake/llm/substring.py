@@ -159,14 +159,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, half: int = HALF) -> DataFram
     some = bloom.possible(found, key, bloom.built(met_again.select(key), n), n)
     classes = cut(some.groupBy("anchor", "h1", "h2").agg(*_who()), "classes")
     again = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("unnamed").alias("unnamed"))
-    parted = again.where(_several() & (F.col("n") > 1)).select("anchor", F.lit(True).alias("parted"))
+    # Written, so that the join's other side comes straight from its shuffle and Spark can split hot anchors.
+    parted = cut(again.where(_several() & (F.col("n") > 1)).select("anchor", F.lit(True).alias("parted")), "parted")
     shared = classes.join(parted.hint("merge"), "anchor", "left").withColumn("parted", F.coalesce("parted", F.lit(False))).where(_several() | F.col("parted"))
     met = cut(some.drop("anchor").join(shared.select("h1", "h2", "low", "unnamed", "parted").hint("merge"), ["h1", "h2"]).select("doc_id", "version", "first", "behind", _later().alias("later"), "parted"), "met")
     whole = met.where("later").select("doc_id", "version", "first", "behind")
     # Windows of the first documents of classes: all others have the same ones, and later.
     steps = cut(windows(docs, met.where("parted AND NOT later").select("doc_id", "version", "first"), window, half), "steps")
-    known = steps.groupBy("h1", "h2").agg(*_who()).where(_several())
-    matched = steps.join(known.select("h1", "h2", "low", "unnamed").hint("merge"), ["h1", "h2"]).where(_later())
+    known = cut(steps.groupBy("h1", "h2").agg(*_who()).where(_several()).select("h1", "h2", "low", "unnamed"), "known")
+    matched = steps.join(known.hint("merge"), ["h1", "h2"]).where(_later())
     return whole.unionByName(matched.select("doc_id", "version", "first", (F.col("first") + window).alias("behind")))
 
 
