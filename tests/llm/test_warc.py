@@ -142,6 +142,30 @@ def test_plain_files_are_read_by_several_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+@pytest.mark.parametrize("split", ["20000", "65536", "1000000", "100000000"])
+def test_separators_in_payloads_of_plain_files_at_any_split(spark, tmp_path, split):
+    """Records of 90 KB that hold the separator a hundred times, others between them, bad ones too."""
+    trap = b"x" * 800 + b"\r\n\r\nWARC/1.0\r\nContent-Length: 5\r\n\r\nhello"
+    one = [record("response", b"HTTP/1.0 200 OK\r\n\r\n" + b"%d" % k + trap * 100 + b"\r\n" * (k % 3), WARC_Record_ID=f"<urn:{k}>") for k in range(20)]
+    plain = [record("response", b"HTTP/1.0 200 OK\r\n\r\n" + b"y" * 500, WARC_Record_ID=f"<urn:p{k}>") for k in range(20)]
+    bad = record("response", b"HTTP/1.0 200 OK\r\n\r\nz", WARC_Record_ID="<urn:bad>").replace(b"Content-Length: ", b"Content-Length: 99999999999999")
+    (tmp_path / "a.warc").write_bytes(b"".join(a + b for a, b in zip(one[:10], plain)) + bad + b"".join(one[10:]))
+    (tmp_path / "b.warc").write_bytes(b"".join(one[:5]) + b"\r\n" * 9)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        for payloads in (True, False):
+            rows = warc.read_archives(spark, str(tmp_path), payloads=payloads).collect()
+            assert [r["error"] for r in rows if r["error"]] == ["its length is wrong"]
+            got = sorted((r["record_id"], r["payload_bytes"], r["payload_digest"]) for r in rows if not r["error"])
+            body = lambda k: b"%d" % k + trap * 100 + b"\r\n" * (k % 3)
+            want = [(f"<urn:{k}>", len(body(k)), hashlib.sha256(body(k)).hexdigest()) for k in [*range(20), *range(5)]] + [(f"<urn:p{k}>", 500, hashlib.sha256(b"y" * 500).hexdigest()) for k in range(10)]
+            assert got == sorted(want)
+            assert not payloads or all(hashlib.sha256(r["payload"]).hexdigest() == r["payload_digest"] for r in rows if not r["error"])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_empty_table_and_other_columns(spark):
     assert warc.report(spark.createDataFrame([], PAGES)).count() == 0
     odd = spark.createDataFrame([(1, "u", "h", "d", 1)], PAGES + ", digest string, row int")

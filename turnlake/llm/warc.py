@@ -8,10 +8,13 @@ the three of each transaction to one nested row.
 Archives are written by Spark's text writer and read by its text reader, so
 they may be on any file system that Spark reaches. A record is a text (headers,
 line feeds, UTF-8 payload) and the writer adds the two empty lines that end it.
-The reader splits files where such lines and the next record's version stand
-and never holds more than a record; plain files are read by several tasks. Where
-a payload holds that separator itself, its pieces are put together again by the
-record's content length.
+The reader splits files where such lines and the next record's version stand, so
+plain files are read by several tasks. A payload may hold that separator itself.
+A first pass therefore takes the head and length of each piece, and a walk over
+each file's heads finds the records that span several pieces, wherever tasks
+part the file. Those pieces are dealt out by record, in order, and put together;
+all others are a record each and stay where they are read. Whatever its length,
+of a record one piece is held at a time, and its payload only if it is asked for.
 
 Archives of others are read, too: gzipped by record or whole, with payload
 digests of other algorithms, with records that are no HTTP (dns, warcinfo),
@@ -33,19 +36,20 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import cut, new_path, pick
+from turnlake.llm.common import cut, fitting, new_path, pick
 
 #: Bytes from which an equal payload is a revisit.
 LEAST_BYTES = 100
 #: Payload bytes in a file, about, and records in a file, at most.
 FILE_BYTES, RECORDS_PER_FILE = 64 << 20, 3000
-#: Bytes up to which pieces of a record are held until it is whole; a longer one that holds the separator is a bad record.
-HELD_BYTES = 256 << 20
 CRLF = "\r\n"
+#: Bytes at the end of a file that may be line ends behind its last record.
+ENDS = 4096
 #: What ends a record and begins the next.
 SEPARATOR = CRLF + CRLF + "WARC/"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -142,59 +146,78 @@ def headers_of(head: bytes) -> dict[str, str]:
     return out
 
 
+def _needed(head: bytes) -> int | None:
+    """The content length that a head states."""
+    said = headers_of(head).get("content-length", "")
+    return int(said) if said.isascii() and said.isdigit() else None
+
+
 def _parts(piece: bytes) -> tuple[bytes, bytes, int] | str:
-    """Head, block so far, and length of the block; or why there is no record."""
+    """Head, block and length of the block; or why there is no record."""
     head, blank, block = piece.partition(b"\r\n\r\n")
     if not blank or not head[:1].isdigit():
         return "no head"
-    length = headers_of(head).get("content-length", "")
-    return (head, block, int(length)) if length.isascii() and length.isdigit() else "no content length"
-
-
-def parsed(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, dict | None, bytes, str | None]]:
-    """file, headers, block and error of each record in (file, what lies between two separators), file by file in order."""
-    held, of = [], None  # pieces of one file, the first of which begins a record
-    end = object()
-
-    def drain(final: bool) -> Iterator[tuple]:
-        while held:
-            first = _parts(held[0])
-            if isinstance(first, str):
-                yield of, None, held.pop(0), first
-                continue
-            head, block, need = first
-            have, k = len(block), 1
-            while have < need and k < len(held):
-                have += len(SEPARATOR) + len(held[k])
-                k += 1
-            if have < need and not final and have <= HELD_BYTES:
-                return
-            whole = block if k == 1 else SEPARATOR.encode().join([block, *held[1:k]])
-            # The last record of a file still has its empty lines, or lacks them.
-            if have >= need and not whole[need:].strip(b"\r\n"):
-                yield of, headers_of(head), whole[:need], None
-                del held[:k]
-            else:
-                yield of, None, held.pop(0), "its length is wrong"
-
-    for file, piece in pieces:
-        if file != of:
-            yield from drain(True)
+    need = _needed(head)
+    return "no content length" if need is None else (head, block, need)
+
+
+def spanning(sizes: np.ndarray, trails: np.ndarray, heads: np.ndarray, needs: np.ndarray) -> list[tuple[int, int]]:
+    """First piece and the one behind the last of each record that spans several pieces of a file.
+
+    By piece: bytes, line ends at its end, bytes of its head (with the blank
+    line), and the length that the head states, negative if it is none.
+    """
+    upto = np.cumsum(sizes + len(SEPARATOR))
+    out, at = [], 0
+    while at < len(sizes):
+        end = at + 1
+        if needs[at] >= 0 and needs[at] > sizes[at] - heads[at]:
+            # Where the block ends: in the first piece up to which there are bytes enough.
+            last = int(np.searchsorted(upto, upto[at] - len(SEPARATOR) - sizes[at] + heads[at] + needs[at] + len(SEPARATOR)))
+            if last < len(sizes):
+                over = upto[last] - len(SEPARATOR) - (upto[at] - len(SEPARATOR) - sizes[at]) - heads[at] - needs[at]
+                if over <= trails[last]:
+                    out.append((at, last + 1))
+                    end = last + 1
+        at = end
+    return out
+
+
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: heads of pieces, by file in order, to the pieces of records that span several."""
+    rows, of = [], None
+
+    def told() -> Iterator[pa.RecordBatch]:
+        sizes, trails, heads, needs = (np.array(x, np.int64) for x in zip(*(r[2:] for r in rows)))
+        found = [(of, *rows[k][:2], first) for first, behind in spanning(sizes, trails, heads, needs) for k in range(first, behind)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["file", "block", "k", "record"])
+
+    for batch in batches:
+        for file, block, k, size, end, head in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "k", "size", "end", "head"))):
+            if file != of and rows:
+                yield from told()
+                rows = []
             of = file
-        piece = piece.removeprefix(b"WARC/")
-        if held or piece.strip(b"\r\n"):
-            held.append(piece)
-            yield from drain(False)
-    yield from drain(True)
+            need = _needed(head) if head is not None else None
+            rows.append((block, k, size, len(end or b"") - len((end or b"").rstrip(b"\r\n")), len(head or b"") + 4, -1 if need is None else min(need, 1 << 60)))
+    if rows:
+        yield from told()
 
 
-def _digests(stated: str | None, payload: bytes) -> bool | None:
-    """Whether a stated digest (``algorithm:value`` in hex or base 32) is the payload's; null for algorithms not known here."""
+def _algorithm(stated: str | None):
+    """A hash of the algorithm that a stated digest (``algorithm:value``) names; none for those not known here."""
     name, _, value = (stated or "").partition(":")
-    if name.lower().replace("-", "") not in ("md5", "sha1", "sha256", "sha512") or not value:
+    name = name.lower().replace("-", "")
+    return hashlib.new(name) if name in ("md5", "sha1", "sha256", "sha512") and value else None
+
+
+def _agrees(stated: str | None, h) -> bool | None:
+    """Whether a stated digest, in hex or base 32, is the one that was worked out; null for algorithms not known here."""
+    if h is None:
         return None
-    h = hashlib.new(name.lower().replace("-", ""), payload)
-    return value.lower() in (h.hexdigest(), base64.b32encode(h.digest()).decode().lower(), base64.b32encode(h.digest()).decode().lower().rstrip("="))
+    value, plain = stated.partition(":")[2].lower(), base64.b32encode(h.digest()).decode().lower()
+    return value in (h.hexdigest(), plain, plain.rstrip("="))
 
 
 def _sha256(stated: str | None) -> str | None:
@@ -210,47 +233,119 @@ def _sha256(stated: str | None) -> str | None:
         return None
 
 
-def understood(headers: dict[str, str], block: bytes, payloads: bool) -> dict:
-    """What the columns say of a record besides its own headers."""
-    out, kind = {}, headers.get("warc-type")
-    payload, stated = block, headers.get("warc-payload-digest")
-    if headers.get("content-type", "").lower().startswith("application/http"):
-        head, _, payload = block.partition(b"\r\n\r\n")
+class Understood:
+    """What the columns say of a record besides its own headers, from its block piece by piece; payloads are digested as they come."""
+
+    def __init__(self, headers: dict[str, str], payloads: bool):
+        self.headers, self.out, self.kind, self.n = headers, {}, headers.get("warc-type"), 0
+        self.stated = headers.get("warc-payload-digest")
+        self.http = headers.get("content-type", "").lower().startswith("application/http")
+        #: The HTTP head as far as it came, and what was read behind it.
+        self.head, self.kept = b"", [] if payloads else None
+        self.hash, self.other = hashlib.sha256(), _algorithm(self.stated)
+
+    def take(self, part: bytes) -> None:
+        if self.http:
+            self.head += part
+            head, blank, part = self.head.partition(b"\r\n\r\n")
+            if not blank:
+                return
+            self.head, self.http = head, False
+            self._status(head)
+        self.n += len(part)
+        self.hash.update(part)
+        if self.other:
+            self.other.update(part)
+        if self.kept is not None:
+            self.kept.append(part)
+
+    def _status(self, head: bytes) -> None:
         words = head.split(b" ", 2)
         if head.startswith(b"HTTP/") and len(words) > 1:
-            out["http_status"] = words[1].decode("utf-8", "replace")
+            self.out["http_status"] = words[1].decode("utf-8", "replace")
         said = headers_of(head).get("content-length", "")
-        if kind == "revisit" and said.isascii() and said.isdigit():
-            out["payload_bytes"] = int(said)
-    if kind == "revisit":
-        return out | {"payload_digest": _sha256(stated)}
-    if kind != "request":
-        out |= {"payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest(), "digest_ok": _digests(stated, payload)}
-    return out | ({"payload": payload} if payloads else {})
-
-
-def _rows(payloads: bool):
-    """A function for mapInArrow: (file, piece) to RECORD."""
-
-    def batch_of(rows: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in rows], _ARROW[kind]) for name, kind, _ in FIELDS], [name for name, _, _ in FIELDS])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = ((f.as_py(), p.as_py()) for b in batches for f, p in zip(b.column("file"), b.column("piece")))
-        rows, size = [], 0
-        for file, headers, block, error in parsed(pieces):
-            if error:
-                rows.append({"file": file, "error": error, "payload": block})
-            else:
-                rows.append({name: headers.get(header) for name, _, header in FIELDS if header} | understood(headers, block, payloads) | {"file": file})
-            size += len(rows[-1].get("payload") or b"")
-            if len(rows) >= 1000 or size > 4 << 20:
-                yield batch_of(rows)
-                rows, size = [], 0
-        if rows:
-            yield batch_of(rows)
-
-    return run
+        if self.kind == "revisit" and said.isascii() and said.isdigit():
+            self.out["payload_bytes"] = int(said)
+
+    def row(self) -> dict:
+        if self.http:  # a head and nothing behind it
+            self._status(self.head)
+        if self.kind == "revisit":
+            return self.out | {"payload_digest": _sha256(self.stated)}
+        if self.kind != "request":
+            self.out |= {"payload_bytes": self.n, "payload_digest": self.hash.hexdigest(), "digest_ok": _agrees(self.stated, self.other)}
+        return self.out | ({"payload": b"".join(self.kept)} if self.kept is not None else {})
+
+
+def _understood(file: str, head: bytes, block: list[bytes], payloads: bool) -> dict:
+    headers = headers_of(head)
+    told = Understood(headers, payloads)
+    for part in block:
+        told.take(part)
+    return {name: headers.get(header) for name, _, header in FIELDS if header} | told.row() | {"file": file}
+
+
+def _batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    """Rows of RECORD, some at a time."""
+    held, size = [], 0
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in held], _ARROW[kind]) for name, kind, _ in FIELDS], [name for name, _, _ in FIELDS])
+
+    for row in rows:
+        held.append(row)
+        size += len(row.get("payload") or b"")
+        if len(held) >= 1000 or size > 4 << 20:
+            yield told()
+            held, size = [], 0
+    if held:
+        yield told()
+
+
+def _alone(payloads: bool):
+    """For mapInArrow: pieces (file, piece) that are a record each, or none."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for file, piece in zip(batch.column("file"), batch.column("piece")):
+                file, piece = file.as_py(), piece.as_py()
+                if not piece.strip(b"\r\n"):
+                    continue
+                found = _parts(piece)
+                if not isinstance(found, str) and len(found[1]) >= found[2] and not found[1][found[2] :].strip(b"\r\n"):
+                    yield _understood(file, found[0], [found[1][: found[2]]], payloads)
+                else:
+                    yield {"file": file, "error": found if isinstance(found, str) else "its length is wrong", "payload": piece}
+
+    return lambda batches: _batches(rows(batches))
+
+
+def _together(payloads: bool):
+    """For mapInArrow: pieces of records that span several (file, record, piece), record by record in order; one piece is held at a time."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        of, told, headers, left = None, None, {}, 0
+
+        def done() -> dict:
+            return {name: headers.get(header) for name, _, header in FIELDS if header} | told.row() | {"file": of[0]}
+
+        for batch in batches:
+            for file, record, piece in zip(batch.column("file"), batch.column("record"), batch.column("piece")):
+                here, part = (file.as_py(), record.as_py()), piece.as_py()
+                if here != of:
+                    if of is not None:
+                        yield done()
+                    head, part, left = _parts(part)
+                    of, headers = here, headers_of(head)
+                    told = Understood(headers, payloads)
+                else:
+                    part = SEPARATOR.encode() + part
+                told.take(part[:left])
+                left -= min(left, len(part))
+        if of is not None:
+            yield done()
+
+    return lambda batches: _batches(rows(batches))
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True, glob: str = "*") -> DataFrame:
@@ -258,8 +353,22 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True, glob: s
 
     Without ``payloads`` they are digested, but not returned.
     """
-    pieces = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", SEPARATOR).text(path)
-    return pieces.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece")).mapInArrow(_rows(payloads), RECORD)
+    raw = F.col("value").cast("binary")
+    piece = F.when(F.startswith("value", F.lit("WARC/")), F.substr(raw, F.lit(6))).otherwise(raw)
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", SEPARATOR).text(path)
+    # Pieces of one part of a file are numbered in order; both passes read the same parts.
+    pieces = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), piece.alias("piece"))
+    text = F.col("piece").cast("string")
+    head = F.when(text.rlike("^[0-9]") & F.contains(text, F.lit(CRLF + CRLF)), F.substring_index(text, CRLF + CRLF, 1)).cast("binary").alias("head")
+    end = F.when(text.endswith("\n") | text.endswith("\r"), F.substring("piece", -ENDS, ENDS)).alias("end")
+    # Heads and lengths of a file go through one task in order; they are some hundred bytes a record.
+    heads = pieces.select("file", "block", "k", F.octet_length("piece").cast("long").alias("size"), end, head)
+    spread = heads.repartition("file").sortWithinPartitions("file", "block", "k").mapInArrow(_chained, "file string, block long, k long, record long")
+    spread = cut(spread, "spread")
+    each = pieces.join(fitting(spread), ["file", "block", "k"], "left").select("file", "block", "k", "record", "piece")
+    alone = each.where("record IS NULL").select("file", "piece").mapInArrow(_alone(payloads), RECORD)
+    parts = each.where("record IS NOT NULL").repartition("file", "record").sortWithinPartitions("file", "record", "block", "k")
+    return alone.unionByName(parts.select("file", "record", "piece").mapInArrow(_together(payloads), RECORD))
 
 
 def assemble(found: DataFrame) -> DataFrame:
