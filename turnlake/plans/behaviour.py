@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnlake.filters import EVERYTHING, Filters
 from turnlake.functions import pricing, text
+from turnlake.operators import ranks
 from turnlake.operators import sessions as session_rows
 from turnlake.plans.catalogue import STAMP, exprs, query, top
 
@@ -114,14 +115,17 @@ DELEGATES = "(agent_calls > 0 OR nested_tools > 0)"
 
 @query
 def delegation(m, f: Filters = EVERYTHING) -> DataFrame:
-    priced = "median(CASE WHEN {} AND cost_per_tool <> 0 THEN cost_per_tool END)"
-    return facts(m, f).agg(
+    rows = facts(m, f)
+    kind = F.expr(f"CASE WHEN {DELEGATES} THEN 'delegating' WHEN tool_calls > 0 THEN 'direct' END")
+    priced = ranks.medians(rows.where("cost_per_tool <> 0").select(kind.alias("kind"), "cost_per_tool").where("kind IS NOT NULL"), ["kind"], "cost_per_tool")
+    middles = priced.agg(*exprs(**{f"cost_per_tool_{k}": f"coalesce(round(max(CASE WHEN kind = '{k}' THEN median END), 4), 0)" for k in ("delegating", "direct")}))
+    shares = rows.agg(
         *exprs(
             delegating_sessions=f"count_if({DELEGATES})", delegated_tool_share="coalesce(round(sum(nested_tools) / nullif(sum(tool_calls), 0) * 100, 1), 0)",
             delegated_cost_share="round(coalesce(sum(nested_cost), 0) / greatest(1e-9, coalesce(sum(cost_usd), 0)) * 100, 1)",
-            cost_per_tool_delegating=f"coalesce(round({priced.format(DELEGATES)}, 4), 0)", cost_per_tool_direct=f"coalesce(round({priced.format(f'NOT {DELEGATES} AND tool_calls > 0')}, 4), 0)",
         )
     )
+    return shares.join(middles, F.lit(True))
 
 
 def _slim(rows: DataFrame, *columns: str) -> DataFrame:
@@ -200,7 +204,7 @@ def model_switches(m, f: Filters = EVERYTHING) -> DataFrame:
 def cost_outliers(m, f: Filters = EVERYTHING) -> DataFrame:
     """Dear sessions whose tool calls cost over three times the median."""
     rows = facts(m, f).where("cost_usd >= 2 AND cost_per_tool <> 0")
-    middle = rows.agg(*exprs(cpt_median="median(cost_per_tool)"))
+    middle = ranks.medians(rows, [], "cost_per_tool").withColumnRenamed("median", "cpt_median")
     far = rows.join(middle, F.lit(True)).where("cost_per_tool > 3 * cpt_median")
     return _slim(top(far, 12, F.desc("cost_per_tool"), F.asc("session_id")), "cost_usd", "tool_calls", "cost_per_tool", "api_calls")
 
@@ -223,7 +227,8 @@ def zero_tool(m, f: Filters = EVERYTHING) -> DataFrame:
 
 @query
 def median_session_cost(m, f: Filters = EVERYTHING) -> DataFrame:
-    return facts(m, f).agg(*exprs(median_session_cost="coalesce(round(median(coalesce(cost_usd, 0)), 2), 0)"))
+    cost = facts(m, f).select(F.coalesce("cost_usd", F.lit(0.0)).alias("cost"))
+    return ranks.medians(cost, [], "cost").select(F.coalesce(F.round("median", 2), F.lit(0.0)).alias("median_session_cost"))
 
 
 #: Which lines each scope of the counterfactual has.

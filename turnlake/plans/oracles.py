@@ -248,6 +248,14 @@ _BODIES: dict[str, str] = {
     "phrase_counts": _PHRASES.format("doc_words"),
     "phrases": f"""SELECT phrase, sessions, n FROM (WITH p AS ({_PHRASES.format("prompt_words")}) SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.sessions = p.sessions AND o.phrase <> p.phrase AND contains(o.phrase, p.phrase)
   AND (-o.n, -length(o.phrase), o.phrase) < (-p.n, -length(p.phrase), p.phrase))) ORDER BY sessions DESC, n DESC, length(phrase) DESC, phrase LIMIT 60""",
+    "approx_projects": f"SELECT project, {_BILLED} AS api_calls, {_TOKENS} AS total_tokens, count(DISTINCT session_id) AS exact_sessions, count(DISTINCT git_branch) AS exact_branches, count(DISTINCT coalesce(message_id, request_id)) AS exact_responses, true AS sessions_close, true AS branches_close, true AS responses_close FROM message GROUP BY project",
+    "approx_tools": f"SELECT name, count(*) AS calls, {_s('is_error')} AS errors, count(DISTINCT file_path) AS exact_files, true AS files_close, count(latency_ms) AS n, true AS p50_close, true AS p90_close FROM tool WHERE date BETWEEN '2024-01-05' AND '2024-01-20' GROUP BY name",
+    "overlapping_turns": "SELECT project, count(*) AS pairs, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS together_ms FROM (SELECT project, uuid, epoch_ms(ts) AS e, epoch_ms(ts) - duration_ms AS s FROM turn) a JOIN (SELECT project, uuid, epoch_ms(ts) AS e, epoch_ms(ts) - duration_ms AS s FROM turn) b USING (project) WHERE a.uuid < b.uuid AND a.s <= b.e AND b.s <= a.e GROUP BY project",
+    "busy_minutes": """SELECT project, count(*) AS changes, max(n) AS most FROM (SELECT * FROM (WITH t AS (SELECT project, CAST(floor((epoch_ms(ts) - duration_ms) / 60000) AS BIGINT) AS s, CAST(floor(epoch_ms(ts) / 60000) AS BIGINT) AS e FROM turn),
+  p AS (SELECT project, s AS step FROM t UNION SELECT project, e + 1 FROM t) SELECT p.project, step, count(t.s) AS n FROM p LEFT JOIN t ON t.project = p.project AND t.s <= step AND step <= t.e GROUP BY 1, 2)) GROUP BY project""",
+    "last_interrupts": "SELECT m.uuid, e.uuid AS interrupt FROM message m ASOF LEFT JOIN (SELECT * FROM event WHERE kind = 'interrupt') e ON m.session_id = e.session_id AND m.ts >= e.ts",
+    "costs_as_of": """SELECT model, count(*) AS lines, CAST(round(CAST(sum(cost) AS DECIMAL(28, 10)), 4) AS DOUBLE) AS cost_usd FROM (SELECT m.model, ((input_tokens + CASE WHEN coalesce(eph_5m, 0) = 0 AND coalesce(eph_1h, 0) = 0 THEN cache_write ELSE eph_5m END * 1.25 + eph_1h * 2.0 + cache_read * 0.1) * coalesce(r.price_in, 3.0) + output_tokens * coalesce(r.price_out, 15.0)) / 1000000.0 AS cost
+  FROM message m ASOF LEFT JOIN rate r ON m.model = r.model AND m.ts >= r.ts) GROUP BY model""",
     "agent_prompts": "SELECT text[1:120] AS head, count(*) AS n, count(DISTINCT session_id) AS sessions FROM prompt WHERE source = 'subagent' GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, head LIMIT 20",
     "prompt_projects": "SELECT project, count(DISTINCT session_id) AS sessions, count(*) AS prompts FROM prompt WHERE is_human = 1 GROUP BY 1 ORDER BY prompts DESC, project LIMIT 15",
     "prompt_corpus": "SELECT project, session_id, uuid, date, text[1:2500] AS text FROM prompt WHERE is_human = 1 AND text IS NOT NULL",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnlake.filters import EVERYTHING, Filters
 from turnlake.functions import pricing
+from turnlake.operators import ranks
 from turnlake.operators import sessions as session_rows
 from turnlake.plans.catalogue import BILLED, COST, STAMP, TOKENS, exprs, query, top
 
@@ -150,18 +151,20 @@ def project_relabel(m, f: Filters = EVERYTHING) -> DataFrame:
 @query
 def tools(m, f: Filters = EVERYTHING) -> DataFrame:
     """Per tool; waiting for a person skews the mean latency, hence the median beside it."""
-    return f.apply(m.tools).groupBy("name").agg(
+    rows = f.apply(m.tools)
+    whole = rows.groupBy("name").agg(
         *exprs(
             calls="count(1)", errors="sum(is_error)", interrupted="sum(interrupted)", denied="count(denial_kind)", completed="sum(has_result)", avg_latency_ms="round(avg(latency_ms), 0)", max_latency_ms="max(latency_ms)",
             avg_result_chars="round(avg(result_chars), 0)", total_result_chars="sum(result_chars)", lines_added="sum(lines_added)", lines_removed="sum(lines_removed)", is_mcp="max(is_mcp)", mcp_server="max(mcp_server)",
-            median_latency_ms="round(median(latency_ms), 0)",
         )
     )
+    middle = ranks.medians(rows, ["name"], "latency_ms").select(F.col("name").alias("of"), F.round("median", 0).alias("median_latency_ms"))
+    return whole.join(middle, F.col("name").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 @query
 def tool_median_latency(m, f: Filters = EVERYTHING) -> DataFrame:
-    return f.apply(m.tools).where("latency_ms IS NOT NULL").groupBy("name").agg(*exprs(median_latency_ms="round(median(latency_ms), 0)"))
+    return ranks.medians(f.apply(m.tools), ["name"], "latency_ms").select("name", F.round("median", 0).alias("median_latency_ms"))
 
 
 @query

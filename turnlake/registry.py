@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnlake.plans import behaviour, chats, delivery, following, generated, mining, oracles, usage  # noqa: F401  (they fill the catalogue)
+from turnlake.plans import behaviour, chats, delivery, following, generated, mining, oracles, rollups, temporal, usage  # noqa: F401  (they fill the catalogue)
 from turnlake.plans.adapters import Model
 from turnlake.plans.catalogue import CATALOGUE
 
