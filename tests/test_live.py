@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from turnlake.operators import spans
 from turnlake.plans import usage
 from turnlake.sources.transcripts import Transcripts
 from turnlake.streaming import live
@@ -79,3 +80,19 @@ def test_the_state_forgets(spark, tmp_path):
     state = progress["stateOperators"][0] if isinstance(progress, dict) else progress.stateOperators[0]
     rows = state["numRowsTotal"] if isinstance(state, dict) else state.numRowsTotal
     assert rows < 30 and live.usage(got, "date").count() == 3
+
+
+def test_active_spans_of_a_stream_are_those_of_the_batch(spark, tmp_path):
+    """Lines come in any order within the watermark's reach; a span is appended when nothing can lengthen it."""
+    rng, schema = random.Random(5), "session_id string, s long, tokens long"
+    rows = [(rng.choice(["a", "a", "b", None]), rng.randrange(0, 40_000), rng.randrange(9)) for _ in range(120)]
+    timed = lambda df: df.withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    batch = spans.active(timed(spark.createDataFrame(rows, schema)), "5 minutes")
+    rng.shuffle(rows)
+    out, inbox = str(tmp_path / "out"), str(tmp_path / "in")
+    for part in (rows[::2], rows[1::2], [("end", 10**6, 0)], [("end", 2 * 10**6, 0)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(inbox)
+        stream = timed(spark.readStream.schema(schema).parquet(inbox)).withWatermark("ts", "1 day")
+        spans.active(stream, "5 minutes").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "marks")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(batch.schema).parquet(out).where("session_id IS NULL OR session_id <> 'end'")
+    assert values(got) == values(batch) and batch.count() > 60

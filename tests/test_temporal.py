@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from turnlake.operators import asof, intervals, ranks, sketches
+from turnlake.operators import asof, intervals, ranks, sketches, snapshots
 from turnlake.plans import rollups
 
 
@@ -99,3 +99,33 @@ def test_a_kept_rollup_replaces_its_days_alone(spark, tmp_path):
     rollups.write(make([("2025-01-02", "p", "a"), ("2025-01-02", "p", "d"), ("2025-01-03", "q", "a")]), path)
     kept = spark.read.parquet(path).withColumn("date", F.col("date").cast("string"))
     assert [tuple(r) for r in sketches.merged(kept, ["project"]).orderBy("project").collect()] == [("p", 4, 3), ("q", 1, 1)]
+
+
+def test_differences_count_repeats(spark):
+    rng, schema = random.Random(7), "k long, v string"
+    draw = lambda n: [(rng.choice([1, 2, 3, None]), rng.choice(["a", "b", None])) for _ in range(n)]
+    a, b = draw(40), draw(60)
+    x, y, na, nb = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), Counter(a), Counter(b)
+    rows = lambda df: {(r["k"], r["v"]): r["n"] for r in df.collect()}
+    assert rows(snapshots.except_all(x, y)) == dict(na - nb) and rows(snapshots.intersect_all(x, y)) == dict(na & nb)
+    back = lambda df: Counter(tuple(r) for r in df.collect())
+    assert back(x.exceptAll(y)) == na - nb and back(x.intersectAll(y)) == na & nb
+    got = {(r["k"], r["v"]): (r["n"], r["change"]) for r in snapshots.changes(x, y, ["k"]).collect()}
+    diff = {row: nb[row] - na[row] for row in na | nb if nb[row] != na[row]}
+    both = {k for k in (1, 2, 3, None) if {d > 0 for (kk, _), d in diff.items() if kk == k} == {True, False}}
+    assert got == {row: (d, ("changed_to" if d > 0 else "changed_from") if row[0] in both else ("added" if d > 0 else "gone")) for row, d in diff.items()}
+    assert snapshots.changes(x, x, ["k"]).count() == 0
+
+
+def test_the_cube_reads_lines_once_and_agrees_with_single_rollups(spark):
+    from turnlake.plans import usage
+    from turnlake.plans.adapters import Model
+
+    m = Model(spark, "/root/testdata/sf0.001")
+    cube = rollups.usage_cube(m)
+    assert cube._jdf.queryExecution().optimizedPlan().toString().count("events.parquet") <= 1
+    columns = ("api_calls", "sessions", "total_tokens", "tool_uses", "cost_usd")
+    took = lambda df, *by: sorted(tuple(r[c] for c in (*by, *columns)) for r in df.collect())
+    assert took(cube.where("level = 3"), "date") == took(usage.daily(m), "date")
+    overall = cube.where("level = 7").first()
+    assert overall["sessions"] == m.messages.select("session_id").distinct().count()

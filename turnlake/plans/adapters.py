@@ -48,7 +48,7 @@ SELECT 'u' || lpad(CAST(event_id AS {s}), 8, '0') AS uuid, {session} AS session_
             WHEN 'signup' THEN 'unlisted-model' ELSE '<synthetic>' END AS model,
        CASE WHEN event_id % 41 <> 0 THEN 'm' || user_id || '-' || {day("ts")} END AS message_id,
        CASE WHEN event_id % 82 <> 0 THEN 'r' || CAST(floor(event_id / 3) AS BIGINT) END AS request_id,
-       {k} * 10 AS input_tokens, CAST(floor(value) AS BIGINT) AS output_tokens, (event_id % 5) * 100 AS cache_write, (event_id % 11) * 1000 AS cache_read,
+       {k} * 10 AS input_tokens, CAST(floor(value) AS BIGINT) * CASE WHEN user_id % 29 IN (3, 5, 6) THEN 500 WHEN user_id % 29 = 4 THEN 20000 ELSE 1 END AS output_tokens, (event_id % 5) * 100 AS cache_write, (event_id % 11) * 1000 AS cache_read,
        CASE WHEN event_id % 3 = 0 THEN (event_id % 5) * 100 ELSE 0 END AS eph_5m, CASE WHEN event_id % 3 = 1 THEN (event_id % 5) * 100 ELSE 0 END AS eph_1h,
        event_id % 4 AS tool_uses, event_id % 3 AS thinking_blocks, (event_id % 3) * 120 AS thinking_chars, {k} * 7 AS text_chars,
        CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS is_api_error,
@@ -71,22 +71,24 @@ FROM (SELECT *, {session} AS session_id FROM events WHERE user_id % 17 <> 0) e G
         "raw_tool": f"""
 SELECT 't' || event_id AS tool_use_id, {session} AS session_id, 'p' || (user_id % 7) AS project, ts, {day("ts")} AS date,
        CASE event_id % 12 WHEN 0 THEN 'Read' WHEN 1 THEN 'Edit' WHEN 2 THEN 'Bash' WHEN 3 THEN 'Grep' WHEN 4 THEN 'Write' WHEN 5 THEN 'Glob' WHEN 6 THEN 'Agent'
-            WHEN 7 THEN 'WebSearch' WHEN 8 THEN 'WebFetch' WHEN 9 THEN 'mcp__tracker__get' WHEN 10 THEN 'mcp__docs__find' ELSE 'LS' END AS name,
-       CASE event_id % 12 WHEN 9 THEN 'tracker' WHEN 10 THEN 'docs' END AS mcp_server, CASE WHEN event_id % 12 IN (9, 10) THEN 1 ELSE 0 END AS is_mcp,
+            WHEN 7 THEN 'WebSearch' WHEN 8 THEN 'WebFetch' WHEN 9 THEN CASE WHEN event_id % 24 = 9 THEN 'mcp__atlassian__get' ELSE 'mcp__tracker__get' END WHEN 10 THEN 'mcp__docs__find' ELSE 'LS' END AS name,
+       CASE event_id % 12 WHEN 9 THEN CASE WHEN event_id % 24 = 9 THEN 'atlassian' ELSE 'tracker' END WHEN 10 THEN 'docs' END AS mcp_server, CASE WHEN event_id % 12 IN (9, 10) THEN 1 ELSE 0 END AS is_mcp,
        CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS is_error, CASE WHEN event_id % 43 = 0 THEN 1 ELSE 0 END AS interrupted,
        CASE WHEN event_id % 29 = 0 THEN 'user-rejected' WHEN event_id % 31 = 0 THEN 'hook' END AS denial_kind,
        CASE WHEN event_id % 17 <> 0 THEN CAST(floor(value * 10) AS BIGINT) END AS latency_ms, CASE WHEN event_id % 17 <> 0 THEN 1 ELSE 0 END AS has_result,
        CASE WHEN event_id % 17 <> 0 THEN {k} * 3 END AS result_chars,
        CASE WHEN event_id % 12 IN (0, 1, 4) THEN 'src/m' || ({k} % 20) || CASE {k} % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.md' WHEN 2 THEN '.JSON' WHEN 3 THEN '.css' ELSE '' END END AS file_path,
        CASE WHEN event_id % 12 IN (1, 4) THEN {k} % 9 ELSE 0 END AS lines_added, CASE WHEN event_id % 12 IN (1, 4) THEN {k} % 4 ELSE 0 END AS lines_removed,
-       CASE WHEN event_id % 12 = 2 THEN CASE {k} % 4 WHEN 0 THEN 'git commit -m x && git push' WHEN 1 THEN 'cd /r && git -C /r status' WHEN 2 THEN 'FOO=1 /usr/bin/python a.py' ELSE 'ls -l' END END AS bash_command
-FROM events""",
+       CASE WHEN event_id % 12 = 2 THEN CASE {k} % 4 WHEN 0 THEN 'git commit -m x && git push' WHEN 1 THEN 'cd /r && git -C /r status' WHEN 2 THEN 'FOO=1 /usr/bin/python a.py' ELSE 'ls -l' END END AS bash_command,
+       CASE WHEN event_id % 12 = 9 THEN '"DEMO-' || (user_id % 60) || '"' END AS input
+FROM events WHERE user_id % 31 <> 7""",
         "raw_prompt": f"""
 SELECT conv_id || '-' || turn AS uuid, 's' || (conv_id % 100) || '-' || (conv_id % 4) AS session_id, 'p' || (conv_id % 7) AS project, ts, {day("ts")} AS date, CAST(hour(ts) AS INT) AS hour, CAST({d.weekday} AS INT) AS dow,
-       CASE WHEN role = 'user' THEN CASE WHEN (conv_id + turn) % 5 = 0 THEN 'queued' WHEN (conv_id + turn) % 23 = 0 THEN NULL ELSE 'typed' END ELSE 'sdk' END AS source,
+       CASE WHEN role = 'user' THEN CASE WHEN conv_id % 6 = 0 AND turn % 2 = 1 THEN NULL WHEN (conv_id + turn) % 5 = 0 THEN 'queued' WHEN (conv_id + turn) % 23 = 0 THEN NULL ELSE 'typed' END ELSE 'sdk' END AS source,
        CASE WHEN conv_id % 9 = 0 THEN 'human' WHEN conv_id % 9 = 1 THEN 'task' END AS origin_kind, CASE WHEN conv_id % 31 = 5 THEN 1 ELSE 0 END AS is_meta,
        CASE WHEN conv_id % 6 = 0 THEN 'subagent' ELSE 'main' END AS transcript,
-       CASE WHEN turn = 2 THEN 'please check the build' WHEN turn = 4 THEN 'please check the build and the tests'
+       CASE WHEN role = 'system' THEN 'nightly check of the build' WHEN role = 'user' AND conv_id % 6 = 0 AND turn % 2 = 1 THEN 'look into part ' || (conv_id % 4)
+            WHEN turn = 2 THEN 'please check the build' WHEN turn = 4 THEN 'please check the build and the tests'
             WHEN (conv_id * 7 + turn) % 10 = 0 THEN 'fix the bug in DEMO-' || (conv_id % 9) || ' and UTF-8' WHEN (conv_id * 7 + turn) % 10 = 1 THEN 'continue'
             WHEN (conv_id * 7 + turn) % 10 = 2 THEN '<command-name>/commit</command-name><command-args> now </command-args>' WHEN (conv_id * 7 + turn) % 10 = 3 THEN 'run batch ' || conv_id || ' and verify'
             WHEN (conv_id * 7 + turn) % 10 = 4 THEN '<system-reminder>x' || chr(10) || '</system-reminder> no, again: review the docs in ABC-' || (conv_id % 50)
@@ -182,7 +184,7 @@ class Model:
 
     @cached_property
     def tools(self) -> DataFrame:
-        return self.raw("raw_tool").withColumn("file_ext", paths.extension(F.col("file_path"))).withColumn("bash_program", paths.shell_program(F.col("bash_command"))).withColumn("input", F.lit(None).cast("string"))
+        return self.raw("raw_tool").withColumn("file_ext", paths.extension(F.col("file_path"))).withColumn("bash_program", paths.shell_program(F.col("bash_command")))
 
     @cached_property
     def prompts(self) -> DataFrame:

@@ -82,7 +82,8 @@ FROM split LEFT JOIN price USING (model)""",
     "git": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY ts, id) AS nth FROM found) WHERE nth = 1",
     "signs": f"""SELECT session_id, project, strftime(first_ts, '%Y-%m-%d') AS date, 'title' AS evidence, unnest({_KEYS.format("concat_ws(' ', ai_title, custom_title)")}) AS key FROM session
   UNION ALL SELECT session_id, project, strftime(first_ts, '%Y-%m-%d'), 'branch', unnest({_KEYS.format("git_branch")}) FROM session UNION ALL SELECT session_id, project, date, 'prompt', unnest(tickets) FROM prompt
-  UNION ALL SELECT session_id, project, date, 'file', unnest({_KEYS.format("file_path")}) FROM tool UNION ALL SELECT session_id, project, date, 'commit', unnest({_KEYS.format("subject")}) FROM git WHERE kind = 'commit'""",
+  UNION ALL SELECT session_id, project, date, 'file', unnest({_KEYS.format("file_path")}) FROM tool UNION ALL SELECT session_id, project, date, 'commit', unnest({_KEYS.format("subject")}) FROM git WHERE kind = 'commit'
+  UNION ALL SELECT session_id, project, date, 'lookup', unnest({_KEYS.format("input")}) FROM tool WHERE is_mcp = 1 AND name ILIKE '%atlassian%'""",
     "ticket": "SELECT key, session_id, evidence, arg_min(project, (coalesce(date, '9999'), project)) AS project, min(date) AS date, CASE evidence WHEN 'branch' THEN 1 ELSE count(*) END AS n FROM signs GROUP BY key, session_id, evidence",
     "chat_message": "SELECT m.* EXCLUDE (date), coalesce(m.date, s.date) AS date, CASE WHEN m.date IS NOT NULL THEN 'exact' WHEN s.date IS NOT NULL THEN 'session' END AS ts_source FROM raw_chat_message m LEFT JOIN chat_session s USING (composer_id)",
     "chat_counted": "SELECT s.*, coalesce(n, 0) AS message_count FROM chat_session s LEFT JOIN (SELECT composer_id, count(*) AS n FROM chat_message GROUP BY 1) USING (composer_id)",
@@ -250,6 +251,11 @@ _BODIES: dict[str, str] = {
   AND (-o.n, -length(o.phrase), o.phrase) < (-p.n, -length(p.phrase), p.phrase))) ORDER BY sessions DESC, n DESC, length(phrase) DESC, phrase LIMIT 60""",
     "approx_projects": f"SELECT project, {_BILLED} AS api_calls, {_TOKENS} AS total_tokens, count(DISTINCT session_id) AS exact_sessions, count(DISTINCT git_branch) AS exact_branches, count(DISTINCT coalesce(message_id, request_id)) AS exact_responses, true AS sessions_close, true AS branches_close, true AS responses_close FROM message GROUP BY project",
     "approx_tools": f"SELECT name, count(*) AS calls, {_s('is_error')} AS errors, count(DISTINCT file_path) AS exact_files, true AS files_close, count(latency_ms) AS n, true AS p50_close, true AS p90_close FROM tool WHERE date BETWEEN '2024-01-05' AND '2024-01-20' GROUP BY name",
+    "usage_cube": f"SELECT date, project, model, CAST(grouping(date, project, model) AS INT) AS level, {_BILLED} AS api_calls, count(DISTINCT session_id) AS sessions, {_TOKENS} AS total_tokens, {_s('tool_uses')} AS tool_uses, {_COST} AS cost_usd FROM message GROUP BY CUBE (date, project, model)",
+    "active_spans": f"""SELECT session_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ended, count(*) AS lines, {_s('input_tokens + output_tokens')} AS tokens, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS active_ms
+  FROM (SELECT *, sum(CASE WHEN ts - was <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, lag(ts) OVER (PARTITION BY session_id ORDER BY ts) AS was FROM message)) GROUP BY session_id, island""",
+    "tool_changes": """SELECT project, file_path, name, unnest(CASE WHEN old IS NULL THEN [new] ELSE [old, new] END) AS calls, unnest(CASE WHEN old IS NULL THEN [1] ELSE [-1, 1] END) AS n, unnest(CASE WHEN old IS NULL THEN ['added'] ELSE ['changed_from', 'changed_to'] END) AS change
+  FROM (SELECT project, file_path, name, count(*) AS new, nullif(count(*) FILTER (WHERE date <= '2024-01-20'), 0) AS old FROM tool WHERE file_path IS NOT NULL GROUP BY 1, 2, 3) WHERE old IS DISTINCT FROM new""",
     "overlapping_turns": "SELECT project, count(*) AS pairs, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS together_ms FROM (SELECT project, uuid, epoch_ms(ts) AS e, epoch_ms(ts) - duration_ms AS s FROM turn) a JOIN (SELECT project, uuid, epoch_ms(ts) AS e, epoch_ms(ts) - duration_ms AS s FROM turn) b USING (project) WHERE a.uuid < b.uuid AND a.s <= b.e AND b.s <= a.e GROUP BY project",
     "busy_minutes": """SELECT project, count(*) AS changes, max(n) AS most FROM (SELECT * FROM (WITH t AS (SELECT project, CAST(floor((epoch_ms(ts) - duration_ms) / 60000) AS BIGINT) AS s, CAST(floor(epoch_ms(ts) / 60000) AS BIGINT) AS e FROM turn),
   p AS (SELECT project, s AS step FROM t UNION SELECT project, e + 1 FROM t) SELECT p.project, step, count(t.s) AS n FROM p LEFT JOIN t ON t.project = p.project AND t.s <= step AND step <= t.e GROUP BY 1, 2)) GROUP BY project""",

@@ -1,5 +1,6 @@
-"""Queries over sketch roll-ups: distinct counts and quantiles for any range without its rows.
+"""Roll-ups: sketches for any range of days, all choices of dimensions at once, active spans, and what changed.
 
+Distinct counts and quantiles come from sketches, without the rows behind them.
 Their results are estimates, so each query has the exact figures beside it and
 says whether the estimate is within its bound; SQL tells the exact ones. Users
 call :func:`usage_rollup` and :func:`tool_rollup` once, :func:`write` to keep
@@ -12,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.filters import EVERYTHING, Filters
-from turnlake.operators import sketches
-from turnlake.plans.catalogue import query
+from turnlake.operators import sketches, snapshots, spans
+from turnlake.plans.catalogue import COST, STAMP, query
 from turnlake.sources.scratch import cut
 
 QUANTILES = {"p50": 0.5, "p90": 0.9}
@@ -63,3 +64,36 @@ def approx_tools(m, f: Filters = Filters("2024-01-05", "2024-01-20")) -> DataFra
     slack = 3 * sketches.RANK
     near = [((F.col(f"below_{q}") <= (p + slack) * F.col("n") + 1) & (F.col(f"upto_{q}") >= (p - slack) * F.col("n") - 1)).alias(f"{q}_close") for q, p in QUANTILES.items()]
     return both.select("name", "calls", "errors", "exact_files", sketches.hll_close(F.col("files"), F.col("exact_files")).alias("files_close"), "n", *near)
+
+
+@query
+def usage_cube(m, f: Filters = EVERYTHING) -> DataFrame:
+    """Usage by every choice of day, project and model at once; ``level`` has a bit for each that is summed over.
+
+    Lines are summed by day, project, model and session first, in one pass over
+    them; only these sums are multiplied by the eight choices.
+    """
+    tokens = F.col("input_tokens") + F.col("output_tokens") + F.col("cache_write") + F.col("cache_read")
+    once = f.apply(m.messages).groupBy("date", "project", "model", "session_id").agg(
+        F.sum(F.when(F.col("usage_dupe") == 0, 1).otherwise(0)).alias("api_calls"), F.sum(tokens).alias("total_tokens"), F.sum("tool_uses").alias("tool_uses"), F.sum("cost_usd").alias("cost_usd")
+    )
+    return once.cube("date", "project", "model").agg(
+        F.grouping_id().cast("int").alias("level"), F.sum("api_calls").alias("api_calls"), F.count_distinct("session_id").alias("sessions"), F.sum("total_tokens").alias("total_tokens"), F.sum("tool_uses").alias("tool_uses"),
+        F.expr(COST).alias("cost_usd"),
+    )
+
+
+@query
+def active_spans(m, f: Filters = EVERYTHING) -> DataFrame:
+    """Stretches of each session without a pause of over half an hour."""
+    tokens = (F.col("input_tokens") + F.col("output_tokens")).alias("tokens")
+    rows = spans.active(f.apply(m.messages).select("session_id", "ts", tokens))
+    return rows.withColumns({c: F.date_format(c, STAMP) for c in ("started", "ended")})
+
+
+@query
+def tool_changes(m, f: Filters = EVERYTHING, until: str = "2024-01-20") -> DataFrame:
+    """Calls of each tool on each file of a project: what came, and what became more, since a day."""
+    rows = f.apply(m.tools).where("file_path IS NOT NULL")
+    counts = lambda part: part.groupBy("project", "file_path", "name").agg(F.count(F.lit(1)).alias("calls"))
+    return snapshots.changes(counts(rows.where(F.col("date") <= until)), counts(rows), ["project", "file_path", "name"])
