@@ -46,6 +46,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read again.
 
