@@ -69,13 +69,13 @@ def streamed(spark: SparkSession, sf_dir: str, changes_of: Callable[..., DataFra
     rows = cut(lines.withColumn("arrival", arrival), "arriving")
     first, last = rows.agg(F.min("arrival"), F.max("arrival")).first()
     inbox, out, marks = (new_path(spark, x) for x in ("inbox", "changes", "marks"))
-    own = live.session(spark)
-    stream = own.readStream.schema("value string, file string, byte_offset long").parquet(inbox)
+    own, changes = live.session(spark), None
     for run in range(RUNS):
         part = F.floor((F.col("arrival") - F.lit(first)) * RUNS / F.lit((last or 0) - (first or 0) + 1)) == run if first is not None else F.lit(True)
         rows.where(part).drop("arrival").write.mode("append").parquet(inbox)
-        live.start(changes_of(stream), out, marks).awaitTermination()
-    return spark.read.schema(changes_of(stream).schema).parquet(out)
+        changes = changes_of(own.readStream.schema("value string, file string, byte_offset long").parquet(inbox))
+        live.start(changes, out, marks).awaitTermination()
+    return spark.read.schema(changes.schema).parquet(out)
 
 
 def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
