@@ -32,7 +32,7 @@ def run(tmp_path, modules, *calls):
 
 
 def test_texts_without_words(tmp_path):
-    run(tmp_path, "line_windows", "line_windows.report(docs)", "line_windows.clean(docs)")
+    run(tmp_path, "line_windows, periodic, substring", "line_windows.report(docs)", "line_windows.clean(docs)", "substring.report(docs)", "periodic.report(docs)")
 
 
 def test_other_operators(tmp_path):
