@@ -133,3 +133,23 @@ def test_clusters_phrases_and_candidates_match_plain_code(spark):
     best = [("cluster", seed, k * s) for seed, k, s in sorted(wide, key=lambda x: (-x[2], -x[1], x[0]))[:25]]
     best += [("repeat", key, 2 * k * s) for s, k, key in sorted(repeats, key=lambda x: (-x[0], -x[1], x[2]))[:25]]
     assert [(r["kind"], r["name"], r["score"]) for r in mining.candidates(m).collect()] == sorted(best, key=lambda x: (-x[2], x[0], x[1]))[:30]
+
+
+def test_pairs_that_share_a_vocabulary_only_are_never_written(spark, monkeypatch):
+    """Sets over few tokens meet in most of them, but few are similar."""
+    rng, cut, written = random.Random(7), similarity.cut, {}
+
+    def counted(df, name):
+        out = cut(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(similarity, "cut", counted)
+    words = [f"w{i}" for i in range(300)]
+    bases = [set(rng.sample(words, 100)) for _ in range(300)]
+    sets = bases + [set(rng.sample(sorted(s), 80)) | set(rng.sample(words, 15)) for s in bases[:30]]
+    rows = [(i, sorted(s), len(s)) for i, s in enumerate(sets)]
+    found = spark.createDataFrame(rows, "uuid long, tokens array<string>, n int").selectExpr("uuid", "tokens", "n", "struct(-n AS less, uuid AS uuid) AS order")
+    true = {(i, j, len(s & t)) for i, s in enumerate(sets) for j, t in enumerate(sets[:i]) if 100 * len(s & t) >= 45 * len(s | t)}
+    assert len(true) >= 30 and {(max(r[:2]), min(r[:2]), r[2]) for r in similarity.jaccard_pairs(found).collect()} == true
+    assert written["candidates"] <= 2 * len(true)
