@@ -126,3 +126,14 @@ def test_nothing_to_read_yet(spark, tmp_path):
     empty = spark.createDataFrame([("not json", "/x/projects/dir/a.jsonl", 0, True, 0)], SCHEMA)
     assert refresh.refresh(spark, "/x", empty, path) == refresh.Change(-1, (), 0)
     assert refresh.refresh(spark, "/x", empty.limit(0), path) == refresh.Change(-1, (), 0)
+
+
+def test_a_load_writes_one_file_a_day_and_days_in_several_tasks(spark, tmp_path):
+    lines = [answer(f"s{k}", f"m{k}-{i}", f"0{k % 4 + 1}-{i % 20 + 1:02}T10:00:00", f"r{k}-{i}", 1) for k in range(4) for i in range(40)]
+    rows = [(json.dumps(line), f"/x/projects/dir/{line['sessionId']}.jsonl", i, True, 0) for i, line in enumerate(lines)]
+    refresh.refresh(spark, "/x", spark.createDataFrame(rows, SCHEMA).repartition(4), str(tmp_path))
+    for name in ("records/load=0", "messages", "daily"):
+        files = [f for day in (tmp_path / name).glob("date=*") for f in day.glob("*.parquet")]
+        assert len(files) == 80
+        # The number in a file's name is that of the task: without a number of partitions all days would go to one.
+        assert len({f.name.split("-")[1] for f in files}) > 1

@@ -109,11 +109,12 @@ class Store:
         rows = self.read("progress", None)
         return tuple(rows.agg(F.max("load"), F.max("upto")).first()) if rows is not None else (-1, -1)
 
-    def valid(self, days: list[str | None] | None = None, before: int | None = None) -> DataFrame | None:
-        """Records, of some days only, without those of files that a later load read from their start."""
-        rows, void = self.read("records"), self.read("voids", None)
+    def valid(self, days: list[str | None] | None = None, before: int | None = None, rows: DataFrame | None = None) -> DataFrame | None:
+        """Records, of some days only, without those of files that a later load read from their start; ``rows`` are all records, if they were read before."""
+        rows = self.read("records") if rows is None else rows
         if rows is None:
             return None
+        void = self.read("voids", None)
         if days is not None:
             rows = rows.where(on("date", days))
         if before is not None:
@@ -132,12 +133,21 @@ class Store:
 
     def put(self, name: str, rows: DataFrame, by: str, days: list[str | None]) -> DataFrame:
         staged = cut(rows, name)
-        staged.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{self.path}/{name}")
+        gathered(staged, by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{self.path}/{name}")
         left = {r[0] for r in staged.select(by).distinct().collect()}
         self._drop(name, by, [d for d in days if d not in left])
         return staged
 
 
+def gathered(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of a day in one task, so that it writes one file for it.
+
+    Thousands of small days are dealt to all cores: their files take longer to
+    make than to fill, and without a number small days would be put into one task.
+    """
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, by)
+
+
 def on(by: str, days: list[str | None]) -> Column:
     """The row's day is one of these; they are folded into the scan's partition filter."""
     named = [d for d in days if d is not None]
@@ -164,11 +174,13 @@ def refresh(spark: SparkSession, home: str, bronze: DataFrame, path: str) -> Cha
     here = f"load={load}"
     records = Transcripts(spark, home, ingest.current(fresh)).records
     if not records.isEmpty():
-        records.write.mode("overwrite").partitionBy("date").parquet(f"{store.path}/records/{here}")
-    elif store.read("records") is None:
+        gathered(records, "date").write.mode("overwrite").partitionBy("date").parquet(f"{store.path}/records/{here}")
+    elif not store._has("records"):
         return Change(done, (), 0)  # not a record so far; these batches are looked at again with the next
     fresh.where("restarted").select("file").distinct().write.mode("overwrite").parquet(f"{store.path}/voids/{here}")
-    own = store.read("records").where(F.col("load") == load)
+    # Reading the table lists its days, so it is done once.
+    stored_records = store.read("records")
+    own = stored_records.where(F.col("load") == load)
     own.select(F.col("at.file").alias("file"), _who(), "date").distinct().write.mode("overwrite").parquet(f"{store.path}/places/{here}")
     links(own).write.mode("overwrite").parquet(f"{store.path}/links/{here}")
 
@@ -180,7 +192,7 @@ def refresh(spark: SparkSession, home: str, bronze: DataFrame, path: str) -> Cha
     gone_days = _days(before)
     touched = own.select(_who())
     if gone_days:
-        gone = store.valid(gone_days, load).join(void.select(F.col("file").alias("__void")), F.col("at.file") == F.col("__void"), "left_semi")
+        gone = store.valid(gone_days, load, stored_records).join(void.select(F.col("file").alias("__void")), F.col("at.file") == F.col("__void"), "left_semi")
         gone = cut(gone.select("session_id", "uuid", "type", "v", "blocks"), "gone")
         touched, new = touched.unionByName(gone.select(_who())), new.unionByName(links(gone))
     by_key = shared.select("who", "key").join(new.select("key").distinct(), "key", "left_semi").select("who")
@@ -190,7 +202,7 @@ def refresh(spark: SparkSession, home: str, bronze: DataFrame, path: str) -> Cha
     days = _days(places.join(sessions, "who", "left_semi"))
 
     # Their rows as they are now.
-    read = store.valid(_days(places.join(context, "who", "left_semi")))
+    read = store.valid(_days(places.join(context, "who", "left_semi")), rows=stored_records)
     read = cut(read.join(context, _who() == context.who, "left_semi").drop("load"), "context_records")
     made, rows = Transcripts(spark, home, records=read), {}
     for name in TABLES:
