@@ -153,3 +153,48 @@ def test_pairs_that_share_a_vocabulary_only_are_never_written(spark, monkeypatch
     true = {(i, j, len(s & t)) for i, s in enumerate(sets) for j, t in enumerate(sets[:i]) if 100 * len(s & t) >= 45 * len(s | t)}
     assert len(true) >= 30 and {(max(r[:2]), min(r[:2]), r[2]) for r in similarity.jaccard_pairs(found).collect()} == true
     assert written["candidates"] <= 2 * len(true)
+
+
+def test_similar_documents_are_one_row_each(spark):
+    """Copies and families of near copies: links are counted, not listed."""
+    from types import SimpleNamespace
+
+    from turnlake.plans import mining
+
+    rng = random.Random(11)
+    words = ["".join(rng.choices("bcdfgmprtk", k=7)) for _ in range(400)]
+    base, other = rng.sample(words, 60), rng.sample(words, 8)
+    near = [[w if rng.random() > 0.15 else rng.choice(words) for w in base] for _ in range(25)]
+    texts = [base] * 40 + [base[::-1]] + near + [other] * 3 + [rng.sample(words, rng.randrange(6, 90)) for _ in range(40)] + [words[:5]] * 2 + [[]]
+    order = rng.sample(range(1000), len(texts))
+    documents = spark.createDataFrame([(u, u % 3, " ".join(t)) for u, t in zip(order, texts)], "uuid long, session_id long, text string")
+    sets = {u: frozenset(t) for u, t in zip(order, texts) if len(set(t)) >= 6}
+    true = {}
+    for u in order:
+        alike = {v: len(sets[u] & sets[v]) for v in sets if v != u and 100 * len(sets[u] & sets[v]) >= 45 * len(sets[u] | sets[v])} if u in sets else {}
+        same = [v for v in sets if sets[v] == sets.get(u)]
+        true[u] = (min(same, default=None), len(same), len({sets[v] for v in alike} - {sets.get(u)}), len(alike), sum(alike.values()))
+    rows = mining.jaccard_pairs(SimpleNamespace(documents=documents)).collect()
+    assert len(rows) == len(texts) and {r["uuid"]: (r["class"], r["copies"], r["classes"], r["links"], r["shared"]) for r in rows} == true
+    assert max(x[3] for x in true.values()) >= 60
+
+
+def test_places_of_sets_are_shuffled_once(spark, monkeypatch):
+    """Near copies meet in nearly all their tokens; both sides of the join take one shuffle, and no pair is lost."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, sorted([w for w in base if rng.random() > 0.06] + [f"x{i}"])) for i in range(60)]
+    found = spark.createDataFrame(rows, "uuid long, tokens array<string>").selectExpr("uuid", "tokens", "size(tokens) AS n", "struct(-size(tokens) AS less, uuid AS uuid) AS order")
+    plans, cut = [], similarity.cut
+
+    def planned(df, name):
+        if name == "candidates":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, name)
+
+    monkeypatch.setattr(similarity, "cut", planned)
+    got = {tuple(sorted(r[:2])) for r in similarity.jaccard_pairs(found).collect()}
+    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60)}
+    final = plans[0].split("Initial Plan")[0]
+    assert final.count("ReusedExchange") == 2
