@@ -198,3 +198,24 @@ def test_places_of_sets_are_shuffled_once(spark, monkeypatch):
     assert got == {(i, j) for i in range(60) for j in range(i + 1, 60)}
     final = plans[0].split("Initial Plan")[0]
     assert final.count("ReusedExchange") == 2
+
+
+@pytest.mark.parametrize("sessions", [6, 64, 65, 90])
+def test_phrases_count_sessions_that_are_known(spark, sessions):
+    """Sessions as bits (all 64 of them) and as parts; prompts without a session count, but are of none."""
+    from collections import Counter, defaultdict
+
+    rng = random.Random(sessions)
+    words = ["alpha", "bravo", "charlie", "delta", "echo"]
+    rows = [(f"s{k % sessions}" if k % 9 else None, " ".join(rng.choices(words, k=5))) for k in range(4 * sessions)]
+    rows += [(f"s{k}", "lima mike") for k in range(3)] + [(None, "lima mike")] + [(f"s{k}", "oscar papa") for k in range(sessions)]
+    n, reach = Counter(), defaultdict(set)
+    for session, said in rows:
+        t = said.split()
+        for k in (2, 3, 4):
+            for i in range(len(t) - k + 1):
+                n[" ".join(t[i : i + k])] += 1
+                reach[" ".join(t[i : i + k])] |= {session} - {None}
+    found = similarity.phrases(spark.createDataFrame(rows, "session_id string, text string"))
+    assert {tuple(r) for r in found.select("phrase", "sessions", "n").collect()} == {(p, len(reach[p]), n[p]) for p in n if len(reach[p]) >= 4}
+    assert len(reach["lima mike"]) == 3 and len(reach["oscar papa"]) == sessions
