@@ -200,6 +200,21 @@ def test_places_of_sets_are_shuffled_once(spark, monkeypatch):
     assert final.count("ReusedExchange") == 2
 
 
+def test_documents_cluster_by_their_whole_texts(spark):
+    """Texts that begin alike aren't similar if they go on differently."""
+    from types import SimpleNamespace
+
+    from turnlake.plans import mining
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("bcdfgmprtk", k=7)) for _ in range(4000)]
+    start = words[:130]
+    texts = [start + rng.sample(words[130:], 600) for _ in range(8)]
+    texts += [[w for w in texts[0] if rng.random() > 0.1] for _ in range(4)]
+    documents = spark.createDataFrame([(u, f"s{u % 3}", " ".join(t)) for u, t in enumerate(texts)], "uuid long, session_id string, text string")
+    assert [tuple(r) for r in mining.document_clusters(SimpleNamespace(documents=documents)).collect()] == [(0, 5, 3)]
+
+
 @pytest.mark.parametrize("sessions", [6, 64, 65, 90])
 def test_phrases_count_sessions_that_are_known(spark, sessions):
     """Sessions as bits (all 64 of them) and as parts; prompts without a session count, but are of none."""
