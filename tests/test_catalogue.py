@@ -215,6 +215,27 @@ def test_documents_cluster_by_their_whole_texts(spark):
     assert [tuple(r) for r in mining.document_clusters(SimpleNamespace(documents=documents)).collect()] == [(0, 5, 3)]
 
 
+def test_large_sets_that_share_a_vocabulary_are_compared_before_they_are_written(spark, monkeypatch):
+    """Parities grow with the sets, and no similar pair is lost."""
+    rng, cut, written = random.Random(9), similarity.cut, {}
+
+    def counted(df, name):
+        out = cut(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(similarity, "cut", counted)
+    words = [f"w{i}" for i in range(6000)]
+    bases = [set(rng.sample(words, 1000)) for _ in range(60)]
+    # Near ones of all sizes that allow the similarity.
+    sets = bases + [set(rng.sample(sorted(s), rng.randrange(440, 990))) | set(rng.sample(words, 20)) for s in bases[:30]]
+    rows = [(i, sorted(s), len(s)) for i, s in enumerate(sets)]
+    found = spark.createDataFrame(rows, "uuid long, tokens array<string>, n int").selectExpr("uuid", "tokens", "n", "struct(-n AS less, uuid AS uuid) AS order")
+    true = {(i, j, len(s & t)) for i, s in enumerate(sets) for j, t in enumerate(sets[:i]) if 100 * len(s & t) >= 45 * len(s | t)}
+    assert len(true) >= 25 and {(max(r[:2]), min(r[:2]), r[2]) for r in similarity.jaccard_pairs(found).collect()} == true
+    assert written["candidates"] <= 10 * len(true) and written["likely"] <= 2 * len(true)
+
+
 @pytest.mark.parametrize("sessions", [6, 64, 65, 90])
 def test_phrases_count_sessions_that_are_known(spark, sessions):
     """Sessions as bits (all 64 of them) and as parts; prompts without a session count, but are of none."""
